@@ -1,0 +1 @@
+"""Version-control history analytics as composable DataFrame operators."""
