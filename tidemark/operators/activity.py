@@ -58,8 +58,8 @@ def week_matrix(commits: DataFrame) -> DataFrame:
 
 
 def _rolled(matrix: DataFrame, *keys: Column) -> DataFrame:
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("repository_names")))).alias("repository_names")
-    return matrix.groupBy(*keys).agg(F.sum("commits").alias("commits"), no_names())
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("repository_names")))).alias("repository_names")
+    return matrix.groupBy(*keys).agg(F.sum("commits").alias("commits"), merged)
 
 
 def weekdays(matrix: DataFrame) -> DataFrame:
