@@ -41,7 +41,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     },
     "performance": {"git_timeout_seconds": 900},
 }
-SCOPES = ("local", "remote", "all", "head")
+SCOPES = ("current", "local", "all")
 CLASSES = ("exclude", "private", "public")
 
 
