@@ -2,8 +2,9 @@
 
 Every step works on tables: equal sets collapse into one representative, representatives that share a band meet,
 an odd sketch (MinHash samples folded into a parity bitmap) discards pairs that are far from similar, and what is left is
-confirmed on whole sets. A bucket first links its members to its smallest one; pairs across the components so found
-are then looked at in blocks of bounded size, so a bucket of many copies never emits all its pairs.
+confirmed on whole sets. A bucket first links its members to its smallest one. Where a bucket still holds several components, the
+sketches of its members tell which components belong to one family, and the families are compared exactly, on whole
+sets, in blocks of bounded size. Tasks emit spanning edges only, never all pairs of a group.
 
 Nulls, ties and odd rows: a null or wordless text has an empty set, is linked with nothing and is kept. A row with a null
 id is linked with nothing, has a null component and is kept. Rows that repeat an id are one node. Columns of
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import buffers, mix, settle, shingle_hashes, small_batches
@@ -27,8 +28,8 @@ BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
 #: Sets are linked from this percentage of their union on.
 PERCENT = 75
-#: Members of a bucket that one task compares with each other.
-BLOCK = 2048
+#: Members of a bucket, and shingles of a family, that make up one block; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -121,44 +122,94 @@ def _far(a: str, b: str):
     return F.aggregate(flips, F.lit(0), lambda s, x: s + x)
 
 
-def _across(cut: int):
-    """Rows (block key, id, component, sketch), sorted by key, to pairs of different components with near sketches."""
-
-    def pairs_of(ids: np.ndarray, comps: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        for k in range(len(ids) - 1):
-            near = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1, dtype=np.int64) <= cut
-            hit = np.flatnonzero(near & (comps[k + 1 :] != comps[k])) + k + 1
-            left.append(np.minimum(ids[hit], ids[k]))
-            right.append(np.maximum(ids[hit], ids[k]))
-        return np.concatenate(left), np.concatenate(right)
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        key = None
-
-        def flush():
-            rows = pa.concat_tables(held)
-            if rows.num_rows > 1:
-                bits = rows["sketch"].combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
-                a, b = pairs_of(rows["id"].to_numpy(), rows["comp"].to_numpy(), bits)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            keys = rows["block"].to_numpy()
-            edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, int)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held and keys[a] != key:
-                    yield from flush()
-                    held = []
-                key = keys[a]
-                held.append(rows.slice(a, b - a))
-        if held:
-            yield from flush()
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with one value in the first column."""
+    held: list[pa.Table] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        keys = rows.column(0).to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and keys[a] != key:
+                yield pa.concat_tables(held)
+                held = []
+            key = keys[a]
+            held.append(rows.slice(a, b - a))
+    if held:
+        yield pa.concat_tables(held)
+
+
+class _Forest:
+    """Joins labels and keeps the edges that joined two trees."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        self.tree = labels.copy()
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, one: int, others: np.ndarray) -> None:
+        """Join the row ``one`` with the rows ``others``."""
+        for root in np.unique(self.tree[others]):
+            own = self.tree[one]
+            if root != own:
+                low, high = min(own, root), max(own, root)
+                self.edges.append((int(low), int(high)))
+                self.tree[self.tree == high] = low
+
+    def batch(self) -> pa.RecordBatch:
+        a, b = zip(*self.edges, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _families(cut: int):
+    """Rows (block, component, sketch), sorted by block, to edges between components with near members."""
+
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            if rows.num_rows < 2:
+                continue
+            forest = _Forest(rows["comp"].to_numpy())
+            bits = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
+            for k in range(rows.num_rows - 1):
+                near = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1, dtype=np.int64) <= cut
+                forest.join(k, np.flatnonzero(near & (forest.tree[k + 1 :] != forest.tree[k])) + k + 1)
+            if forest.edges:
+                yield forest.batch()
+
+    return families
+
+
+def _compare(percent: int):
+    """Rows (block, component, text), sorted by block, to edges between components with similar members.
+
+    The shared shingles of one row with all rows of the block are counted at once, over the block's list of shingles. Rows of the most
+    frequent component need no comparison among themselves.
+    """
 
-    return across
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            comps = rows["comp"].to_numpy()
+            values, counts = np.unique(comps, return_counts=True)
+            if len(values) < 2:
+                continue
+            sets = shingle_hashes(*buffers(rows["text"]))
+            sizes = np.array([len(s) for s in sets])
+            shingles, places = np.unique(np.concatenate(sets), return_inverse=True)
+            begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            forest = _Forest(comps)
+            mark = np.zeros(len(shingles), dtype=np.int32)
+            for k in np.flatnonzero(comps != values[np.argmax(counts)]):
+                own = places[begin[k] : begin[k] + sizes[k]]
+                mark[own] = 1
+                shared = np.add.reduceat(mark[places], begin)
+                mark[own] = 0
+                forest.join(int(k), np.flatnonzero(100 * shared >= percent * (sizes + sizes[k] - shared)))
+            if forest.edges:
+                yield forest.batch()
+
+    return compare
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,7 +218,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every live label to the smallest label next to it and contracts the edges; a star takes one round and
     a chain about as many rounds as the logarithm of its length. Minima are combined before they are shuffled.
     """
-    live = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    live = settle(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = None
     while not live.isEmpty():
         hook = settle(live.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "hooks")
@@ -182,6 +234,13 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else live.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+def _in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows with a column ``block``: each pair of ids under one key meets in a block, however many there are."""
+    own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
+    rows = rows.withColumn("_n", blocks.cast("int")).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.withColumn("block", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``."""
     spark: SparkSession = docs.sparkSession
@@ -190,42 +249,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = settle(texts.mapInArrow(_sign, SIGNATURE), "signatures")
 
     # Equal sets: one representative, its smallest id.
-    best = F.min(F.struct("doc_id", "bands", "sketch"))
+    best = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch"))
     classes = settle(
-        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(best.alias("r")).select("set_key", F.col("r.doc_id").alias("id"), "r.bands", "r.sketch"),
+        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(best.alias("r")).select("set_key", F.col("r.doc_id").alias("id"), "r.n_shingles", "r.bands", "r.sketch"),
         "classes",
     )
     banded = classes.select("id", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1")
     members = settle(banded.join(leaders, "key"), "members")
     involved = members.select("id").distinct()
-    sketches = settle(classes.select("id", "sketch").join(involved, "id", "left_semi"), "sketches")
+    sketches = settle(classes.select("id", "n_shingles", "sketch").join(involved, "id", "left_semi"), "sketches")
     sources = settle(texts.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("text is not null"), "sources")
     cut = sketch_cut(percent)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sources.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
-        both = both.join(sources.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
-        return settle(both.select("a", "b", "s", "t").mapInArrow(_confirm(percent), "a long, b long"), "links")
-
     # Each member with the smallest member of its bucket.
-    stars = settle(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     near = stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("u")), "a")
     near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("v")), "b")
-    found = components(confirmed(near.where(_far("u", "v") <= cut).select("a", "b")))
-
-    # Members of one bucket that are still apart, in blocks.
-    apart = members.where("m > 2").join(found, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("comp"))
+    near = near.where(_far("u", "v") <= cut).select("a", "b")
+    near = near.join(sources.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
+    near = near.join(sources.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+    found = components(near.select("a", "b", "s", "t").mapInArrow(_confirm(percent), "a long, b long"))
+
+    # Components that share a bucket, by the sketches of their members there: families.
+    labelled = sketches.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n_shingles", "sketch")
+    labelled = settle(labelled, "labelled")
+    apart = members.where("m > 2").select("key", "id", "m").join(labelled.select("id", "comp", "sketch"), "id")
     mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    apart = apart.join(mixed, "key", "left_semi").join(sketches, "id")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    apart = apart.withColumns({"n": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    apart = apart.withColumn("block", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    rest = apart.select("block", "id", "comp", "sketch").repartition("block").sortWithinPartitions("block").mapInArrow(_across(cut), "a long, b long")
-    late = confirmed(rest.distinct().join(stars, ["a", "b"], "left_anti"))
-    own = found.select(F.col("id").alias("a"), F.col("component").alias("x")), found.select(F.col("id").alias("b"), F.col("component").alias("y"))
-    late = late.join(own[0], "a", "left").join(own[1], "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b")
+    apart = _in_blocks(apart.join(mixed, "key", "left_semi"), "key", F.ceil(F.col("m") / BLOCK)).select("block", "comp", "sketch")
+    family = components(apart.repartition("block").sortWithinPartitions("block").mapInArrow(_families(cut), "a long, b long"))
+
+    # Members of a family on whole sets, blocks of about BLOCK_SHINGLES against each other.
+    kin = labelled.select("id", "comp", "n_shingles").join(family.select(F.col("id").alias("comp"), F.col("component").alias("family")), "comp")
+    sizes = kin.groupBy("family").agg(F.sum("n_shingles").alias("shingles"))
+    kin = _in_blocks(kin.join(sizes, "family"), "family", F.ceil(F.col("shingles") / BLOCK_SHINGLES)).select("block", "id", "comp")
+    kin = kin.join(sources.select(F.col("doc_id").alias("id"), "text"), "id").select("block", "comp", "text")
+    late = kin.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(percent), "a long, b long")
     moved = components(late).select(F.col("id").alias("component"), F.col("component").alias("final"))
 
     ends = classes.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
