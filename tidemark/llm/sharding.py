@@ -6,7 +6,7 @@ domain just over n; numbers that leave 0 to n - 1 walk on until they are back. T
 modulo shards) and the slot (place divided by shards), so counts differ by one at most and a row's home can be computed.
 
 Rows are distinguished by id, size and text hash; equal rows are counted together before they are dealt out, so a
-group of copies is no hot key. Nulls and odd rows: a null text has no bytes and the checksum of an empty one; null ids are dealt like
+group of copies is no hot key. Nulls and odd rows: a null text has no bytes of its own and the checksum of an empty one; null ids are dealt like
 others; repeated rows get places of their own; an empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import settle
 
 ROUNDS = 4
+#: Bytes of a row besides its text.
+ROW_BYTES = 16
 #: Row numbers start from the counts of this many hash buckets.
 BUCKETS = 8192
 #: Copies of one row that one number range holds together.
@@ -67,7 +69,7 @@ def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     raw = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.octet_length(raw).cast("long").alias("size"),
+        (F.octet_length(raw).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.xxhash64(raw).alias("text_hash"),
     )
