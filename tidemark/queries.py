@@ -8,12 +8,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import settings
 from tidemark.functions import identities, labels, paths, signals, subjects
 from tidemark.functions.comments import line_counts
+from tidemark.functions.globs import first_match
 from tidemark.operators import activity, code, explore, network, people, repositories
 from tidemark.operators.effective import effective_commits, effective_file_changes, with_author
-from tidemark.plans import checks, report, sql_surface
+from tidemark.operators.statistics import concentration
+from tidemark.plans import checks, quality, report, sql_surface
 from tidemark.sources import adapters as a
+from tidemark.sources import forge, snapshot
 
 #: The day up to which events are looked at, and orders.
 EVENTS_AS_OF, ORDERS_AS_OF = "2024-01-31", "2001-03-01"
@@ -263,8 +267,6 @@ FROM ({_SPREAD.format(key="g,", g="repo_id", rows="ec", group="GROUP BY g")})"""
     "events",
 )
 def repository_concentration(s, d):
-    from tidemark.operators.statistics import concentration
-
     counts = events(s, d).groupBy("repo_id", "author_key").agg(F.count("*").alias("commits"))
     return rounded(concentration(counts, keys=["repo_id"]))
 
@@ -428,8 +430,6 @@ def profile_public_languages(s, d):
 
 @query("SELECT repo_id, CASE WHEN n_name LIKE 'NATION_1%' THEN 'public' WHEN regexp_matches(n_name, '^[A-I].*') THEN 'exclude' ELSE 'private' END AS classification, n_name AS name FROM (SELECT n_nationkey::BIGINT AS repo_id, n_name FROM nation)")
 def privacy_rules(s, d):
-    from tidemark.functions.globs import first_match
-
     rules = [("NATION_1*", "public"), ("[A-I]*", "exclude"), ("NATION_1?", "private")]
     return a.repositories(s, d).select("repo_id", first_match([F.col("display_name"), F.lit("none")], rules, "private").alias("classification"), F.col("display_name").alias("name"))
 
@@ -784,3 +784,80 @@ def sql_recursive_calendar(s, d):
     text = """WITH RECURSIVE days(day) AS (SELECT DATE '2024-01-01' UNION ALL SELECT date_add(day, 1) FROM days WHERE day < DATE '2024-01-10')
 SELECT day, count(hash) AS commits FROM days LEFT JOIN v_commits ON activity_date = day GROUP BY day"""
     return _ask(s, d, text)
+
+
+# ------------------------------------------------------------------------------------------------ quality, search, dedup
+@query(
+    """SELECT * FROM (SELECT 'shallow_history' AS code, count(*) FILTER (is_shallow) AS count FROM repositories WHERE active UNION ALL SELECT 'partial_clone', count(*) FILTER (is_partial) FROM repositories WHERE active
+  UNION ALL SELECT 'stale_snapshot', count(*) FILTER (status = 'stale') FROM repositories WHERE active UNION ALL SELECT 'history_cut', 1 UNION ALL SELECT 'several_time_zones', count(DISTINCT timezone_offset_minutes) FROM ec)
+WHERE count > 0""",
+    "events",
+)
+def portfolio_warnings(s, d):
+    history = settings({"history": {"max_commits_per_repository": 90}})["history"]
+    return quality.portfolio_warnings(a.repositories(s, d).where("active"), history, repositories.timezone_offsets(events(s, d)))
+
+
+@query("SELECT repo_id, display_name, status FROM repositories WHERE contains(lower(concat_ws(' ', repo_id, display_name, status)), 'n_1') OR contains(status, 'stal')", "events")
+def text_search(s, d):
+    rows = a.repositories(s, d).select("repo_id", "display_name", "status")
+    return explore.search(rows, "N_1").union(explore.search(rows, "STAL")).distinct()
+
+
+@query(
+    """SELECT w AS weekday, h AS hour, CASE WHEN n <= 0 THEN 0 ELSE least(4, greatest(1, ceil(n * 4 / max(n) OVER ()))) END::INTEGER AS level
+FROM (SELECT activity_weekday AS w, activity_hour AS h, count(*) AS n FROM ec GROUP BY 1, 2)""",
+    "events",
+)
+def heat_levels(s, d):
+    cells = events(s, d).groupBy(F.col("activity_weekday").alias("weekday"), F.col("activity_hour").alias("hour")).agg(F.count("*").alias("n"))
+    most = cells.agg(F.max("n").alias("most"))
+    return cells.crossJoin(F.broadcast(most)).select("weekday", "hour", signals.heat(F.col("n"), F.col("most")).alias("level"))  # one row
+
+
+@query("SELECT repo_id, sha256(string_agg(hash, ',' ORDER BY hash)) AS fingerprint FROM oc GROUP BY repo_id", "orders")
+def repository_fingerprints(s, d):
+    rows = orders(s, d).groupBy("repo_id").agg(F.array_sort(F.collect_list("hash")).alias("h"))
+    return rows.select("repo_id", F.sha2(F.array_join("h", ","), 256).alias("fingerprint"))
+
+
+@query("SELECT k AS repo_key, min(path) AS path, CASE min(r) WHEN 0 THEN 'exclude' WHEN 1 THEN 'private' ELSE 'public' END AS classification FROM (SELECT s_nationkey::VARCHAR AS k, s_name AS path, (s_suppkey % 7 > 1)::INTEGER + (s_suppkey % 5 > 2)::INTEGER AS r FROM supplier) GROUP BY 1")
+def work_tree_dedup(s, d):
+    rank = (F.col("s_suppkey") % 7 > 1).cast("int") + (F.col("s_suppkey") % 5 > 2).cast("int")
+    named = F.element_at(F.array(F.lit("exclude"), F.lit("private"), F.lit("public")), rank + 1)
+    rows = a.read(s, d, "supplier").select(F.col("s_nationkey").cast("string").alias("repo_key"), F.col("s_name").alias("path"), named.alias("classification"))
+    return snapshot.deduplicated(rows)
+
+
+@query("SELECT c_name AS name, 'https://x/' || (c_custkey % 100) AS source, CASE WHEN c_custkey % 3 = 0 THEN 'private' ELSE 'public' END AS visibility, 'no' AS fork, 'f' AS forge FROM customer WHERE c_custkey % 3 > 0 AND c_custkey % 4 > 0 QUALIFY row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey DESC) = 1")
+def forge_listing(s, d):
+    k = F.col("c_custkey")
+    url = F.concat(F.lit("https://x/"), (k % 100).cast("string"))
+    rows = a.read(s, d, "customer").select(
+        F.col("c_name").alias("full_name"), F.lit(None).cast("string").alias("path_with_namespace"), F.lit("n").alias("name"), url.alias("clone_url"), F.lit(None).cast("string").alias("ssh_url"),
+        F.lit("http://none").alias("http_url_to_repo"), F.when(k % 6 != 0, k % 3 == 0).alias("private"), F.when(k % 6 == 0, "private").alias("visibility"), (k % 4 == 0).alias("fork"), k.alias("place"),
+    )
+    return forge.listed(rows, "f")
+
+
+@query(
+    r"SELECT event_id, 'x' || chr(65533) || k || chr(9) || 'y' AS subject, CASE WHEN k = 0 THEN 'repository' ELSE 'repo-' || k END AS slug FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
+)
+def sanitized_text(s, d):
+    k = F.get_json_object("props", "$.k").cast("int").cast("string")
+    raw = F.concat(F.lit("x\x07"), k, F.lit("\ty"))
+    slug = F.when(k == "0", "-ü-").otherwise(F.concat(F.lit("Repo  "), k, F.lit("!")))
+    return a.read(s, d, "events").select("event_id", signals.sanitized(raw).alias("subject"), signals.slug(slug).alias("slug"))
+
+
+@query("SELECT n AS missing FROM (VALUES ('nation_1'), ('nation_3'), ('elsewhere')) v(n) WHERE n NOT IN (SELECT lower(repository) FROM names JOIN privacy USING (repo_id) WHERE classification = 'public')", "events")
+def requested_but_not_public(s, d):
+    wanted = s.createDataFrame([("nation_1",), ("nation_3",), ("elsewhere",)], "missing string")
+    public = repositories.public_repositories(a.repositories(s, d), a.privacy(s, d)).select(F.lower("display_name").alias("missing"))
+    return wanted.join(public, "missing", "left_anti")
+
+
+@query("SELECT language AS name, (p_partkey % 25)::BIGINT AS repo_id, count(*) AS files, sum(p_size)::BIGINT AS bytes FROM (SELECT *, p_type AS language FROM part) GROUP BY 1, 2", "tree")
+def tree_ingest(s, d):
+    files = a.read(s, d, "part").select((F.col("p_partkey") % 25).alias("repo_id"), F.col("p_type").alias("name"), F.col("p_size").cast("long").alias("size"))
+    return code.tree_totals(files, "name")
