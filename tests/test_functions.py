@@ -89,7 +89,7 @@ def plain_counts(text, language):
         elif language in BLOCKS and (is_open or line.startswith("/*")):
             out["block"] += 1
             is_open = "*/" not in line
-        elif any(line.startswith(p) for p, langs in PREFIXES.items() if language in langs):
+        elif line.startswith(PREFIXES.get(language, ())):
             out["line"] += 1
         else:
             out["code"] += 1

@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 # Line-comment prefixes and block-comment languages.
 PREFIXES = {
-    "#": ("Python", "Cython", "Shell", "Ruby", "Perl", "R", "YAML", "TOML", "Config", "INI", "PowerShell"),
-    ";": ("Config", "INI"),
-    "--": ("SQL", "Lua", "Haskell"),
-    "//": (
-        "JavaScript", "JavaScript/React", "TypeScript", "TypeScript/React", "Java", "Kotlin", "Go", "Rust", "C", "C++", "C#", "PHP", "Swift", "Scala", "Dart",
-        "SCSS", "Sass",
-    ),
+    "Python": ("#",), "Cython": ("#",), "Shell": ("#",), "Ruby": ("#",), "Perl": ("#",), "R": ("#",), "YAML": ("#",), "TOML": ("#",), "Config": ("#", ";"), "INI": ("#", ";"), "PowerShell": ("#",),
+    "SQL": ("--",), "Lua": ("--",), "Haskell": ("--",), "JavaScript": ("//",), "JavaScript/React": ("//",), "TypeScript": ("//",), "TypeScript/React": ("//",), "Java": ("//",),
+    "Kotlin": ("//",), "Go": ("//",), "Rust": ("//",), "C": ("//",), "C++": ("//",), "C#": ("//",), "PHP": ("//",), "Swift": ("//",), "Scala": ("//",), "Dart": ("//",), "CSS": (),
+    "SCSS": ("//",), "Sass": ("//",),
 }
 MARKUP = ("HTML", "XML", "Vue", "Svelte", "Markdown")
 BLOCKS = (
@@ -49,8 +46,8 @@ def line_counts(text: Column, language: Column) -> Column:
         again = F.instr(F.substring(line, 4, 1 << 30), '"""').cast("boolean") & (mark == '"""') | F.instr(F.substring(line, 4, 1 << 30), "'''").cast("boolean") & (mark == "'''")
         inside = state["quote"] != ""
         prefixed = F.lit(False)
-        for prefix, languages in PREFIXES.items():
-            prefixed = prefixed | (language.isin(*languages) & line.startswith(prefix))
+        for prefix in sorted({p for all_of in PREFIXES.values() for p in all_of}):
+            prefixed = prefixed | (language.isin(*(n for n, all_of in PREFIXES.items() if prefix in all_of)) & line.startswith(prefix))
         return (
             F.when(line == "", bumped(state, "blank", state["open"], state["quote"]))
             .when(quoted, bumped(state, "documentation", state["open"], F.when((state["quote"] == mark) | again, "").otherwise(mark)))

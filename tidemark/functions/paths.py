@@ -13,14 +13,14 @@ SPECIAL_FILES = {
     "package-lock.json": "JSON", "pnpm-lock.yaml": "YAML", "yarn.lock": "Yarn Lock", "poetry.lock": "TOML",
 }
 SUFFIXES = {
-    "Python": ".py .pyi", "Cython": ".pyx", "JavaScript": ".js .mjs .cjs", "JavaScript/React": ".jsx", "TypeScript": ".ts .d.ts", "TypeScript/React": ".tsx",
-    "Java": ".java", "Kotlin": ".kt .kts", "Go": ".go", "Rust": ".rs", "C": ".c", "C/C++ Header": ".h", "C++": ".cc .cpp .cxx", "C++ Header": ".hpp",
-    "C#": ".cs", "PHP": ".php", "Ruby": ".rb", "Swift": ".swift", "Scala": ".scala", "Dart": ".dart", "Lua": ".lua", "R": ".r",
-    "Shell": ".sh .bash .zsh .fish", "PowerShell": ".ps1", "SQL": ".sql", "HTML": ".html .htm", "CSS": ".css", "SCSS": ".scss", "Sass": ".sass",
-    "Less": ".less", "Vue": ".vue", "Svelte": ".svelte", "XML": ".xml", "JSON": ".json .jsonc", "YAML": ".yaml .yml", "TOML": ".toml", "INI": ".ini",
-    "Config": ".cfg .conf", "Markdown": ".md .mdx", "reStructuredText": ".rst", "Text": ".txt", "LaTeX": ".tex", "Jupyter Notebook": ".ipynb",
-    "Gradle": ".gradle", "Terraform": ".tf .tfvars", "HCL": ".hcl", "Protocol Buffers": ".proto", "GraphQL": ".graphql .gql", "Solidity": ".sol",
-    "Elixir": ".ex .exs", "Erlang": ".erl .hrl", "Clojure": ".clj", "ClojureScript": ".cljs",
+    ".py": "Python", ".pyi": "Python", ".pyx": "Cython", ".js": "JavaScript", ".jsx": "JavaScript/React", ".mjs": "JavaScript", ".cjs": "JavaScript", ".ts": "TypeScript",
+    ".tsx": "TypeScript/React", ".d.ts": "TypeScript", ".java": "Java", ".kt": "Kotlin", ".kts": "Kotlin", ".go": "Go", ".rs": "Rust", ".c": "C", ".h": "C/C++ Header", ".cc": "C++",
+    ".cpp": "C++", ".cxx": "C++", ".hpp": "C++ Header", ".cs": "C#", ".php": "PHP", ".rb": "Ruby", ".swift": "Swift", ".scala": "Scala", ".dart": "Dart", ".lua": "Lua", ".r": "R",
+    ".sh": "Shell", ".bash": "Shell", ".zsh": "Shell", ".fish": "Shell", ".ps1": "PowerShell", ".sql": "SQL", ".html": "HTML", ".htm": "HTML", ".css": "CSS", ".scss": "SCSS",
+    ".sass": "Sass", ".less": "Less", ".vue": "Vue", ".svelte": "Svelte", ".xml": "XML", ".json": "JSON", ".jsonc": "JSON", ".yaml": "YAML", ".yml": "YAML", ".toml": "TOML", ".ini": "INI",
+    ".cfg": "Config", ".conf": "Config", ".md": "Markdown", ".mdx": "Markdown", ".rst": "reStructuredText", ".txt": "Text", ".tex": "LaTeX", ".ipynb": "Jupyter Notebook",
+    ".gradle": "Gradle", ".tf": "Terraform", ".tfvars": "Terraform", ".hcl": "HCL", ".proto": "Protocol Buffers", ".graphql": "GraphQL", ".gql": "GraphQL", ".sol": "Solidity",
+    ".ex": "Elixir", ".exs": "Elixir", ".erl": "Erlang", ".hrl": "Erlang", ".clj": "Clojure", ".cljs": "ClojureScript",
 }
 OTHER = "Other"
 
@@ -48,11 +48,10 @@ def suffix(name: Column) -> Column:
 
 def language(path: Column) -> Column:
     name = _name(path)
-    by_suffix = {s: lang for lang, all_of in SUFFIXES.items() for s in all_of.split()}
     return (
         F.when(_lookup(name, SPECIAL_FILES).isNotNull(), _lookup(name, SPECIAL_FILES))
         .when(name.endswith(".d.ts"), "TypeScript")
-        .otherwise(F.coalesce(_lookup(suffix(name), by_suffix), F.lit(OTHER)))
+        .otherwise(F.coalesce(_lookup(suffix(name), SUFFIXES), F.lit(OTHER)))
     )
 
 
