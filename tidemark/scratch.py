@@ -1,28 +1,75 @@
-"""Tables that end a lineage: written to the folder that driver and executors share, and read back."""
+"""What driver and executors share: tables that end a lineage, files, and this package's own code."""
 
 from __future__ import annotations
 
+import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder under ``spark.checkpoint.dir``; where that is unset, a local session takes a temporary one and a cluster its warehouse."""
+    """A folder of this session under ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master takes a temporary folder of this machine and any other master the warehouse.
+    """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="tidemark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-        _ROOTS[app] = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+            local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+            root = "file://" + tempfile.mkdtemp(prefix="tidemark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        _ROOTS[app] = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+        atexit.register(_dropped, spark, _ROOTS[app])
     return _ROOTS[app]
 
 
+def _located(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    try:
+        place, store = _located(spark, path)
+        store.delete(place, True)
+    except Exception:  # noqa: BLE001  the session may have ended before
+        return
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: iterations neither grow its plan nor repeat its work, and lost executors don't lose it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a file into the shared folder; its path."""
+    place, store = _located(spark, f"{shared_folder(spark)}/{name}")
+    out = store.create(place)
+    for at in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[at : at + (1 << 20)]))
+    out.close()
+    return place.toString()
+
+
+def package_shipped(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a session, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    spark.sparkContext.addPyFile(stored(spark, f"tidemark-{uuid.uuid4().hex[:8]}.zip", packed.getvalue()))
+    _SHIPPED.add(app)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions import identities, paths, signals, subjects
+from tidemark.scratch import package_shipped
 
 FIELD, RECORD = "\x1f", "\x1e"
 #: What ``git log`` prints of a commit: hash, parents, raw and mapped author and committer, times, subject.
@@ -212,6 +213,7 @@ class GitHistory(DataSource):
 
 
 def scan(spark: SparkSession, what: str, repositories: list[tuple[int, str]], settings: Mapping[str, Any]) -> DataFrame:
+    package_shipped(spark)
     spark.dataSource.register(GitHistory)
     return spark.read.format("git_history").options(what=what, repositories=json.dumps(repositories), settings=json.dumps(settings)).load()
 
