@@ -1,57 +1,23 @@
-"""What the operators of this subpackage share: shared scratch tables and word hashing on Arrow buffers."""
+"""What the operators of this subpackage share: bounded Arrow batches and word hashing on Arrow buffers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: dict[str, str] = {}
+from tidemark.scratch import kept as settle  # noqa: F401  the operators take it from here
+from tidemark.scratch import package_shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this session in the store that driver and executors share.
-
-    It lies in ``spark.checkpoint.dir``. Where that is unset, a local master takes a temporary folder of this
-    machine and any other master takes the warehouse folder.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-            root = "file://" + tempfile.mkdtemp(prefix="tidemark-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        _SCRATCH[app] = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        atexit.register(_drop, spark, _SCRATCH[app])
-    return _SCRATCH[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    except Exception:  # noqa: BLE001  the session may have ended before
-        return
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends here and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bound the Arrow batches by rows and bytes, so that long texts cannot fill a worker's memory."""
+    """Give the workers this package, and bound the Arrow batches by rows and bytes, so that long texts cannot fill a worker's memory."""
+    package_shipped(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:

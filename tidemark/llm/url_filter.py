@@ -13,7 +13,6 @@ fit the longest string wins, and the first listed of equal strings; repeated url
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -25,7 +24,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, small_batches
+from tidemark.llm.common import small_batches
+from tidemark.scratch import stored
 
 #: Spark's xxhash64 has this seed.
 SEED = 42
@@ -94,12 +94,7 @@ def _mapped(name: str) -> Digests:
 def _ship(spark: SparkSession, data: bytes) -> str:
     """Put the file into the shared folder and have Spark bring it to the executors."""
     name = f"digests-{xxhash.xxh128_hexdigest(data)}-{uuid.uuid4().hex[:8]}.bin"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    for at in range(0, len(data), 1 << 20):
-        out.write(bytearray(data[at : at + (1 << 20)]))
-    out.close()
-    spark.sparkContext.addFile(path.toString())
+    spark.sparkContext.addFile(stored(spark, name, data))
     return name
 
 
