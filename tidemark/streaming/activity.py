@@ -12,9 +12,12 @@ def unique_commits(commits: DataFrame, lateness: str = "7 days", ts: str = "acti
     return commits.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["hash"])
 
 
-def daily(commits: DataFrame, lateness: str = "7 days", ts: str = "activity_ts") -> DataFrame:
-    """Commits and lines by day; distinct authors approximately, since exact ones would keep every key in state."""
-    windows = commits.withWatermark(ts, lateness).groupBy(F.window(ts, "1 day"))
+def daily(commits: DataFrame, lateness: str | None = "7 days", ts: str = "activity_ts") -> DataFrame:
+    """Commits and lines by day; distinct authors approximately, since exact ones would keep every key in state.
+
+    A stream that has a watermark, as unique commits do, takes None for the lateness.
+    """
+    windows = (commits.withWatermark(ts, lateness) if lateness else commits).groupBy(F.window(ts, "1 day"))
     rows = windows.agg(
         F.count("*").alias("commits"), F.approx_count_distinct("author_key", 0.01).alias("authors"), F.sum("insertions").alias("additions"), F.sum("deletions").alias("deletions")
     )
