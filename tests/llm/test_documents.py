@@ -264,7 +264,7 @@ def test_fingerprints_of_odd_rows(odd_docs, no_docs):
     assert len(got) == odd_docs.count() and fingerprints(no_docs).count() == 0
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     one = fingerprints(odd_docs.where("doc_id = 1")).first()
-    assert one.near_next == 1.0 and one.n_chars == 56 - 1 or one.near_next == 1.0
+    assert one.near_next == 1.0 and one.n_chars == 55
 
 
 def test_fingerprint_finds_edits():
