@@ -87,7 +87,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if learned:
         known = _featured(examples.select(F.struct("doc_id", "label").alias("row"), "text"), words)
         known = settle(known.select("row.doc_id", F.col("row.label").cast("double").alias("label"), "features"), "known")
-        known = known.select("doc_id", "label", array_to_vector("features").alias("features"))
+        known = known.coalesce(4).select("doc_id", "label", array_to_vector("features").alias("features"))
         apart = share("doc_id", 1 / 3, 2)
         trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.2, maxBins=64, minInstancesPerNode=3, seed=7, cacheNodeIds=False).fit(known.where(~apart))
         raised = trees.transform(known.where(apart)).select("label", vector_to_array("probability")[1].alias("raw"))

@@ -861,3 +861,31 @@ def requested_but_not_public(s, d):
 def tree_ingest(s, d):
     files = a.read(s, d, "part").select((F.col("p_partkey") % 25).alias("repo_id"), F.col("p_type").alias("name"), F.col("p_size").cast("long").alias("size"))
     return code.tree_totals(files, "name")
+
+
+# ------------------------------------------------------------------------------------------------ more SQL over the views
+@query("SELECT strftime(activity_date, '%Y-%m') AS month, count(*) AS commits, sum(insertions)::BIGINT AS insertions FROM ec GROUP BY 1", "events")
+def sql_month_series(s, d):
+    return _ask(s, d, "SELECT date_format(activity_date, 'yyyy-MM') AS month, count(*) AS commits, sum(insertions) AS insertions FROM v_commits GROUP BY 1")
+
+
+@query(
+    """SELECT author_name, commits FROM (SELECT author_key, max(author_name) AS author_name, count(*) AS commits FROM ec GROUP BY 1) ORDER BY commits DESC, author_name LIMIT 20""", "events"
+)
+def sql_authors(s, d):
+    return _ask(s, d, "SELECT author_name, commits FROM v_author_summary ORDER BY commits DESC, author_name LIMIT 20")
+
+
+@query(
+    """SELECT repository, path, count(*) AS touches FROM file_changes JOIN names USING (repo_id) GROUP BY 1, 2 ORDER BY touches DESC, repository, path LIMIT 50""", "orders", "changes"
+)
+def sql_hotspots(s, d):
+    return _ask(s, d, "SELECT repository, path, count(*) AS touches FROM v_file_changes GROUP BY 1, 2 ORDER BY touches DESC, repository, path LIMIT 50")
+
+
+@query(
+    "SELECT repo_id, language, files, bytes FROM (SELECT *, row_number() OVER (ORDER BY bytes DESC, lower(language), repo_id) AS k FROM tree WHERE repo_id < 5) WHERE k <= 20", "tree"
+)
+def sorted_view_top(s, d):
+    rows = a.tree(s, d).where("repo_id < 5")
+    return explore.sorted_view(rows, "bytes", descending=True).orderBy(F.desc("bytes"), F.lower("language"), "repo_id").limit(20)
