@@ -128,6 +128,7 @@ def plain_judge(url, rules):
 URLS = [
     None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "https://a.example.com/en/", "https://example.com/en", "http://xexample.com/en/1", "x://net/fr/", "x://a.b.net/es/?q", "http://com",
     "http://com/", "http://é.com/ü", "a://b://c.com/en/", "http://example.org/#/com/", "http://u:p@Example.com:80/en/", "http://.com/", "http://a..com/",
+    "http://" + "a." * 50_000 + "net/es/" + "b/" * 50_000, "http://net./es/", "http://www.example.com.net/fr/",
 ]
 
 

@@ -3,8 +3,9 @@
 A list of rules (host, path, verdict) becomes a file: the sorted 64-bit xxhash keys of the strings host + path, with the
 strings themselves behind them. Spark ships the file to every executor; tasks map it into memory, probe the
 candidates of a whole batch by vectorised binary search, and confirm a hit against the stored string, so colliding
-keys do no harm. A url's candidates are its host and parent domains, each with the starts of its path that are as long as some rule's path. Lists over a
-bound of bytes are joined on the keys instead, in the same two steps.
+keys do no harm. A url's candidates are those of its host and parent domains that have as many labels as some rule's host, each with the starts of its
+path that are as long as some rule's path: their number depends on the rules, not on the url. Lists over a bound of bytes are joined on the keys
+instead, in the same two steps.
 
 Nulls, ties and odd rows: a null url, or one without ``://``, has an empty host and path and fits no rule; of several rules that
 fit the longest string wins, and the first listed of equal strings; repeated urls are judged each; other columns are ignored.
@@ -107,11 +108,11 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, upper.lower()), path
 
 
-def _candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every parent domain of the host with every start of the path that is as long as some rule's path."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    starts = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda p: p.isNotNull())
+def _candidates(host: Column, path: Column, depths: list[int], lengths: list[int]) -> Column:
+    """The domains of the host with ``depths`` labels, each with the starts of the path of ``lengths`` characters."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    domains = F.array_compact(F.array(*(F.when(labels >= n, F.substring_index(host, ".", -n)) for n in depths)))
+    starts = F.array_compact(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)))
     return F.when(host != "", F.flatten(F.transform(domains, lambda d: F.transform(starts, lambda p: F.concat(d, p))))).otherwise(F.array().cast("array<string>"))
 
 
@@ -145,9 +146,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_co
     small_batches(spark, rows=5000)
     rules = list(rules)
     host, path = parts(F.col(url_col))
-    lengths = sorted({len(r.path) for r in rules}) or [0]
+    depths, lengths = sorted({r.host.count(".") + 1 for r in rules}) or [1], sorted({len(r.path) for r in rules}) or [0]
     split = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    split = split.withColumn("candidates", _candidates(F.col("host"), F.col("path"), lengths))
+    split = split.withColumn("candidates", _candidates(F.col("host"), F.col("path"), depths, lengths))
     split = split.withColumn("keys", F.transform("candidates", lambda s: F.xxhash64(s)))
     data = write_digests(rules)
     if len(data) <= max_file:
