@@ -1,6 +1,7 @@
 """Operators on whole documents against brute force, round trips and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -21,7 +22,7 @@ from tidemark.llm.fingerprints import differing_sections, fingerprint, fingerpri
 from tidemark.llm.near_dedup import components, near_duplicates
 from tidemark.llm.packing import WINDOW, balance, encoder, pack_documents, windows
 from tidemark.llm.queries import piece_digests
-from tidemark.llm.sharding import permuted, sharded
+from tidemark.llm.sharding import _sides, permuted, sharded
 from tidemark.llm.transport_stream import BLOCK, demux, mux, padded, stream_digests
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -179,8 +180,14 @@ def test_encoder_equals_the_tokenizers_library():
 
 
 # ---------------------------------------------------------------------------------------------- sharding
+def test_few_numbers_leave_the_range():
+    for n in (7, 10007, 10**9 + 7, 10**11 + 3):
+        a, b = _sides(n)
+        assert n <= a * b < n + math.isqrt(n) and a < 2 * b + 8 and a * b - n < max(2, 10 * math.isqrt(n) // 512 + 8)
+
+
 def test_permutation(spark):
-    for n in (1, 2, 3, 7, 10, 99, 1000, 1024, 4095):
+    for n in (1, 2, 3, 7, 10, 99, 1000, 1024, 10007, 4095):
         got = [r[0] for r in spark.range(n).select(permuted(F.col("id"), n, 3)).collect()]
         assert sorted(got) == list(range(n))
     assert got != list(range(n))

@@ -26,13 +26,14 @@ ROW_BYTES = 16
 BUCKETS = 8192
 #: Copies of one row that one number range holds together.
 RUN = 4096
-
-
+#: Radices that are tried for a small rest.
+TRIED = 512
 
 
 def _sides(n: int) -> tuple[int, int]:
-    """Two radices whose product is at least n and less than n plus the first of them."""
-    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    """Two radices near the root of n whose product is n or little more: the numbers over n are what cycle walking passes."""
+    root = max(1, math.isqrt(max(0, n - 1)) + 1)
+    a = min(range(root, root + min(TRIED, root)), key=lambda a: -n % a)
     return a, max(1, -(-n // a))
 
 
@@ -54,7 +55,7 @@ def _once(x: Column, a: int, b: int, seed: int) -> Column:
 def permuted(x: Column, n: int, seed: int = 0) -> Column:
     """The place of row number ``x`` among n: a bijection of 0 to n - 1.
 
-    Less than one number in the square root of n leaves the range; as many steps as there are numbers outside bring any of them back.
+    Few numbers leave the range, at most one in the square root of n; as many steps as there are numbers outside bring any of them back.
     """
     a, b = _sides(n)
     once = _once(x, a, b, seed)
