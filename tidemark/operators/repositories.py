@@ -134,3 +134,14 @@ def public_repositories(repositories: DataFrame, privacy: DataFrame, requested:
 def profile_languages(tree: DataFrame, public: DataFrame, limit: int = 12) -> DataFrame:
     rows = tree.join(public.select("repo_id"), "repo_id", "left_semi").groupBy("language").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
     return rows.orderBy(F.desc("bytes"), F.desc("files"), "language").limit(limit)
+
+
+def fingerprints(commits: DataFrame) -> DataFrame:
+    """(repo_id, fingerprint): equal for equal bags of commit hashes, in whatever order.
+
+    Sums of digests are combined before the shuffle, so no task holds the commits of a repository.
+    """
+    digest = F.sha2(F.col("hash").cast("binary"), 256)
+    sums = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 16)]
+    mark = F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256)
+    return commits.groupBy("repo_id").agg(mark.alias("fingerprint"))

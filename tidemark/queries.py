@@ -815,10 +815,19 @@ def heat_levels(s, d):
     return cells.crossJoin(F.broadcast(most)).select("weekday", "hour", signals.heat(F.col("n"), F.col("most")).alias("level"))  # one row
 
 
-@query("SELECT repo_id, sha256(string_agg(hash, ',' ORDER BY hash)) AS fingerprint FROM oc GROUP BY repo_id", "orders")
+@query(
+    """SELECT repo_id, sha256(count(*) || ':' || sum(('0x' || substr(sha256(hash), 1, 15))::BIGINT) || ':' || sum(('0x' || substr(sha256(hash), 16, 15))::BIGINT)) AS fingerprint
+FROM oc GROUP BY repo_id""",
+    "orders",
+)
 def repository_fingerprints(s, d):
-    rows = orders(s, d).groupBy("repo_id").agg(F.array_sort(F.collect_list("hash")).alias("h"))
-    return rows.select("repo_id", F.sha2(F.array_join("h", ","), 256).alias("fingerprint"))
+    return repositories.fingerprints(orders(s, d))
+
+
+@query("SELECT page_id, replace(replace(replace(url, 'http://www.example.com/en', '<repo:en>'), 'http://www.example.com', '<root>'), 'https://', '<git:>') AS url FROM pages")
+def redacted_paths(s, d):
+    known = [("http://www.example.com", "<root>"), ("https://", "<git:>"), ("http://www.example.com/en", "<repo:en>")]
+    return a.read(s, d, "pages").select("page_id", signals.redacted(F.col("url"), known).alias("url"))
 
 
 @query("SELECT k AS repo_key, min(path) AS path, CASE min(r) WHEN 0 THEN 'exclude' WHEN 1 THEN 'private' ELSE 'public' END AS classification FROM (SELECT s_nationkey::VARCHAR AS k, s_name AS path, (s_suppkey % 7 > 1)::INTEGER + (s_suppkey % 5 > 2)::INTEGER AS r FROM supplier) GROUP BY 1")
@@ -884,8 +893,7 @@ def sql_hotspots(s, d):
 
 
 @query(
-    "SELECT repo_id, language, files, bytes FROM (SELECT *, row_number() OVER (ORDER BY bytes DESC, lower(language), repo_id) AS k FROM tree WHERE repo_id < 5) WHERE k <= 20", "tree"
+    "SELECT repo_id, language, files, bytes FROM (SELECT *, row_number() OVER (ORDER BY bytes DESC, lower(language), repo_id) AS k FROM tree) WHERE k <= 20", "tree"
 )
 def sorted_view_top(s, d):
-    rows = a.tree(s, d).where("repo_id < 5")
-    return explore.sorted_view(rows, "bytes", descending=True).orderBy(F.desc("bytes"), F.lower("language"), "repo_id").limit(20)
+    return explore.sorted_view(a.tree(s, d), "bytes", descending=True).orderBy(F.desc("bytes"), F.lower("language"), "repo_id").limit(20)

@@ -31,7 +31,8 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
-    return read(spark, sf_dir, "nation").select(n.cast("long").alias("repo_id"), F.when(n % 3 == 0, "public").otherwise("private").alias("classification")).where("repo_id % 5 <> 4")
+    kind = F.when(n % 5 == 4, None).when(n % 3 == 0, "public").otherwise("private")
+    return read(spark, sf_dir, "nation").select(n.cast("long").alias("repo_id"), kind.alias("classification"))
 
 
 def _calendar(ts: str) -> list:
@@ -146,7 +147,7 @@ def comment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").where(o % 20 == 0).select(
+    return read(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 25).alias("repo_id"),
         F.concat(F.lit("v"), o.cast("string")).alias("name"),
         F.when(o % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("created_at"),
@@ -163,7 +164,7 @@ repositories AS (
          CASE WHEN n_nationkey % 2 = 0 THEN 'main' ELSE 'trunk' END AS head_branch, 'main' AS default_branch FROM nation
 ), names AS (SELECT repo_id, display_name AS repository FROM repositories WHERE active AND status IN ('ready', 'stale')
 ), privacy AS (
-  SELECT n_nationkey::BIGINT AS repo_id, CASE WHEN n_nationkey % 3 = 0 THEN 'public' ELSE 'private' END AS classification FROM nation WHERE n_nationkey % 5 <> 4
+  SELECT n_nationkey::BIGINT AS repo_id, CASE WHEN n_nationkey % 5 = 4 THEN NULL WHEN n_nationkey % 3 = 0 THEN 'public' ELSE 'private' END AS classification FROM nation
 )"""
 EVENTS = """
 raw_commits AS (
@@ -202,7 +203,7 @@ tree AS (SELECT (p_partkey % 25)::BIGINT AS repo_id, p_type AS language, count(*
   SELECT (p_partkey % 25)::BIGINT, p_type, CASE p_partkey % 3 WHEN 0 THEN 'line' WHEN 1 THEN 'block' ELSE 'documentation' END, 0, 0, sum(p_size)::BIGINT, 0 FROM part GROUP BY 1, 2, 3
 ), tags AS (
   SELECT (o_custkey % 25)::BIGINT AS repo_id, 'v' || o_orderkey AS name, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS created_at,
-         substr(sha256(o_orderkey::VARCHAR), 1, 40) AS object_hash FROM orders WHERE o_orderkey % 20 = 0
+         substr(sha256(o_orderkey::VARCHAR), 1, 40) AS object_hash FROM orders
 )"""
 CTES = {"events": EVENTS, "orders": ORDERS, "changes": CHANGES, "tree": TREE}
 
