@@ -84,6 +84,7 @@ def test_family_around_the_threshold(spark, monkeypatch):
     """Hundreds of edits of one text, many pairs just above or below the threshold, over several blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
+    monkeypatch.setattr(near_dedup, "HOT", 4)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(120)]
     rows = []

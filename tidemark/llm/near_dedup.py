@@ -30,6 +30,8 @@ SKETCH_BITS = 512
 PERCENT = 75
 #: Members of a bucket, and shingles of a family, that make up one block; a task compares two blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Groups with more than one in HOT of all rows, fewer than HOT by count, are joined by broadcast.
+HOT = 10_000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -241,6 +243,18 @@ def _in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
     return rows.withColumn("block", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")))
 
 
+def _met(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with ``groups``, one row for each key that counts its rows as ``size``.
+
+    Fewer than HOT groups hold more than one in HOT of the rows, so these are broadcast and their rows stay where they are; no task gets a
+    large group by shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = groups.where(F.col(size) * HOT > total)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups, key)
+    return rows.join(F.broadcast(large), key).unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``."""
     spark: SparkSession = docs.sparkSession
@@ -251,12 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets: one representative, its smallest id.
     best = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch"))
     classes = settle(
-        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(best.alias("r")).select("set_key", F.col("r.doc_id").alias("id"), "r.n_shingles", "r.bands", "r.sketch"),
+        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(best.alias("r"), F.count("*").alias("copies")).select("set_key", F.col("r.doc_id").alias("id"), "r.n_shingles", "r.bands", "r.sketch", "copies"),
         "classes",
     )
     banded = classes.select("id", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    members = settle(banded.join(leaders, "key"), "members")
+    leaders = settle(banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1"), "leaders")
+    members = settle(_met(banded, leaders, "key", "m"), "members")
     involved = members.select("id").distinct()
     sketches = settle(classes.select("id", "n_shingles", "sketch").join(involved, "id", "left_semi"), "sketches")
     sources = settle(texts.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("text is not null"), "sources")
@@ -275,20 +289,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = sketches.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n_shingles", "sketch")
     labelled = settle(labelled, "labelled")
     apart = members.where("m > 2").select("key", "id", "m").join(labelled.select("id", "comp", "sketch"), "id")
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    apart = _in_blocks(apart.join(mixed, "key", "left_semi"), "key", F.ceil(F.col("m") / BLOCK)).select("block", "comp", "sketch")
+    mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo < hi")
+    apart = _in_blocks(_met(apart, settle(mixed.select("key", "held"), "mixed"), "key", "held"), "key", F.ceil(F.col("m") / BLOCK)).select("block", "comp", "sketch")
     family = components(apart.repartition("block").sortWithinPartitions("block").mapInArrow(_families(cut), "a long, b long"))
 
     # Members of a family on whole sets, blocks of about BLOCK_SHINGLES against each other.
     kin = labelled.select("id", "comp", "n_shingles").join(family.select(F.col("id").alias("comp"), F.col("component").alias("family")), "comp")
-    sizes = kin.groupBy("family").agg(F.sum("n_shingles").alias("shingles"))
-    kin = _in_blocks(kin.join(sizes, "family"), "family", F.ceil(F.col("shingles") / BLOCK_SHINGLES)).select("block", "id", "comp")
+    kin = settle(kin, "kin")
+    sizes = settle(kin.groupBy("family").agg(F.sum("n_shingles").alias("shingles"), F.count("*").alias("held")), "sizes")
+    kin = _in_blocks(_met(kin, sizes, "family", "held"), "family", F.ceil(F.col("shingles") / BLOCK_SHINGLES)).select("block", "id", "comp")
     kin = kin.join(sources.select(F.col("doc_id").alias("id"), "text"), "id").select("block", "comp", "text")
     late = kin.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(percent), "a long, b long")
     moved = components(late).select(F.col("id").alias("component"), F.col("component").alias("final"))
 
-    ends = classes.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    ends = ends.join(moved, "component", "left").select("set_key", F.coalesce("final", "component").alias("component_id"))
-    joined = signed.select("doc_id", "n_shingles", "set_key").join(ends, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ends = classes.select("set_key", "id", "copies").join(found, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component"))
+    ends = ends.join(moved, "component", "left").select("set_key", "copies", F.coalesce("final", "component").alias("component_id"))
+    signed = signed.select("doc_id", "n_shingles", "set_key")
+    grouped = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
+    joined = _met(signed.where(grouped), settle(ends, "ends"), "set_key", "copies").select("doc_id", "n_shingles", "component_id")
+    joined = joined.unionByName(signed.where(~grouped).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
