@@ -97,6 +97,33 @@ def test_marginals_meet_targets(spark):
     assert abs(expected - mixing.BUDGET) < 1e-6 and abs(rows.loc[rows["sampled"], "n_tokens"].sum() / rows["n_tokens"].sum() - mixing.BUDGET) < 0.1
 
 
+@pytest.mark.parametrize("budget", [0.25, mixing.BUDGET])
+def test_marginals_of_probabilities_meet_targets(spark, budget):
+    """At 0.25 every default target can be met; at the default budget some values have fewer tokens than their share and keep all."""
+    rows = mixing.mixed(table(spark, SMALL, "documents"), budget=budget).where("n_tokens > 0").toPandas()
+    total = rows["n_tokens"].sum()
+    assert (rows["probability"] <= 1).all() and abs((rows["n_tokens"] * rows["probability"]).sum() / total - budget) < 1e-6
+    for name in mixing.DIMENSIONS:
+        have = rows.groupby(name)["n_tokens"].sum().sort_index()
+        target = have**0.5 / (have**0.5).sum()
+        got = (rows["n_tokens"] * rows["probability"]).groupby(rows[name]).sum().sort_index() / (budget * total)
+        share = have / (budget * total)
+        scarce = share < target
+        while (share[scarce] < (more := target / target[~scarce].sum() * (1 - share[scarce].sum()))[scarce]).all() and (new := scarce | (share < more)).sum() > scarce.sum():
+            scarce = new
+        want = share.where(scarce, target / target[~scarce].sum() * (1 - share[scarce].sum()))
+        assert np.allclose(got, want, atol=1e-6 if budget < mixing.BUDGET else 1e-3) and (budget == mixing.BUDGET or not scarce.any())
+
+
+def test_raking_under_a_ceiling():
+    weights, places = np.array([10.0, 90.0, 50.0, 50.0]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    targets = [np.array([0.5, 0.5]), np.array([0.5, 0.5])]
+    wants = [mixing.attainable(np.bincount(p, weights), t, 100.0) for p, t in zip(places, targets, strict=True)]
+    chance = mixing.probabilities(weights, mixing.rake(weights, places, targets), places, wants)
+    assert chance[0] == 1 and all(np.allclose(np.bincount(p, weights * chance), [50, 50], atol=1e-3) for p in places)
+    assert mixing.attainable(np.array([10.0, 100.0, 100.0]), np.array([0.5, 0.25, 0.25]), 100.0).tolist() == [10, 45, 45]
+
+
 def test_raking_by_aggregation_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROUNDS", 4)
     docs = table(spark, SF, "documents")

@@ -27,6 +27,8 @@ TEMPERATURE = 0.5
 #: The part of all tokens to keep.
 BUDGET = 0.7
 ROUNDS, CLOSE = 100, 1e-9
+#: How far a marginal of the expected tokens may stay from what is to be kept of it, as a part of all tokens kept.
+TOLERANCE = 1e-6
 MAX_CELLS = 100_000
 NONE = "(none)"
 
@@ -72,16 +74,48 @@ def rake(weights: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray
     return factor
 
 
-def probabilities(weights: np.ndarray, factor: np.ndarray, budget: float) -> np.ndarray:
-    """Factors scaled to ``budget`` expected tokens and trimmed at 1."""
-    full = np.zeros(len(weights), dtype=bool)
-    while True:
-        rest = (weights * factor)[~full].sum()
-        scale = (budget - weights[full].sum()) / rest if rest > 0 else 0.0
-        over = ~full & (factor > 0) & (factor * scale >= 1)
+def attainable(totals: np.ndarray, target: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens to keep of each value: its target share of ``budget`` if it has that many, else all, and the others share the rest by their targets."""
+    want = np.zeros(len(totals))
+    free = (target > 0) & (totals > 0)
+    left = min(budget, totals[free].sum())
+    while free.any():
+        part = np.where(free, target, 0.0)
+        part = part / part.sum() * left
+        over = free & (part >= totals)
         if not over.any():
-            return np.where(full, 1.0, np.clip(factor * scale, 0.0, 1.0))
-        full |= over
+            return np.where(free, part, want)
+        want[over] = totals[over]
+        left -= totals[over].sum()
+        free &= ~over
+    return want
+
+
+def _steps(want: np.ndarray, spent: np.ndarray, rest: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What multiplies the cells of each value that are below 1 to meet ``want``; where none is left, what takes the lowest to 1."""
+    return np.divide(np.maximum(want - spent, 0.0), rest, out=1.0 / low, where=rest > 0)
+
+
+def probabilities(weights: np.ndarray, factor: np.ndarray, places: list[np.ndarray], wants: list[np.ndarray]) -> np.ndarray:
+    """Raking with a ceiling: factors trimmed at 1, so that the marginals of ``weights`` times the probabilities are ``wants``."""
+    odds = factor
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for place, want in zip(places, wants, strict=True):
+            n = len(want)
+            now = np.bincount(place, weights * np.minimum(odds, 1.0), n)
+            worst = max(worst, np.abs(now - want).max() / max(want.sum(), 1.0))
+            low = np.full(n, np.inf)
+            live = (odds > 0) & (weights > 0)
+            np.minimum.at(low, place[live], odds[live])
+            step, before = np.zeros(n), -1
+            while (full := odds * step[place] >= 1).sum() > before:
+                before = full.sum()
+                step = _steps(want, np.bincount(place, weights * full, n), np.bincount(place, weights * odds * ~full, n), low)
+            odds = odds * step[place]
+        if worst < TOLERANCE:
+            break
+    return np.minimum(odds, 1.0)
 
 
 def _raked_here(cells: DataFrame, targets: dict[str, dict[str, float]], budget: float) -> DataFrame:
@@ -94,7 +128,9 @@ def _raked_here(cells: DataFrame, targets: dict[str, dict[str, float]], budget:
         places.append(rows[name].map(place).to_numpy(dtype=np.int64))
         shares.append(np.array([targets[name].get(v, 0.0) for v in values]))
     factor = rake(weights, places, shares)
-    chance = probabilities(weights, factor, budget * weights.sum())
+    reached = weights * (factor > 0)
+    wants = [attainable(np.bincount(p, reached, len(t)), t, budget * weights.sum()) for p, t in zip(places, shares, strict=True)]
+    chance = probabilities(weights, factor, places, wants)
     listed = [(*(r[n] for n in DIMENSIONS), float(f), float(p)) for (_, r), f, p in zip(rows.iterrows(), factor, chance, strict=True)]
     return cells.sparkSession.createDataFrame(listed, ", ".join(f"{n} string" for n in DIMENSIONS) + ", weight double, probability double")
 
@@ -118,18 +154,40 @@ def _raked_apart(cells: DataFrame, targets: dict[str, dict[str, float]], budget:
             now = settle(now.join(steps, name, "left").withColumn("weight", F.col("weight") * F.coalesce("step", F.lit(0.0))).drop("step"), "cells")
         if worst < CLOSE:
             break
-    full = F.lit(False)
-    while True:
-        state = now.withColumn("full", full)
-        spent = F.sum(F.when(F.col("full"), F.col("tokens")))
-        rest = F.sum(F.when(~F.col("full"), F.col("tokens") * F.col("weight")))
-        one = state.agg(spent.alias("spent"), rest.alias("rest")).first()
-        scale = (budget * total - (one["spent"] or 0)) / one["rest"] if one["rest"] else 0.0
-        over = F.col("weight") * F.lit(scale) >= 1
-        if state.where(~F.col("full") & over).isEmpty():
-            chance = F.when(F.col("full"), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("weight") * scale)))
-            return state.select(*DIMENSIONS, "weight", chance.alias("probability"))
-        full = full | over
+    values, wants = {}, {}
+    for name in DIMENSIONS:
+        totals = {r[0]: float(r[1]) for r in now.where("weight > 0").groupBy(name).agg(F.sum("tokens")).collect()}
+        values[name] = sorted(totals)
+        wants[name] = attainable(np.array([totals[v] for v in values[name]]), np.array([targets[name][v] for v in values[name]]), budget * total)
+    now = settle(now.withColumn("odds", F.col("weight")), "cells")
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for name in DIMENSIONS:
+            step, before = np.zeros(len(values[name])), -1
+            while True:
+                steps = spark.createDataFrame(list(zip(values[name], step.tolist(), strict=True)), f"{name} string, step double")
+                state = now.join(F.broadcast(steps), name, "left").withColumn("step", F.coalesce("step", F.lit(0.0)))
+                full = F.col("odds") * F.col("step") >= 1
+                sums = state.groupBy(name).agg(
+                    F.count_if(full).alias("full"),
+                    F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("spent"),
+                    F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("odds"))).alias("rest"),
+                    F.min(F.when((F.col("odds") > 0) & (F.col("tokens") > 0), F.col("odds"))).alias("low"),
+                    F.sum(F.col("tokens") * F.least("odds", F.lit(1.0))).alias("now"),
+                )
+                rows = {r[name]: r for r in sums.collect()}
+                if before < 0 and values[name]:
+                    kept = np.array([rows[v]["now"] for v in values[name]])
+                    worst = max(worst, np.abs(kept - wants[name]).max() / max(wants[name].sum(), 1.0))
+                if (grown := sum(r["full"] for r in rows.values())) <= before:
+                    break
+                before = grown
+                spent, rest = (np.array([float(rows[v][c]) for v in values[name]]) for c in ("spent", "rest"))
+                step = _steps(wants[name], spent, rest, np.array([rows[v]["low"] or np.inf for v in values[name]]))
+            now = settle(state.withColumn("odds", F.col("odds") * F.col("step")).drop("step"), "cells")
+        if worst < TOLERANCE:
+            break
+    return now.select(*DIMENSIONS, "weight", F.least("odds", F.lit(1.0)).alias("probability"))
 
 
 def mixed(
