@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tidemark.llm import near_dedup
 from tidemark.llm.common import buffers, shingle_hashes, table, word_hashes
-from tidemark.llm.fingerprints import differing_sections, fingerprint, fingerprints, likeness, spliced
+from tidemark.llm.fingerprints import OTHERS, differing_sections, fingerprint, fingerprints, likeness, pieces, spliced, tree
 from tidemark.llm.near_dedup import components, near_duplicates
 from tidemark.llm.packing import WINDOW, balance, encoder, pack_documents, windows
 from tidemark.llm.queries import piece_digests
@@ -283,3 +283,25 @@ def test_fingerprint_finds_edits():
     assert len(differing_sections(fingerprint(text), fingerprint(edited))) <= 2
     assert likeness(fingerprint(""), fingerprint(None)) == 1.0 and likeness(fingerprint("a"), fingerprint("")) == 0.0
     assert spliced("abcde", "xyz") == "abcxy" and spliced("abcdef", "x") == "abcx"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Orre " * 3000, "#$%&*!|" * 500, "x" * 5000, "| 12 | ab | 7.5 " * 200, " ".join(f"word{k * k}" for k in range(2000)), "! ".join(f"Cry {k * 7} of it" for k in range(300)),
+        "".join(chr(0x4E00 + k * k % 20000) for k in range(3000)), "a short line of a few dozen characters, no mark at all",
+    ],
+)
+def test_one_line_texts_have_bounded_leaves(text):
+    assert "".join(pieces(text)) == text and max(map(len, pieces(text))) <= OTHERS[1]
+    edited = spliced(text, "Quite another text 123, that goes on and on. " * 400)
+    share = likeness(fingerprint(text), fingerprint(edited))
+    assert share > 0 and (len(text) < 1000 or 0.3 < share < 0.8)
+
+
+def test_edits_within_one_line_are_found():
+    text = " ".join(f"word{k * k}" for k in range(4000))
+    edited = text.replace(" word4000000 ", " another thing ")
+    assert likeness(fingerprint(text), fingerprint(edited)) > 0.97
+    assert len(tree(text)) > 5 and 1 <= len(differing_sections(fingerprint(text), fingerprint(edited))) <= 2
+    assert max(len(s) for s in tree("Orre " * 90_000)) <= 32

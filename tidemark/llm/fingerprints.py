@@ -1,7 +1,9 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and their sentences.
 
-A leaf is a sentence of a paragraph (a line); a paragraph's node is the digest of its leaves; a section is a run of paragraphs that
-ends where a paragraph's digest says so, so an edit moves no boundary but its own; the root is the digest of the sections.
+A leaf is a sentence, or a piece of one: it ends after ". ", "! " or "? ", else where two characters in a row say so, else at the last space
+within its bound, else at its bound, so no text is a single long leaf. A paragraph is a line, or a run of leaves of a long one that ends where a
+leaf's digest says so; its node is the digest of its leaves. A section is a run of paragraphs that ends where a paragraph's first leaf says so.
+So an edit moves few boundaries but its own. Both runs are bounded too, as all leaves of repeating text are alike. The root is the digest of the sections.
 The fingerprint is a string ``root|leaf.leaf leaf ...;...`` from which every inner node can be rebuilt: equal roots
 mean equal texts, and differing branches locate edits.
 
@@ -13,6 +15,7 @@ one id follow each other by the hash of their text; a table of one row is its ow
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +27,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import settle, small_batches
 
-#: A section ends at a paragraph whose digest is a multiple of this.
-SECTION = 4
+#: A section ends at a paragraph whose digest is a multiple of this, a paragraph within a line at such a leaf; and at so many of them at most.
+SECTION, PARAGRAPH = 4, 16
+MOST_PARAGRAPHS, MOST_LEAVES = 32, 64
+#: The least and most characters of a line's first leaf, which is short so that short texts have several, and of the others.
+FIRST, OTHERS = (12, 24), (32, 64)
 #: Hexadecimal digits of a leaf.
 LEAF = 6
 
@@ -34,14 +40,46 @@ def _digest(parts: list[str]) -> str:
     return hashlib.blake2b("\n".join(parts).encode(), digest_size=16).hexdigest()
 
 
+def _class(k: int) -> str:
+    """A quarter of all characters but spaces, by a hash."""
+    return "".join(re.escape(chr(c)) for c in range(0x21, 0xD800) if not chr(c).isspace() and (c * 2654435761 >> 20) % 4 == k)
+
+
+def _cutter(least: int, most: int) -> re.Pattern:
+    pair = f"[{_class(0)}][{_class(1)}]"
+    return re.compile(f".{{10,{most - 2}}}?[.!?] |.{{{least - 2},{most - 2}}}?{pair}|.{{{least - 1},{most - 1}}} |.{{1,{most}}}", re.DOTALL)
+
+
+_FIRST, _OTHERS = _cutter(*FIRST), _cutter(*OTHERS)
+
+
+def pieces(line: str) -> list[str]:
+    """The leaves of a line as texts; together they are the line."""
+    if len(line) <= FIRST[1]:
+        return [line]
+    end = _FIRST.match(line).end()
+    return [line[:end], *_OTHERS.findall(line, end)]
+
+
 def tree(text: str | None) -> list[list[list[str]]]:
     """Leaf digests by section and paragraph."""
     sections: list[list[list[str]]] = [[]]
-    for line in (text or "").split("\n"):
-        leaves = [xxhash.xxh3_64_hexdigest(sentence.encode())[:LEAF] for sentence in line.split(". ")]
+
+    def add(leaves: list[str]) -> None:
         sections[-1].append(leaves)
-        if int(leaves[0], 16) % SECTION == 0:
+        if int(leaves[0], 16) % SECTION == 0 or len(sections[-1]) >= MOST_PARAGRAPHS:
             sections.append([])
+
+    for line in (text or "").split("\n"):
+        leaves: list[str] = []
+        for piece in pieces(line):
+            leaf = xxhash.xxh3_64_hexdigest(piece.encode())[:LEAF]
+            leaves.append(leaf)
+            if int(leaf, 16) % PARAGRAPH == 0 or len(leaves) >= MOST_LEAVES:
+                add(leaves)
+                leaves = []
+        if leaves:
+            add(leaves)
     return [s for s in sections if s]
 
 
