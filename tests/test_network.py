@@ -7,8 +7,11 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.operators import network
 
+SMALL = "/root/testdata/sf0.01"
+
 
 def plain(rows, start, gap):
     by_author, by_repo = {}, {}
@@ -53,3 +56,13 @@ def test_memberships_leave_out(spark):
     c = spark.createDataFrame(rows, "author_key string, repo_id long, repository string, author_name string, author_email string, author_is_bot boolean, is_trusted boolean")
     found = network.memberships(c.withColumn("activity_date", F.lit("2024-01-01").cast("date")), ignored=["(?i)renovate"])
     assert [r.author_key for r in found.rows.collect()] == ["a"] and found.excluded.first()[0] == 1
+
+
+def test_reach_stats_equal_those_of_a_plain_queue(spark):
+    members = queries._members(spark, SMALL)
+    rows = [tuple(r) for r in members.rows.select("author_key", "repo_id", "repository", "first_date", "last_date").collect()]
+    start = {r.author_key for r in network.references(queries.events(spark, SMALL), ["user 77"]).collect()}
+    want, _ = plain(rows, start, 5)
+    got = queries.QUERIES["network_reach_stats"].run(spark, SMALL).first()
+    assert (got.connected_authors, got.max_distance) == (len(want), max(want.values())) and got.authors == len({r[0] for r in rows})
+    assert got.connected_authors > len(start) and got.max_distance > 0

@@ -719,6 +719,14 @@ def network_stats(s, d):
     return network.stats(_members(s, d), start, limit=20)
 
 
+@query()
+def network_reach_stats(s, d):
+    """Survey item G7 whole: authors connected with the reference authors by the search, and its greatest distance. SQL is too slow for it; tested against a plain queue."""
+    members = _members(s, d)
+    start = network.references(events(s, d), ["user 77"])
+    return network.stats(members, network.distances(members.rows, start, gap=5), limit=20)
+
+
 # ------------------------------------------------------------------------------------------------ exploration and SQL
 _NESTED_HEALTH = f"""h AS ({_REPOS}), n AS (SELECT repo_id, language, files, bytes FROM tree)"""
 
