@@ -2,13 +2,18 @@
 
 Every step works on tables: equal sets collapse into one representative, representatives that share a band meet,
 an odd sketch (MinHash samples folded into a parity bitmap) discards pairs that are far from similar, and what is left is
-confirmed on whole sets. A bucket first links its members to its smallest one. Where a bucket still holds several components, the
-sketches of its members tell which components belong to one family, and the families are compared exactly, on whole
-sets, in blocks of bounded size. Tasks emit spanning edges only, never all pairs of a group.
+confirmed on whole sets. A bucket first links its members to its smallest one; a leader of many members is dealt out in
+copies, and its set is held once beside the stream of its members.
+
+Where a bucket still holds several components, its members meet once more, by rare shingles: with all shingles in one order, those of a single
+component first and then by frequency, two sets of that similarity share one of their first few. So texts that only have
+boilerplate in common never meet, however many they are. The sketches of those that meet tell which components belong to one
+family, and families are compared exactly, on whole sets, in blocks of bounded size; rows of a group's largest component meet the rest of
+the group but not each other, so each is in as many blocks as the rest fills. Tasks emit spanning edges only, never all pairs of a group.
 
 Nulls, ties and odd rows: a null or wordless text has an empty set, is linked with nothing and is kept. A row with a null
-id is linked with nothing, has a null component and is kept. Rows that repeat an id are one node. Columns of
-the input other than the id and the text are ignored.
+id is linked with nothing, has a null component and is kept. Rows that repeat an id are one node: all its texts link it. A very long text has a
+long set and is treated like any other. Columns of the input other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +33,17 @@ BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
 #: Sets are linked from this percentage of their union on.
 PERCENT = 75
-#: Members of a bucket, and shingles of a family, that make up one block; a task compares two blocks.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Members of a group, and shingles of a family, that make up one block; a task compares two blocks. Blocks divide work, not results.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 18
+#: Members that one copy of a leader is compared with.
+RUN = 4096
 #: Groups with more than one in HOT of all rows, fewer than HOT by count, are joined by broadcast.
 HOT = 10_000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+#: The column of ids that no two rows share.
+NODE = "_node"
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
@@ -103,21 +112,40 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
-    """Pairs with both texts to those whose whole sets are as similar as asked."""
+    """Rows (leader, run, id, text), sorted so that each run begins with its leader's own row, to pairs whose whole sets are as similar as asked."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: list[np.ndarray] = []
+        after_head = False
         for batch in batches:
-            left = shingle_hashes(*buffers(batch.column(2)))
-            right = shingle_hashes(*buffers(batch.column(3)))
+            leaders, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             linked = []
-            for a, b in zip(left, right, strict=True):
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(len(a) > 0 and 100 * shared >= percent * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            for a, b, own in zip(leaders, ids, shingle_hashes(*buffers(batch.column(3))), strict=True):
+                if a == b:
+                    heads = [*heads, own] if after_head else [own]
+                elif len(own):
+                    shared = [len(np.intersect1d(h, own, assume_unique=True)) for h in heads]
+                    if any(100 * n >= percent * (len(h) + len(own) - n) for n, h in zip(shared, heads, strict=True)):
+                        linked.append((a, b))
+                after_head = a == b
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return confirm
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, component, text) to one row for each shingle."""
+    for batch in batches:
+        sets = shingle_hashes(*buffers(batch.column(2)))
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        names = np.array([xxhash.xxh64_intdigest(x) for x in sets], dtype=np.uint64).view(np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        for at in range(0, len(flat), 1 << 17):
+            row = np.searchsorted(np.cumsum(sizes), np.arange(at, min(len(flat), at + (1 << 17))), side="right")
+            columns = [*(batch.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(names[row]), pa.array(sizes[row]), pa.array(flat[at : at + (1 << 17)].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "comp", "own", "n", "shingle"])
+
+
 def _far(a: str, b: str):
     """XOR population count of two sketch columns."""
     flips = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
@@ -165,18 +193,28 @@ class _Forest:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _families(cut: int):
-    """Rows (block, component, sketch), sorted by block, to edges between components with near members."""
+def _families(cut: int, percent: int):
+    """Rows (block, component, size, first, sketch), sorted by block, to edges between components with near members.
+
+    ``first`` tells whether the shingle they meet by is among the few of a smaller set. Rows of the most frequent component are not compared among themselves.
+    """
 
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            if rows.num_rows < 2:
+            comps = rows["comp"].to_numpy()
+            values, counts = np.unique(comps, return_counts=True)
+            if len(values) < 2:
                 continue
-            forest = _Forest(rows["comp"].to_numpy())
+            forest = _Forest(comps)
+            n, first = rows["n"].to_numpy(), rows["first"].to_numpy()
             bits = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
-            for k in range(rows.num_rows - 1):
-                near = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1, dtype=np.int64) <= cut
-                forest.join(k, np.flatnonzero(near & (forest.tree[k + 1 :] != forest.tree[k])) + k + 1)
+            for k in np.flatnonzero(comps != values[np.argmax(counts)]):
+                small, large = np.minimum(n, n[k]), np.maximum(n, n[k])
+                able = (100 * small >= percent * large) & np.where(n < n[k], first, np.where(n > n[k], first[k], first | first[k]))
+                some = np.flatnonzero(able & (forest.tree != forest.tree[k]))
+                if len(some):
+                    near = np.bitwise_count(bits[some] ^ bits[k]).sum(axis=1, dtype=np.int64) <= cut
+                    forest.join(int(k), some[near])
             if forest.edges:
                 yield forest.batch()
 
@@ -236,11 +274,24 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else live.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
-    """Rows with a column ``block``: each pair of ids under one key meets in a block, however many there are."""
-    own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
-    rows = rows.withColumn("_n", blocks.cast("int")).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return rows.withColumn("block", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")))
+def _in_blocks(rows: DataFrame, key: str, minor: Column, major: Column) -> DataFrame:
+    """Rows with a column ``block``: each pair of ids under one key meets in a block, but for pairs of the key's largest component.
+
+    ``minor`` and ``major`` are the numbers of parts that the other rows and those of the largest component (``main``) are dealt into.
+    """
+    s, m = minor.cast("int"), major.cast("int")
+    rows = rows.withColumns({"_s": s, "_m": m, "_minor": F.col("comp") != F.col("main")})
+    own = F.when(F.col("_minor"), F.pmod(F.xxhash64("id"), "_s")).otherwise(F.col("_s") + F.pmod(F.xxhash64("id"), "_m")).cast("int")
+    last = F.when(F.col("_minor"), F.col("_s") + F.col("_m")).otherwise(F.col("_s")) - 1
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumn("block", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_s", "_m", "_minor", "_own", "_other")
+
+
+def _parted(rows: DataFrame, key: str, weight: Column) -> DataFrame:
+    """(key, main, held, minor, major) for keys with several components: the largest component, its weight and that of the others, and all rows."""
+    each = rows.groupBy(key, "comp").agg(F.sum(weight).alias("w"), F.count("*").alias("c"))
+    whole = each.groupBy(key).agg(F.max(F.struct("w", "comp")).alias("top"), F.sum("w").alias("all"), F.sum("c").alias("held"), F.count("*").alias("comps")).where("comps > 1")
+    return whole.select(key, F.col("top.comp").alias("main"), "held", (F.col("all") - F.col("top.w")).alias("minor"), F.col("top.w").alias("major"))
 
 
 def _met(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
@@ -255,6 +306,19 @@ def _met(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     return rows.join(F.broadcast(large), key).unionByName(rest)
 
 
+def with_own_ids(docs: DataFrame, id_col: str = "doc_id", name: str = NODE) -> DataFrame:
+    """``docs`` with a column of longs that no two rows share: the id, or a number above all ids where it is null or not the row's alone."""
+    ids = docs.select(F.col(id_col).cast("long").alias(id_col))
+    repeated = settle(ids.groupBy(id_col).count().where(f"count > 1 or {id_col} is null").select(F.col(id_col).alias("_id")), "repeated")
+    if repeated.isEmpty():
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    top = ids.agg(F.max(id_col)).first()[0] or 0
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
+    once = docs.join(repeated, same, "left_anti").withColumn(name, F.col(id_col).cast("long"))
+    more = docs.join(repeated, same, "left_semi").withColumn(name, F.monotonically_increasing_id() + F.lit(top + 1))
+    return once.unionByName(settle(more, "numbered"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``."""
     spark: SparkSession = docs.sparkSession
@@ -276,28 +340,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sources = settle(texts.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("text is not null"), "sources")
     cut = sketch_cut(percent)
 
-    # Each member with the smallest member of its bucket.
-    stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    near = stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("u")), "a")
-    near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("v")), "b")
-    near = near.where(_far("u", "v") <= cut).select("a", "b")
-    near = near.join(sources.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
-    near = near.join(sources.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
-    found = components(near.select("a", "b", "s", "t").mapInArrow(_confirm(percent), "a long, b long"))
-
-    # Components that share a bucket, by the sketches of their members there: families.
-    labelled = sketches.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n_shingles", "sketch")
+    # Each member with the smallest member of its bucket. A leader's text goes once to every run of its members.
+    stars = members.where("id <> leader").select("leader", "id").distinct()
+    met = settle(stars.groupBy("leader").agg(F.count("*").alias("held")), "met")
+    ahead = met.join(sketches.select(F.col("id").alias("leader"), F.col("sketch").alias("u")), "leader")
+    near = _met(stars, settle(ahead, "ahead"), "leader", "held").join(sketches.select("id", F.col("sketch").alias("v")), "id")
+    near = settle(near.where(_far("u", "v") <= cut).select("leader", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / RUN)).cast("int").alias("run")), "near")
+    beside = near.join(sources.select(F.col("doc_id").alias("id"), "text"), "id").select("leader", "run", "id", "text")
+    heads = near.select("leader", "run").distinct().join(sources.select(F.col("doc_id").alias("leader"), "text"), "leader")
+    beside = beside.unionByName(heads.select("leader", "run", F.col("leader").alias("id"), "text"))
+    ordered = beside.repartition("leader", "run").sortWithinPartitions("leader", "run", F.col("id") != F.col("leader"))
+    found = components(ordered.mapInArrow(_confirm(percent), "a long, b long"))
+
+    # What still shares a bucket across components meets by rare shingles.
+    labelled = sketches.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sketch")
     labelled = settle(labelled, "labelled")
-    apart = members.where("m > 2").select("key", "id", "m").join(labelled.select("id", "comp", "sketch"), "id")
+    apart = members.where("m > 2").select("key", "id", "m").join(labelled.select("id", "comp"), "id")
     mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo < hi")
-    apart = _in_blocks(_met(apart, settle(mixed.select("key", "held"), "mixed"), "key", "held"), "key", F.ceil(F.col("m") / BLOCK)).select("block", "comp", "sketch")
-    family = components(apart.repartition("block").sortWithinPartitions("block").mapInArrow(_families(cut), "a long, b long"))
+    unsettled = settle(_met(apart.select("key", "id", "comp"), settle(mixed.select("key", "held"), "mixed"), "key", "held").select("id", "comp").distinct(), "unsettled")
+    texts = unsettled.join(sources.select(F.col("doc_id").alias("id"), "text"), "id").select("id", "comp", "text")
+    single = settle(texts.mapInArrow(_shingled, "id long, comp long, own long, n long, shingle long"), "shingles")
+    shared = single.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle", "df")
+    listed = _met(single, settle(shared, "shared"), "shingle", "df").groupBy("id", "comp", "own", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("by"))
+    # Of n shingles, as many of the first ones decide as may be missing; those of one component alone (n less the list's size) come before the list.
+    alone = F.col("n") - F.size("by")
+    wide = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    narrow = F.col("n") - F.ceil(2 * F.col("n") * percent / (100 + percent)) + 1 - alone
+    rare = listed.where(wide > 0).select("id", "comp", "n", narrow.alias("narrow"), F.posexplode(F.slice("by", F.lit(1), wide.cast("int"))).alias("at", "s"))
+    rare = settle(rare.select(F.col("s.shingle").alias("shingle"), "id", "comp", "n", (F.col("at") < F.col("narrow")).alias("first")), "rare")
+    groups = settle(_parted(rare, "shingle", F.lit(1)), "groups")
+    blocks = _in_blocks(_met(rare, groups, "shingle", "held"), "shingle", F.ceil(F.col("minor") / BLOCK), F.ceil(F.col("major") / BLOCK))
+    blocks = blocks.select("block", "id", "comp", "n", "first").join(labelled.select("id", "sketch"), "id").select("block", "comp", "n", "first", "sketch")
+    family = components(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_families(cut, percent), "a long, b long"))
 
     # Members of a family on whole sets, blocks of about BLOCK_SHINGLES against each other.
-    kin = labelled.select("id", "comp", "n_shingles").join(family.select(F.col("id").alias("comp"), F.col("component").alias("family")), "comp")
-    kin = settle(kin, "kin")
-    sizes = settle(kin.groupBy("family").agg(F.sum("n_shingles").alias("shingles"), F.count("*").alias("held")), "sizes")
-    kin = _in_blocks(_met(kin, sizes, "family", "held"), "family", F.ceil(F.col("shingles") / BLOCK_SHINGLES)).select("block", "id", "comp")
+    sizes = single.groupBy("id", "comp").agg(F.count("*").alias("n"))
+    kin = settle(sizes.join(family.select(F.col("id").alias("comp"), F.col("component").alias("family")), "comp"), "kin")
+    parted = settle(_parted(kin, "family", F.col("n")), "families")
+    kin = _in_blocks(_met(kin, parted, "family", "held"), "family", F.ceil(F.col("minor") / BLOCK_SHINGLES), F.ceil(F.col("major") / BLOCK_SHINGLES)).select("block", "id", "comp")
     kin = kin.join(sources.select(F.col("doc_id").alias("id"), "text"), "id").select("block", "comp", "text")
     late = kin.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(percent), "a long, b long")
     moved = components(late).select(F.col("id").alias("component"), F.col("component").alias("final"))
