@@ -1,14 +1,15 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-Each task tokenises its documents and cuts them into pieces. A piece as long as a window is a window of its own; the
-remainders gather until they fill about ``GROUP_WINDOWS`` windows and are then divided into near-equal windows by largest
+Each task tokenises its documents. As many ids of a document as fill windows go out as full windows, which differencing would leave alone; the
+remainders, whole, gather until they fill about ``GROUP_WINDOWS`` windows and are then divided into near-equal windows by largest
 differencing: two partial partitions with the greatest spread are merged, the heavy slots of one on the light slots
-of the other. If a window exceeds its capacity the number of windows rises by one and the group is divided again.
+of the other. If a window exceeds its capacity the number of windows rises by one and the group is divided again. Only the last part of a
+group is cut fine, so that there is something to even the windows out with.
 
 Nothing is shuffled and a task holds one batch and one group at a time. Every task pads at most its last group further.
 
-A null text is empty: its document is the one end id. Empty tables give no pieces; repeated rows are packed each; other
-columns of the input are ignored.
+A null text is empty: its document is the one end id. Empty tables give no pieces; repeated rows are packed each; a very long
+text is cut into many windows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from tidemark.llm.common import small_batches
 
 WINDOW = 1024
 END_ID = 0
-GROUP_WINDOWS = 64
-#: Remainders are cut into pieces of at most PIECE ids, and the last eighth of a group into pieces of at most FINE: differencing takes
+GROUP_WINDOWS = 128
+#: Remainders stay whole but in the last part TAIL of a group, where they are cut into pieces of at most FINE ids: differencing takes
 #: the small ones last and evens the windows out with them. SLACK of a group's room stays free for what they leave uneven.
-PIECE, FINE, SLACK = 256, 32, 0.004
+FINE, TAIL, SLACK = 64, 1 / 16, 0.004
 TOKENIZER = "byte_bpe_50k.json"
 #: The word pattern of this vocabulary. Possessive repeats match what the plain ones match, faster.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -101,8 +102,9 @@ def windows(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
         ways += 1
 
 
-def _pack(window: int, piece: int, fine: int, group: int, name: str):
+def _pack(window: int, fine: int, group: int, name: str):
     goal = group * window - int(group * window * SLACK)
+    late = goal - int(goal * TAIL)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name)
@@ -140,7 +142,7 @@ def _pack(window: int, piece: int, fine: int, group: int, name: str):
                     sequence += 1
                 start = whole
                 while start < total:
-                    most = piece if waiting < goal * 7 // 8 else fine
+                    most = window if waiting < late else fine
                     stop = min(start + most, total, start + goal - waiting)
                     held.append((doc_id, start, stop - start, ids[start:stop].tobytes(), total))
                     waiting += stop - start
@@ -161,7 +163,6 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = WINDOW,
-    piece: int = PIECE,
     fine: int = FINE,
     group: int = GROUP_WINDOWS,
     tokenizer: str = TOKENIZER,
@@ -169,4 +170,4 @@ def pack_documents(
     """One row for each piece: its document's id, where it starts there, its ids (little-endian unsigned 32 bits), its window and its offset in it."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(_pack(window, piece, fine, group, tokenizer), PIECES)
+    return texts.mapInArrow(_pack(window, fine, group, tokenizer), PIECES)
