@@ -6,7 +6,8 @@ completion. Only what an assistant says, up to its end mark, is to be learned; a
 Nulls, ties and odd rows: a null role or text is rendered as an empty one and equals only another null; a conversation without
 a rejected one has its last assistant turn as completion and null for the rejected columns; equal conversations have
 empty completions; rows without a conversation id are conversations of one turn each; turns that repeat a number follow each other by role and
-text. Other columns are ignored. Everything stays in DataFrame functions.
+text. A very long conversation or text is one row, as its rendered form is, and is read in one task. Other columns are ignored. Everything stays in
+DataFrame functions.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN = "struct<role:string,text:string>"
+SIZE = "struct<head:int,body:int,learn:boolean>"
+#: Turns that are added up together.
+CHUNK = 256
 OPEN, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -31,16 +35,29 @@ def _render(turns: Column) -> Column:
 
 
 def _spans(turns: Column) -> Column:
-    """(start, stop), in code points, of what is to be learned of the rendered turns."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+    """(start, stop), in code points, of what is to be learned of the rendered turns.
 
-    def step(state: Column, turn: Column) -> Column:
-        first = state["at"] + F.length(_head(turn))
-        stop = first + F.length(_body(turn))
-        grown = F.concat(state["spans"], F.array(F.struct(first.alias("start"), stop.alias("stop"))))
-        return F.struct(stop.alias("at"), F.when(turn["role"] == "assistant", grown).otherwise(state["spans"]).alias("spans"))
+    Turns are added up in chunks, so that the arrays that grow are short: those within a chunk, and one number for each chunk.
+    """
+    sizes = F.transform(turns, lambda t: F.struct(F.length(_head(t)).alias("head"), F.length(_body(t)).alias("body"), (t["role"] == "assistant").alias("learn")))
+    last = F.call_function("div", F.size(turns) - 1, F.lit(CHUNK)).cast("int")
+    chunks = F.when(F.size(turns) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(sizes, k * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array().cast(f"array<array<{SIZE}>>"))
 
-    return F.aggregate(turns, start, step, lambda state: state["spans"])
+    def step(state: Column, turn: Column) -> Column:
+        first = state["at"] + turn["head"]
+        grown = F.concat(state["spans"], F.array(F.struct(first.alias("start"), (first + turn["body"]).alias("stop"))))
+        return F.struct((first + turn["body"]).alias("at"), F.when(turn["learn"], grown).otherwise(state["spans"]).alias("spans"))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+    local = F.transform(chunks, lambda c: F.aggregate(c, empty, step))
+    ahead = F.aggregate(
+        chunks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("firsts")),
+        lambda s, c: F.struct(F.aggregate(c, s["at"], lambda n, t: n + t["head"] + t["body"]).alias("at"), F.concat(s["firsts"], F.array(s["at"])).alias("firsts")),
+        lambda s: s["firsts"],
+    )
+    moved = lambda l, first: F.transform(l["spans"], lambda x: F.struct((x["start"] + first).alias("start"), (x["stop"] + first).alias("stop")))
+    return F.flatten(F.zip_with(local, ahead, moved))
 
 
 def _after(turns: Column, prefix: Column) -> Column:
@@ -54,15 +71,21 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     alone = F.greatest(F.lit(0), F.size("chosen") - 1)
     prefix = F.when(F.col("rejected").isNull(), alone).when(differs == 0, F.size("chosen")).otherwise(differs - 1)
     found = pairs.withColumn("prefix_turns", prefix.cast("int"))
-    won, lost = _after(F.col("chosen"), F.col("prefix_turns")), _after(F.col("rejected"), F.col("prefix_turns"))
-    return found.select(
+    parts = found.select(
+        "id",
+        "prefix_turns",
+        F.slice("chosen", F.lit(1), F.col("prefix_turns")).alias("_prefix"),
+        _after(F.col("chosen"), F.col("prefix_turns")).alias("_won"),
+        _after(F.col("rejected"), F.col("prefix_turns")).alias("_lost"),
+    )
+    return parts.select(
         "id",
         "prefix_turns",
-        _render(F.slice("chosen", F.lit(1), F.col("prefix_turns"))).alias("prompt"),
-        _render(won).alias("chosen"),
-        _spans(won).alias("chosen_spans"),
-        _render(lost).alias("rejected"),
-        F.when(F.col("rejected").isNotNull(), _spans(lost)).alias("rejected_spans"),
+        _render(F.col("_prefix")).alias("prompt"),
+        _render(F.col("_won")).alias("chosen"),
+        _spans(F.col("_won")).alias("chosen_spans"),
+        _render(F.col("_lost")).alias("rejected"),
+        F.when(F.col("_lost").isNotNull(), _spans(F.col("_lost"))).alias("rejected_spans"),
     )
 
 
