@@ -24,9 +24,9 @@ CI_PATHS = {
 HEAD = 32_768
 
 
-def license_name(text: Column, path: Column | None = None) -> Column:
-    """The license of a text by its head, else the file's own name."""
-    upper = F.upper(F.substring(text, 1, HEAD))
+def license_name(text: Column, path: Column | None = None, head: int | None = HEAD) -> Column:
+    """The license of a text by its head (None: by all of it), else the file's own name."""
+    upper = F.upper(F.substring(text, 1, head) if head is not None else text)
     chain = F
     for name, marks in LICENSES:
         hit = F.lit(False)
