@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import settings
+from tests.conftest import SF
 from tidemark.operators import activity, code, people
 from tidemark.operators.effective import effective_commits, effective_file_changes
 from tidemark.plans import checks, report
@@ -130,6 +131,26 @@ def test_snapshot(spark, tables, tmp_path):
     assert not shot.registry().first().active and report.latest_run(shot.runs()).first().status == "complete"
 
 
+def test_rescans_replace_and_fail_safely(spark, tmp_path):
+    shot = snapshot.Snapshot(spark, f"file://{tmp_path}/snap")
+    shot.create()
+    tags = lambda rows: spark.createDataFrame(rows, "repo_id long, name string")
+    row = lambda repo, run: spark.createDataFrame([(repo, f"k{repo}", "n", "p", "ready", None, "f", "s", 1, run, True)], snapshot.REGISTRY.replace(", data_run long", ""))
+    shot.replace("tags", tags([(1, "a"), (1, "b"), (2, "c")]), run_id=1)
+    assert shot.read("tags").count() == 0  # nothing counts before its registry row
+    shot.commit(row(1, 1).union(row(2, 1)))
+    assert {r.name for r in shot.read("tags").collect()} == {"a", "b", "c"} and set(shot.read("tags").columns) == {"name", "repo_id"}
+    shot.replace("tags", tags([]), run_id=2)  # a rescan of 1 that finds no tags
+    shot.commit(row(1, 2))
+    assert {r.name for r in shot.read("tags").collect()} == {"c"}
+    shot.replace("tags", tags([(2, "half")]), run_id=3)  # a scan that dies before its registry row
+    assert {r.name for r in shot.read("tags").collect()} == {"c"}
+    shot.commit(shot.failed(spark.createDataFrame([(2, "k2", "n", "p", "f2")], "repo_id long, repo_key string, display_name string, path string, fingerprint string"), 4, "broken"))
+    assert {r.name for r in shot.read("tags").collect()} == {"c"}
+    shot.purge(["k2"], 5)
+    assert shot.read("tags").count() == 0 and not list((tmp_path / "snap" / "tags").rglob("repo_id=2/*.parquet"))
+
+
 def test_work_trees_of_one_repository(spark):
     rows = [("k", "/b", "public"), ("k", "/a", "private"), ("m", "/c", "public")]
     got = snapshot.deduplicated(spark.createDataFrame(rows, "repo_key string, path string, classification string"))
@@ -149,6 +170,27 @@ def test_only_queries(spark, text):
         checked(spark, text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT reflect('java.lang.System', 'setProperty', 'a', 'b')", "SELECT java_method('java.lang.System', 'getProperty', 'a')", "SELECT try_reflect('java.lang.System', 'exit', 1)",
+        "SELECT 1 WHERE EXISTS (SELECT reflect('java.lang.System', 'getProperty', 'a'))", "WITH a AS (SELECT java_method('java.lang.System', 'getProperty', 'a')) SELECT * FROM a",
+        f"SELECT count(*) FROM parquet.`{SF}/orders.parquet`", f"SELECT (SELECT count(*) FROM parquet.`{SF}/orders.parquet`)", "SELECT * FROM nowhere", "SELECT own_function(1)",
+        "SELECT x FROM range(1) LATERAL VIEW own_rows(1) AS x", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'a')", "SELECT * FROM python_worker_logs()",
+        "SELECT transform(array(1), x -> java_method('java.lang.System', 'getProperty', 'a'))",
+    ],
+)
+def test_nothing_outside_the_views(spark, text):
+    spark.udf.register("own_function", lambda x: x)
+    with pytest.raises(NotReadOnly):
+        checked(spark, text)
+
+
+def test_views_pass(spark):
+    spark.range(3).createOrReplaceTempView("seen")
+    checked(spark, "SELECT max(id) AS m, (SELECT count(*) FROM seen) FROM seen s JOIN (SELECT upper('a') AS u) WHERE s.id IN (SELECT id FROM Seen) GROUP BY s.id")
+
+
 def test_queries_pass(spark):
     for text in ("SELECT 1", "WITH a AS (SELECT 1 AS x) SELECT x FROM a UNION SELECT 2 ORDER BY 1 LIMIT 3", "SELECT count(*) FROM range(3) HAVING count(*) > 1", "VALUES (1), (2)"):
         checked(spark, text)

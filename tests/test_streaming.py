@@ -23,3 +23,14 @@ def test_streamed_days_and_sessions(spark, tmp_path):
     done = activity.replace_partitions(stream, f"{tmp_path}/out", f"{tmp_path}/ck", "author_key").trigger(availableNow=True).start()
     done.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 7
+
+
+def test_a_repository_over_two_batches(spark, tmp_path):
+    schema = "repo_id long, run_id long, hash string"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    for rows in ([(1, 1, "a"), (2, 1, "b")], [(1, 1, "c")], [(2, 2, "d")], [(2, 2, "e")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        activity.replace_partitions(stream, f"{tmp_path}/out", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = activity.latest_runs(spark.read.parquet(f"{tmp_path}/out"))
+    assert sorted((r.repo_id, r.hash) for r in got.collect()) == [(1, "a"), (1, "c"), (2, "d"), (2, "e")]

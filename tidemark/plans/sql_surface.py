@@ -19,6 +19,14 @@ _ROOTS = frozenset(
 )
 
 
+#: Functions of Spark's own that call into the JVM, and table functions that are allowed.
+_REACHING_OUT = frozenset("reflect java_method try_reflect".split())
+_TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
+#: Expressions that hold a plan, and those that stand for names known only later.
+_SUBQUERIES = frozenset("ScalarSubquery ListQuery Exists LateralSubquery DynamicPruningSubquery FunctionTableSubqueryArgumentExpression".split())
+_LATER = frozenset("ExpressionWithUnresolvedIdentifier NamedParameter PosParameter".split())
+
+
 class NotReadOnly(ValueError):
     """The statement would do more than read."""
 
@@ -41,20 +49,65 @@ def register(commits: DataFrame, changes: DataFrame, repositories: DataFrame) ->
     author_summary(commits, repositories).createOrReplaceTempView("v_author_summary")
 
 
-def _nodes(plan):
+def _items(sequence) -> list:
+    return [sequence.apply(k) for k in range(sequence.size())]
+
+
+def _name(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _plans(plan):
+    """A plan's nodes, and those of its common table expressions and of the subqueries in its expressions."""
     yield plan
-    children = plan.children()
-    for k in range(children.size()):
-        yield from _nodes(children.apply(k))
+    below = _items(plan.children())
+    if _name(plan) == "UnresolvedWith":
+        below += [x._2() for x in _items(plan.cteRelations())]
+    below += [e.plan() for e in _expressions(plan) if _name(e) in _SUBQUERIES]
+    for node in below:
+        yield from _plans(node)
+
+
+def _expressions(plan):
+    waiting = _items(plan.expressions())
+    while waiting:
+        found = waiting.pop()
+        yield found
+        waiting += _items(found.children())
+
+
+def _refuse_functions(spark: SparkSession, plan, own: frozenset[str]) -> None:
+    if _name(plan) == "UnresolvedTableValuedFunction":
+        name = ".".join(_items(plan.name())).lower()
+        if name not in _TABLE_FUNCTIONS:
+            raise NotReadOnly(f"{name} is not among the table functions of queries")
+    for e in _expressions(plan):
+        if _name(e) in _LATER:
+            raise NotReadOnly("names must be written out")
+        if _name(e) == "UnresolvedFunction":
+            name = ".".join(_items(e.nameParts())).lower()
+        elif _name(e) == "UnresolvedGenerator":
+            name = e.name().funcName().lower()
+        else:
+            continue
+        if name in _REACHING_OUT or name not in own:
+            raise NotReadOnly(f"{name} is not among Spark's own functions for queries")
 
 
 def checked(spark: SparkSession, text: str) -> str:
-    """``text`` if Spark's parser finds a single query in it."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    for node in _nodes(plan):
-        name = node.getClass().getSimpleName()
-        if name not in _ROOTS:
-            raise NotReadOnly(f"only queries are allowed, not {name}")
+    """``text`` if Spark's parser finds a single query in it that reads temporary views only and calls only Spark's own functions."""
+    state = spark._jsparkSession.sessionState()
+    plans = list(_plans(state.sqlParser().parsePlan(text)))
+    own = frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())
+    local = {x._1().lower() for plan in plans if _name(plan) == "UnresolvedWith" for x in _items(plan.cteRelations())}
+    for plan in plans:
+        if _name(plan) not in _ROOTS:
+            raise NotReadOnly(f"only queries are allowed, not {_name(plan)}")
+        if _name(plan) == "UnresolvedRelation":
+            parts = _items(plan.multipartIdentifier())
+            if len(parts) > 1 or parts[0].lower() not in local and not state.catalog().getTempView(parts[0]).isDefined():
+                raise NotReadOnly(f"{'.'.join(parts)} is no registered view")
+        _refuse_functions(spark, plan, own)
     return text
 
 

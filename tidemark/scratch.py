@@ -18,7 +18,7 @@ _SHIPPED: set[str] = set()
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this session under ``spark.checkpoint.dir``.
 
-    Where that is unset, a local master takes a temporary folder of this machine and any other master the warehouse.
+    Where that is unset, a local master takes a temporary folder of this machine and any other master the warehouse, unless that is a machine's own disk.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not root:
             local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
             root = "file://" + tempfile.mkdtemp(prefix="tidemark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            if not local and root.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _ROOTS[app] = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         atexit.register(_dropped, spark, _ROOTS[app])
     return _ROOTS[app]

@@ -106,7 +106,8 @@ def _log(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
     if not chosen or not git(path, "rev-list", "-n1", *chosen, check=False):
         return
     churn = history["collect_churn"]
-    args = ["log", f"--format={FORMAT}", "--date-order"]
+    # Whatever the user's own configuration says, the output is the one that is parsed.
+    args = ["log", f"--format={FORMAT}", "--date-order", "--no-color", "--no-show-signature", "--no-ext-diff", "--no-textconv", "--ignore-submodules"]
     args += ["--numstat", "-z", "--find-renames=50%" if history["detect_renames"] else "--no-renames"] if churn else []
     args += ["--use-mailmap"] if history["respect_mailmap"] else []
     args += ["--first-parent"] if history["first_parent"] else []

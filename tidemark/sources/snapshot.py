@@ -1,8 +1,8 @@
 """Snapshots: the data model as Parquet, replaced repository by repository.
 
-Tables are partitioned by repository and overwritten dynamically, so a scan replaces the partitions of the repositories it read and
-leaves the others alone. The registry row of a repository is written after its partitions and decides whether a later scan may
-skip it.
+Each scan writes the rows of its repositories under its own run; the registry row of a repository, written last, names the run whose rows
+count. So a scan replaces all rows of the repositories it read, also where it found none, over all tables at once, and a scan that dies midway changes nothing.
+The registry also decides whether a later scan may skip a repository.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 VERSION = 1
 REGISTRY = (
-    "repo_id long, repo_key string, display_name string, path string, status string, error string, fingerprint string, scan_signature string, commit_count long, run_id long, active boolean"
+    "repo_id long, repo_key string, display_name string, path string, status string, error string, fingerprint string, scan_signature string, commit_count long, run_id long, active boolean, data_run long"
 )
 
 
+#: The run that wrote a row.
+RUN = "scan_run"
+
+
 class VersionError(ValueError):
     """The snapshot was written by another version."""
 
@@ -43,8 +47,11 @@ class Snapshot:
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
     def read(self, table: str) -> DataFrame:
+        """The rows of the runs that the registry names, of repositories that are active."""
         self.check_version()
-        return self.spark.read.parquet(self.path(table))
+        rows = self.spark.read.parquet(self.path(table))
+        counting = self.registry().where("active").select("repo_id", F.col("data_run").alias(RUN))
+        return rows.withColumns({"repo_id": F.col("repo_id").cast("long"), RUN: F.col(RUN).cast("long")}).join(counting, ["repo_id", RUN], "left_semi").drop(RUN)
 
     def check_version(self) -> None:
         found = self.spark.read.json(self.path("_meta")).first()["version"] if self.exists("_meta") else None
@@ -55,19 +62,26 @@ class Snapshot:
         if not self.exists("_meta"):
             self.spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.json(self.path("_meta"))
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Overwrite the partitions of the repositories in ``rows``."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(self.path(table))
+    def next_run(self) -> int:
+        return (self.registry().agg(F.max("run_id")).first()[0] or 0) + 1
+
+    def replace(self, table: str, rows: DataFrame, run_id: int | None = None) -> None:
+        """Write the rows of a scan's repositories. They count, in place of older ones, once ``commit`` has their repositories' rows of this run."""
+        run = self.next_run() if run_id is None else run_id
+        rows = rows.withColumn(RUN, F.lit(run).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN, "repo_id").parquet(self.path(table))
 
     def registry(self) -> DataFrame:
-        """The latest row of each repository."""
+        """The latest row of each repository; of one run, the row that retires it, else the last by status and data."""
         if not self.exists("registry"):
             return self.spark.createDataFrame([], REGISTRY)
         rows = self.spark.read.schema(REGISTRY).parquet(self.path("registry"))
-        return rows.groupBy("repo_key").agg(F.max_by(F.struct(*rows.columns), "run_id").alias("r")).select("r.*")
+        return rows.groupBy("repo_key").agg(F.max_by(F.struct(*rows.columns), F.struct("run_id", ~F.col("active"), "status", "data_run")).alias("r")).select("r.*")
 
     def commit(self, rows: DataFrame) -> None:
-        """Append registry rows: from here on the partitions written before count."""
+        """Append registry rows: from here on the rows written in their ``data_run`` count, which is their own run unless it is given."""
+        if "data_run" not in rows.columns:
+            rows = rows.withColumn("data_run", F.col("run_id"))
         rows.select(*(c.split()[0] for c in REGISTRY.split(", "))).write.mode("append").parquet(self.path("registry"))
 
     def misses(self, probes: DataFrame, signature: str) -> DataFrame:
@@ -77,7 +91,7 @@ class Snapshot:
 
     def failed(self, probes: DataFrame, run_id: int, message: str) -> DataFrame:
         """Registry rows for a failed scan: stale where an older snapshot has commits, else in error."""
-        old = self.registry().select("repo_key", F.col("commit_count").alias("had"), F.col("fingerprint").alias("old_print"), F.col("scan_signature").alias("old_signature"))
+        old = self.registry().select("repo_key", F.col("commit_count").alias("had"), F.col("fingerprint").alias("old_print"), F.col("scan_signature").alias("old_signature"), "data_run")
         rows = probes.join(old, "repo_key", "left")
         return rows.select(
             "repo_id",
@@ -91,12 +105,19 @@ class Snapshot:
             F.coalesce("had", F.lit(0)).alias("commit_count"),
             F.lit(run_id).cast("long").alias("run_id"),
             F.lit(True).alias("active"),
+            "data_run",
         )
 
     def purge(self, repo_keys: list[str], run_id: int) -> None:
-        """Mark repositories as gone; their partitions no longer count."""
+        """Retire repositories, then delete their rows in every table."""
         gone = self.registry().where(F.col("repo_key").isin(repo_keys))
+        ids = [r[0] for r in gone.select("repo_id").collect()]  # at most as many as there are keys
         self.commit(gone.withColumns({"active": F.lit(False), "run_id": F.lit(run_id).cast("long"), "status": F.lit("error"), "commit_count": F.lit(0).cast("long")}))
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        store = hadoop(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for repo_id in ids:
+            for found in store.globStatus(hadoop(f"{self.root}/*/{RUN}=*/repo_id={repo_id}")) or ():
+                store.delete(found.getPath(), True)
 
     def log_run(self, run_id: int, status: str, found: int, scanned: int, cached: int, failed: int) -> None:
         columns = "run_id long, status string, repositories_found int, repositories_scanned int, repositories_cached int, repositories_failed int"

@@ -31,9 +31,19 @@ def bursts(commits: DataFrame, gap: str = "2 hours", lateness: str = "7 days", t
 
 
 def replace_partitions(commits: DataFrame, path: str, checkpoint: str, partition: str = "repo_id") -> DataStreamWriter:
-    """A writer that replaces, for each batch, the partitions it has rows of: a repository's rescan arrives as one batch."""
+    """A writer that keeps the rows of every batch by partition and batch: a batch that is run again replaces its own rows and no others.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    A rescan replaces a repository for readers by its run, however many batches it is spread over: see ``latest_runs``.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, "batch").parquet(path)
 
     return commits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def latest_runs(rows: DataFrame, partition: str = "repo_id", run: str = "run_id") -> DataFrame:
+    """The rows of each partition's greatest run, whichever batches brought them."""
+    last = rows.groupBy(partition).agg(F.max(run).alias(run))
+    return rows.join(last, [partition, run], "left_semi")
