@@ -6,8 +6,8 @@ its documents are kept. Hashes of the rows decide, so a sample is the same each
 
 Cells are few by nature and are raked on the driver up to ``max_cells``; beyond that the same steps run as aggregations.
 
-Nulls, ties and odd rows: a null source or language is a value of its own, ``(none)``; texts without tokens (null, empty) carry no
-weight and are not sampled; equal rows share one decision; values without a target keep nothing; an empty table gives no rows. All columns
+Nulls, ties and odd rows: a null source or language is a value of its own, ``(none)``, which all rows of a table without such a column have; texts without tokens (null, empty) carry no
+weight and are not sampled; equal rows share one decision; values without a target keep nothing; very long texts count whole; an empty table gives no rows. All columns
 of the input are passed on.
 """
 
@@ -196,22 +196,25 @@ def mixed(
     budget: float = BUDGET,
     id_col: str = "doc_id",
     text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
     topic: Column | None = None,
     seed: int = 17,
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """(row, source, lang, topic, n_tokens, weight, probability, sampled) for each row of ``docs``; ``row`` is the row itself."""
     text = F.col(text_col)
-    place = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic if topic is not None else structure_topic(text)}
+    given = lambda name: F.col(name) if name in docs.columns else F.lit(None)
+    place = {"source": given(source_col), "lang": given(lang_col), "topic": topic if topic is not None else structure_topic(text)}
     named = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in place.items()]
     draw = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     measured = docs.select(F.struct("*").alias("row"), *named, tokens(text).alias("n_tokens"), draw.alias("draw"))
     cells = settle(measured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     goals = {}
     for name in DIMENSIONS:
-        given = (targets or {}).get(name)
+        asked = (targets or {}).get(name)
         totals = {r[0]: float(r[1]) for r in cells.groupBy(name).agg(F.sum("tokens")).collect()}
-        goals[name] = _targets(totals, given)
+        goals[name] = _targets(totals, asked)
     few = cells.count() <= max_cells
     if not all(goals.values()):
         chances = cells.select(*DIMENSIONS, F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
