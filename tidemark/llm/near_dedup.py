@@ -34,7 +34,7 @@ SKETCH_BITS = 512
 #: Sets are linked from this percentage of their union on.
 PERCENT = 75
 #: Members of a group, and shingles of a family, that make up one block; a task compares two blocks. Blocks divide work, not results.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 18
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Members that one copy of a leader is compared with.
 RUN = 4096
 #: Groups with more than one in HOT of all rows, fewer than HOT by count, are joined by broadcast.
