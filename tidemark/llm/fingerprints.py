@@ -133,11 +133,17 @@ def _read(mark: str) -> tuple[int, list[Node]]:
 
 
 def _in_order(one: list[Node], two: list[Node]) -> list[tuple[int, int]]:
-    """Places of equal nodes in both, as many as rise in both: the longest rising run of the places of the same occurrence."""
+    """Places of equal nodes in both, rising in both: the common start and end, and between them the longest rising run of the places of the same occurrence."""
+    first, most = 0, min(len(one), len(two))
+    while first < most and one[first].digest == two[first].digest:
+        first += 1
+    last = 0
+    while last < most - first and one[-1 - last].digest == two[-1 - last].digest:
+        last += 1
     places = defaultdict(deque)
-    for j, node in enumerate(two):
-        places[node.digest].append(j)
-    pairs = [(i, places[x.digest].popleft()) for i, x in enumerate(one) if places.get(x.digest)]
+    for j in range(first, len(two) - last):
+        places[two[j].digest].append(j)
+    pairs = [(i, places[one[i].digest].popleft()) for i in range(first, len(one) - last) if places.get(one[i].digest)]
     ends: list[int] = []
     at: list[int] = []
     before: list[int] = []
@@ -154,7 +160,7 @@ def _in_order(one: list[Node], two: list[Node]) -> list[tuple[int, int]]:
     while k >= 0:
         found.append(pairs[k])
         k = before[k]
-    return found[::-1]
+    return [*((k, k) for k in range(first)), *found[::-1], *((len(one) - k, len(two) - k) for k in range(last, 0, -1))]
 
 
 def _shared(one: list[Node], two: list[Node], steps: int) -> int:
