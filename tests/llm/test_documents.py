@@ -285,6 +285,25 @@ def test_fingerprint_finds_edits():
     assert spliced("abcde", "xyz") == "abcxy" and spliced("abcdef", "x") == "abcx"
 
 
+def test_likeness_heeds_order_and_finds_words():
+    lines = [f"line {k} has {k * k} words" for k in range(80)]
+    turned = "\n".join(lines[40:] + lines[:40])
+    assert 0.4 < likeness(fingerprint("\n".join(lines)), fingerprint(turned)) < 0.6
+    assert likeness(fingerprint("\n".join(lines)), fingerprint("\n".join(lines[::-1]))) < 0.2
+    han = "".join(chr(0x4E00 + k * k % 20000) for k in range(2000))
+    for text in (han, " ".join(f"word{k * k}" for k in range(2000)), "".join(f"这是第{k * k}个句子。" for k in range(200))):
+        assert likeness(fingerprint(text), fingerprint(text[:700] + "改" + text[701:])) > 0.9
+
+
+def test_fingerprints_are_bounded():
+    text = " ".join(f"w{k * 7919 % 100003}" for k in range(200_000))
+    edited = text[: len(text) // 2] + "something else" + text[len(text) // 2 + 14 :]
+    mark = fingerprint(text)
+    assert len(mark) < 12_000 and 0.98 < likeness(mark, fingerprint(edited)) < 1
+    assert 0.4 < likeness(mark, fingerprint(text[: len(text) // 2] + "q " * (len(text) // 4))) < 0.6
+    assert likeness(mark, fingerprint("short")) == 0
+
+
 @pytest.mark.parametrize(
     "text",
     [

@@ -10,7 +10,8 @@ from tidemark.llm import mixing, queries
 from tidemark.llm.common import table
 from tidemark.llm.preferences import format_preferences, swapped_pairs
 from tidemark.llm.quality import estimate_prior, fit, quality, sigmoid
-from tidemark.llm.toxicity import toxicity
+from tidemark.llm.text_features import ABUSE, TOXIC_FEATURES, WORD, toxic_features
+from tidemark.llm.toxicity import FOLDS, lexicons, toxicity
 from tidemark.llm.url_filter import Digests, Rule, digest, judge, write_digests
 
 SMALL = "/root/testdata/sf0.01"
@@ -45,6 +46,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows) and len(rows) == table(spark, SMALL, "documents").count()
 
 
+def test_abuse_is_caught_on_held_out_rows(spark):
+    """All held-out toxic texts that hold a word of abuse, which some labels of these tables don't, and few others."""
+    docs = {r.doc_id: r.text for r in table(spark, SMALL, "documents").collect()}
+    toxic = {r.doc_id for r in table(spark, SMALL, "labels").where("toxic = 1").collect()}
+    rows = [r for r in queries.op6_toxicity(spark, SMALL).collect() if r.held_out]
+    abusive = {r.doc_id for r in rows if r.doc_id in toxic and ABUSE & set(WORD.findall((docs[r.doc_id] or "").lower()))}
+    assert len(abusive) > 10 and all(r.predicted for r in rows if r.doc_id in abusive)
+
+
+def test_disguised_words():
+    place = {n: k for k, n in enumerate(TOXIC_FEATURES)}
+    for text in ("you are an id!ot", "you are $tupid", "you are st@pid", "you 1d1ot"):
+        got = toxic_features(text, {"stapid": 3.0})
+        assert got[place["disguised_count"]] == 1 and got[place["near_second"]] > 0, text
+    plain = toxic_features("a|b c! $5 x@y.z you!", {})
+    assert plain[place["disguised_count"]] == plain[place["abuse_count"]] == 0
+
+
+def test_lexicons_leave_their_own_part_out(spark):
+    rows = [(k % FOLDS, int(k % 2), f"word{k} " + ("vile " if k % 2 else "fine ") + ("only0 only0 only0" if k % FOLDS == 0 and k % 2 else "")) for k in range(200)]
+    made = lexicons(spark.createDataFrame(rows, "part int, label int, text string"))
+    assert len(made) == FOLDS + 1 and all("vile" in x and "fine" not in x for x in made)
+    assert "only0" in made[FOLDS] and "only0" not in made[0]
+
+
 def test_quality_on_held_out_rows(spark):
     rows = queries.op10_quality(spark, SMALL).collect()
     score, predicted, label = held_out(rows, table(spark, SMALL, "labels"), "quality")
@@ -213,3 +239,30 @@ def test_pipeline_stages(spark):
             assert out.select("doc_id").distinct().count() == left.count()
         left = out
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicate_stage_keeps_every_text(spark):
+    """Rows are told apart though they share an id: a text goes only if one like it stays."""
+    w, u, t = (" ".join(f"{c}{k}" for k in range(40)) for c in "wut")
+    rows = [(1, w), (5, w), (5, u), (6, u + " z"), (7, t), (7, t), (None, t + " y"), (None, "a b c"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0, "n") for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(left, key=repr) == sorted([(1, w), (left[[x in (u, u + " z") for _, x in left].index(True)]), (7, t), (None, "a b c"), (8, None), (8, None)], key=repr)
+
+
+def test_stages_without_labels_keep_all_rows(spark, odd_docs, tmp_path):
+    table(spark, SF, "labels").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_good):
+        assert stage(spark, odd_docs, str(tmp_path)).count() == odd_docs.count()
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, odd_docs, SF), stage(spark, no_docs, SF)
+        assert none.count() == 0 and none.columns == got.columns
+        if name != "packing":
+            assert got.columns == odd_docs.columns and got.exceptAll(odd_docs).isEmpty()
+        else:
+            assert got.where("start = 0").count() == odd_docs.count()

@@ -129,5 +129,22 @@ SELECT conv_id, p::INTEGER AS prefix_turns, {_TEXT.format("prefix")} AS prompt,
 FROM parts
 """
 
+_OP9 = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM split
+), sized AS (SELECT doc_id, len(g)::BIGINT AS n, g FROM sets
+), each AS (SELECT doc_id, n, unnest(g) AS s FROM sized
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(doc_id, c) AS (SELECT DISTINCT x, x FROM ways UNION SELECT ways.y, reach.c FROM reach JOIN ways ON ways.x = reach.doc_id
+), least_of AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sized LEFT JOIN least_of USING (doc_id)
+"""
+
 #: DuckDB SQL where it can express a query.
-ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_preference_format": _OP4}
+ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_preference_format": _OP4, "op9_near_dedup": _OP9}
