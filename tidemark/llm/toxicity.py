@@ -62,15 +62,17 @@ def lexicons(examples: DataFrame, entries: int = LEXICON) -> list[dict[str, floa
 
     ``examples`` has columns part (0 to FOLDS - 1), label and text. Lexicon k leaves part k out and the last one leaves out nothing; at most ``entries`` units each.
     """
-    spark = examples.sparkSession
     sizes = {(r["part"], r["label"]): r["count"] for r in examples.groupBy("part", "label").count().collect()}
     total = [sum(n for (_, y), n in sizes.items() if y == label) for label in (0, 1)]
     rest = [(k, *(float(total[y] - sizes.get((k, y), 0)) for y in (0, 1))) for k in range(FOLDS + 1)]
     counted = examples.select("part", "label", "text").mapInArrow(_count_units, "part int, unit string, clean long, toxic long, support long")
     parts = counted.groupBy("unit", "part").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "support")))
     whole = parts.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "support")), F.map_from_entries(F.collect_list(F.struct("part", F.struct("clean", "toxic", "support")))).alias("own"))
-    without = spark.createDataFrame(rest, "part int, cleans double, toxics double").where("cleans > 0 and toxics > 0")
-    left = whole.where(F.col("support") >= SUPPORT).join(F.broadcast(without))  # FOLDS + 1 rows to each unit
+    without = [F.struct(F.lit(k).alias("part"), F.lit(c).alias("cleans"), F.lit(t).alias("toxics")) for k, c, t in rest if c and t]
+    made: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    if not without:
+        return made
+    left = whole.where(F.col("support") >= SUPPORT).select("*", F.explode(F.array(*without)).alias("rest")).select("*", "rest.*")
     own = lambda c: F.coalesce(F.try_element_at("own", "part")[c], F.lit(0))
     left = left.select("part", "unit", "cleans", "toxics", *((F.col(c) - own(c)).alias(c) for c in ("clean", "toxic", "support"))).where(F.col("support") >= SUPPORT)
     clean, toxic = F.col("clean") / F.col("cleans"), F.col("toxic") / F.col("toxics")
@@ -78,7 +80,6 @@ def lexicons(examples: DataFrame, entries: int = LEXICON) -> list[dict[str, floa
     weight = F.log((F.col("toxic") + 0.5) / F.col("toxics")) - F.log((F.col("clean") + 0.5) / F.col("cleans"))
     found = left.select("part", "unit", ((toxic - clean) / spread).alias("sure"), weight.alias("weight")).where((F.col("sure") > DEVIATIONS) & (F.col("weight") > 0.7))
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("sure"), "unit"))).where(F.col("place") <= entries)
-    made: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
     for r in best.collect():
         made[r["part"]][r["unit"]] = r["weight"]
     return made
