@@ -19,6 +19,8 @@ BLOCKS = (
 )
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 KINDS = ("line", "block", "documentation")
+#: What is trimmed from a line: Unicode's white space and the separators from U+001C to U+001F.
+WHITE = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def lines(text: Column) -> Column:
@@ -39,11 +41,13 @@ def line_counts(text: Column, language: Column) -> Column:
         counts = [(state[n] + (1 if n == counter else 0)).alias(n) for n in ("code", "blank", *KINDS)]
         return F.struct(*counts, is_open.alias("open"), quote.alias("quote"))
 
-    def step(state: Column, raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    def facts(line: Column) -> Column:
         mark = F.substring(line, 1, 3)
+        return F.struct(line.alias("line"), mark.alias("mark"), F.contains(F.substring(line, 4, 1 << 30), mark).alias("again"))
+
+    def step(state: Column, x: Column) -> Column:
+        line, mark, again = x["line"], x["mark"], x["again"]
         quoted = (language == "Python") & mark.isin('"""', "'''")
-        again = F.instr(F.substring(line, 4, 1 << 30), '"""').cast("boolean") & (mark == '"""') | F.instr(F.substring(line, 4, 1 << 30), "'''").cast("boolean") & (mark == "'''")
         inside = state["quote"] != ""
         prefixed = F.lit(False)
         for prefix in sorted({p for all_of in PREFIXES.values() for p in all_of}):
@@ -58,4 +62,6 @@ def line_counts(text: Column, language: Column) -> Column:
             .otherwise(bumped(state, "code", state["open"], state["quote"]))
         )
 
-    return F.aggregate(lines(text), empty, step, lambda s: F.struct(*(s[n].alias(n) for n in ("code", "blank", *KINDS))))
+    # A lambda's expressions are computed wherever they are used, so each is an array of its own before the fold.
+    trimmed = F.transform(lines(text), lambda raw: F.btrim(raw, F.lit(WHITE)))
+    return F.aggregate(F.transform(trimmed, facts), empty, step, lambda s: F.struct(*(s[n].alias(n) for n in ("code", "blank", *KINDS))))
