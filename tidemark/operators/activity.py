@@ -74,12 +74,16 @@ def dayparts(matrix: DataFrame) -> DataFrame:
     return _rolled(matrix, daypart(F.col("hour")).alias("daypart"))
 
 
-def work_time_shares(commits: DataFrame, working_days: Sequence[int] = (0, 1, 2, 3, 4), start: int = 8, end: int = 18) -> DataFrame:
-    """The shares of commits on other than working days, and then or outside working hours."""
+def work_time(working_days: Sequence[int] = (0, 1, 2, 3, 4), start: int = 8, end: int = 18) -> list[Column]:
+    """The shares of commits on other than working days, and then or outside working hours, as aggregates."""
     off = ~F.col("activity_weekday").isin(*working_days)
     late = off | (F.col("activity_hour") < start) | (F.col("activity_hour") >= end)
     all_of = F.count("*")
-    return commits.agg(F.try_divide(F.count_if(off), all_of).alias("weekend_share"), F.try_divide(F.count_if(late), all_of).alias("outside_work_time_share"))
+    return [F.try_divide(F.count_if(off), all_of).alias("weekend_share"), F.try_divide(F.count_if(late), all_of).alias("outside_work_time_share")]
+
+
+def work_time_shares(commits: DataFrame, working_days: Sequence[int] = (0, 1, 2, 3, 4), start: int = 8, end: int = 18) -> DataFrame:
+    return commits.agg(*work_time(working_days, start, end))
 
 
 def recent_windows(commits: DataFrame, as_of: Column, days: Sequence[int] = (30, 90, 365)) -> DataFrame:

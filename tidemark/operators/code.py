@@ -35,14 +35,19 @@ def churn_distribution(commits: DataFrame) -> DataFrame:
     return distribution(rows, F.col("insertions") + F.col("deletions"))
 
 
-def code_ratios(commits: DataFrame) -> DataFrame:
+def ratios() -> list[Column]:
+    """Shares of commits by what is known of their messages and changes, as aggregates."""
     all_of = F.count("*")
-    return commits.agg(
+    return [
         F.try_divide(F.count_if(F.col("message_type") != "other"), all_of).alias("typed_commit_share"),
         F.try_divide(F.count_if("has_issue_reference"), all_of).alias("issue_reference_share"),
         F.count_if("is_breaking").alias("breaking_changes"),
         F.try_divide(F.count_if("stats_collected"), all_of).alias("stats_known_share"),
-    )
+    ]
+
+
+def code_ratios(commits: DataFrame) -> DataFrame:
+    return commits.agg(*ratios())
 
 
 def _of_usable(tree: DataFrame, repositories: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.comments import KINDS
 from tidemark.functions.signals import density
 
 
@@ -39,22 +40,38 @@ def search(rows: DataFrame, text: str) -> DataFrame:
 
 
 def filtered_summary(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in ("commits", "merges", "insertions", "deletions", "files_changed")]
+    """The totals of the rows left; those of head trees where the rows hold them."""
+    sums = [F.sum(c).alias(c) for c in ("commits", "merges", "insertions", "deletions", "files_changed", "churn", "tree_files", "tree_bytes", "code_lines", "comment_lines") if c in rows.columns]
     kinds = [F.count_if(F.col("activity_status") == s).alias(f"{s}_repositories") for s in ("active", "quiet", "dormant", "empty")]
-    return rows.agg(F.count("*").alias("repositories"), F.count_if(F.col("commits") > 0).alias("repositories_with_commits"), *kinds, *sums)
+    found = rows.agg(F.count("*").alias("repositories"), F.count_if(F.col("commits") > 0).alias("repositories_with_commits"), *kinds, *sums)
+    return found.withColumn("comment_density", density(F.col("comment_lines"), F.col("code_lines"))) if {"code_lines", "comment_lines"} <= set(rows.columns) else found
 
 
 def filtered_languages(rows: DataFrame) -> DataFrame:
-    """The languages of the rows left, summed again."""
+    """The languages of the rows left, summed again, with their lines by kind of comment."""
     each = rows.select("repo_id", F.explode("languages").alias("x")).select("repo_id", "x.*")
-    sums = [F.sum(c).alias(c) for c in ("files", "bytes", "code_lines", "comment_lines")]
-    found = each.groupBy("language").agg(*sums, F.countDistinct("repo_id").alias("repositories"))
+    sums = [F.sum(c).alias(c) for c in ("files", "bytes", "code_lines", "comment_lines", "blank_lines")]
+    kinds = sorted_map({k: F.sum(F.try_element_at("comment_types", F.lit(k))) for k in KINDS}).alias("comment_types")
+    found = each.groupBy("language").agg(*sums, F.countDistinct("repo_id").alias("repositories"), kinds)
     return found.withColumn("comment_density", density(F.col("comment_lines"), F.col("code_lines"))).orderBy(F.desc("bytes"), "language")
 
 
-def merged_kinds(rows: DataFrame, column: str = "comment_types") -> DataFrame:
-    """Sums of the values of map columns by key."""
-    return rows.select(F.explode(column).alias("kind", "lines")).groupBy("kind").agg(F.sum("lines").alias("lines"))
+def sorted_map(values: dict[str, Column]) -> Column:
+    """A map of the values that aren't null."""
+    return F.map_filter(F.create_map(*(x for key in sorted(values) for x in (F.lit(key), values[key]))), lambda _, v: v.isNotNull())
+
+
+def filtered_file_types(rows: DataFrame) -> DataFrame:
+    """The file types of the rows left, summed again."""
+    each = rows.select("repo_id", F.explode("file_types").alias("x")).select("repo_id", "x.*")
+    found = each.groupBy("file_type").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.countDistinct("repo_id").alias("repositories"))
+    return found.orderBy(F.desc("bytes"), "file_type")
+
+
+def merged_kinds(rows: DataFrame) -> DataFrame:
+    """Comment lines by kind over all languages of the rows left."""
+    each = rows.select(F.explode("languages").alias("x")).select(F.explode("x.comment_types").alias("kind", "lines"))
+    return each.groupBy("kind").agg(F.sum("lines").alias("lines"))
 
 
 def sorted_view(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:

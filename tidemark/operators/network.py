@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.identities import matches_any
@@ -111,6 +111,13 @@ def direct_pairs(members: DataFrame, gap: int = 365, limit: int | None = 500) ->
     return pairs.limit(limit) if limit is not None else pairs
 
 
+def no_stats(spark: SparkSession) -> DataFrame:
+    """What a report holds in place of ``stats`` where the network is switched off."""
+    zero = F.lit(0).cast("long")
+    one = spark.range(1).select(F.lit(False).alias("enabled"), zero.alias("authors"), zero.alias("connected_authors"), F.lit(None).cast("int").alias("max_distance"))
+    return one.withColumns({"excluded_memberships": zero, "truncated": F.lit(False)})
+
+
 def stats(members: Memberships, reached: DataFrame, limit: int = 500) -> DataFrame:
     authors = members.rows.agg(F.countDistinct("author_key").alias("authors"))
     ends = reached.agg(F.count("*").alias("connected_authors"), F.max("distance").alias("max_distance"))

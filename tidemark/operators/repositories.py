@@ -42,19 +42,36 @@ def status_counts(rows: DataFrame) -> DataFrame:
 
 
 def nested_languages(tree: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """(repo_id, top_language, languages): languages as an array of structs, most bytes first, with their comment totals."""
+    """(repo_id, top_language, languages): languages as an array of structs, most bytes first, then by name, with their comment totals.
+
+    ``top_language`` prefers more files among equal bytes. Languages without comment totals have zeros and no density.
+    """
     rows = tree.select("repo_id", "language", "files", "bytes")
+    counts = ("code_lines", "comment_lines", "blank_lines")
+    pair = "struct<kind:string,lines:bigint>"
     if stats is not None:
-        whole = stats.where("kind = 'all'").select("repo_id", "language", "code_lines", "comment_lines")
-        rows = rows.join(whole, ["repo_id", "language"], "left")
+        whole = F.col("kind") == "all"
+        kinds = F.array_sort(F.collect_list(F.when(~whole, F.struct("kind", F.col("comment_lines").alias("lines")))))  # at most one for each kind
+        made = stats.groupBy("repo_id", "language").agg(*(F.sum(F.when(whole, F.col(c))).alias(c) for c in counts), kinds.cast(f"array<{pair}>").alias("kinds"))
+        rows = rows.join(made, ["repo_id", "language"], "left")
     else:
-        rows = rows.withColumns({"code_lines": F.lit(None).cast("long"), "comment_lines": F.lit(None).cast("long")})
+        rows = rows.withColumns({c: F.lit(None).cast("long") for c in counts} | {"kinds": F.lit(None).cast(f"array<{pair}>")})
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts} | {"kinds": F.coalesce("kinds", F.array().cast(f"array<{pair}>"))})
     rows = rows.withColumn("comment_density", density(F.col("comment_lines"), F.col("code_lines")))
-    order = F.struct((-F.col("bytes")).alias("b"), (-F.col("files")).alias("f"), "language", "files", "bytes", "code_lines", "comment_lines", "comment_density")
-    made = rows.groupBy("repo_id").agg(F.array_sort(F.collect_list(order)).alias("all"))
-    names = ("language", "files", "bytes", "code_lines", "comment_lines", "comment_density")
-    languages = F.transform("all", lambda x: F.struct(*(x[n].alias(n) for n in names)))
-    return made.select("repo_id", F.col("all")[0]["language"].alias("top_language"), languages.alias("languages"))
+    names = ("language", "files", "bytes", *counts, "comment_density")
+    made = rows.groupBy("repo_id").agg(
+        F.min(F.struct((-F.col("bytes")).alias("b"), (-F.col("files")).alias("f"), "language"))["language"].alias("top_language"),
+        F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("b"), *names, "kinds"))).alias("all"),
+    )
+    languages = F.transform("all", lambda x: F.struct(*(x[n].alias(n) for n in names), F.map_from_entries(x["kinds"]).alias("comment_types")))
+    return made.select("repo_id", "top_language", languages.alias("languages"))
+
+
+def nested_file_types(file_types: DataFrame) -> DataFrame:
+    """(repo_id, file_types): file types as an array of structs, most bytes first, then by name."""
+    each = F.struct((-F.col("bytes")).alias("b"), "file_type", "files", "bytes")
+    made = file_types.groupBy("repo_id").agg(F.array_sort(F.collect_list(each)).alias("all"))
+    return made.select("repo_id", F.transform("all", lambda x: F.struct(x["file_type"].alias("file_type"), x["files"].alias("files"), x["bytes"].alias("bytes"))).alias("file_types"))
 
 
 def top_language(tree: DataFrame) -> DataFrame:
@@ -62,8 +79,8 @@ def top_language(tree: DataFrame) -> DataFrame:
     return tree.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select("repo_id", "language", "files", "bytes")
 
 
-def warnings(rows: DataFrame, maximum: int | None = None) -> DataFrame:
-    """(repository, warnings): codes of what limits a repository's figures, for those with any."""
+def warning_codes(maximum: int | None = None) -> Column:
+    """What limits a repository's figures, as codes."""
     found = [
         F.when(F.col("is_shallow"), "shallow_history"),
         F.when(F.col("is_partial"), "partial_clone"),
@@ -72,8 +89,45 @@ def warnings(rows: DataFrame, maximum: int | None = None) -> DataFrame:
         F.when(F.col("status") == "error", "unreadable"),
         F.when(F.col("commits") >= maximum, "history_cut") if maximum is not None else F.lit(None).cast("string"),
     ]
-    listed = F.filter(F.array(*found), lambda w: w.isNotNull())
-    return rows.select(F.col("display_name").alias("repository"), listed.alias("warnings")).where(F.size("warnings") > 0)
+    return F.array_compact(F.array(*found))
+
+
+def warnings(rows: DataFrame, maximum: int | None = None) -> DataFrame:
+    """(repository, warnings) of the repositories with any."""
+    return rows.select(F.col("display_name").alias("repository"), warning_codes(maximum).alias("warnings")).where(F.size("warnings") > 0)
+
+
+_LANGUAGES = (
+    "array<struct<language:string,files:bigint,bytes:bigint,code_lines:bigint,comment_lines:bigint,blank_lines:bigint,comment_density:double,comment_types:map<string,bigint>>>"
+)
+_FILE_TYPES = "array<struct<file_type:string,files:bigint,bytes:bigint>>"
+
+
+def _nested_or_empty(rows: DataFrame, nested: DataFrame | None, kinds: dict[str, str]) -> DataFrame:
+    """``rows`` with the array columns of ``nested``, empty where a repository has none."""
+    if nested is not None:
+        rows = rows.join(nested, "repo_id", "left")
+    empty = {c: F.array().cast(kind) for c, kind in kinds.items()}
+    return rows.withColumns({c: none if nested is None else F.coalesce(F.col(c).cast(kinds[c]), none) for c, none in empty.items()})
+
+
+def with_contents(
+    rows: DataFrame, tree: DataFrame | None = None, stats: DataFrame | None = None, file_types: DataFrame | None = None, signals: DataFrame | None = None
+) -> DataFrame:
+    """Repositories with what their head trees hold: languages, file types, CI systems, licences and totals of lines.
+
+    ``tree_files`` and ``tree_bytes`` are sums over the languages unless the repositories have these columns.
+    """
+    rows = _nested_or_empty(rows, nested_languages(tree, stats) if tree is not None else None, {"languages": _LANGUAGES})
+    if tree is None:
+        rows = rows.withColumn("top_language", F.lit(None).cast("string"))
+    rows = _nested_or_empty(rows, nested_file_types(file_types) if file_types is not None else None, {"file_types": _FILE_TYPES})
+    found = signals.select("repo_id", "ci_systems", "licenses") if signals is not None else None
+    rows = _nested_or_empty(rows, found, {"ci_systems": "array<string>", "licenses": "array<string>"})
+    total = lambda name: F.aggregate("languages", F.lit(0).cast("long"), lambda s, x: s + x[name])
+    sums = {"code_lines": total("code_lines"), "comment_lines": total("comment_lines")}
+    sums |= {c: total(name) for c, name in (("tree_files", "files"), ("tree_bytes", "bytes")) if c not in rows.columns}
+    return rows.withColumns(sums).withColumn("comment_density", density(F.col("comment_lines"), F.col("code_lines")))
 
 
 def matrix(
@@ -85,13 +139,20 @@ def matrix(
     privacy: DataFrame | None = None,
     quiet: int = 90,
     dormant: int = 365,
+    file_types: DataFrame | None = None,
+    signals: DataFrame | None = None,
+    maximum: int | None = None,
+    include_paths: bool = False,
 ) -> DataFrame:
-    """One row for each active repository with everything known of it; aggregates are made before they are joined, so nothing fans out."""
+    """One row for each active repository with everything known of it; aggregates are made before they are joined, so nothing fans out.
+
+    Most commits first, then by name whatever the case. Paths are left out unless ``include_paths``; ``maximum`` is the bound on commits that a scan had.
+    """
     rows = with_status(repository_totals(repositories, commits, privacy), as_of, quiet, dormant).join(top_authors(commits), "repo_id", "left")
-    rows = rows.withColumn("bus_factor_50", F.coalesce("bus_factor_50", F.lit(0)))
-    if tree is not None:
-        rows = rows.join(nested_languages(tree, stats), "repo_id", "left")
-    return rows
+    rows = rows.withColumns({"bus_factor_50": F.coalesce("bus_factor_50", F.lit(0)), "churn": F.col("insertions") + F.col("deletions"), "warnings": warning_codes(maximum)})
+    rows = with_contents(rows, tree, stats, file_types, signals)
+    rows = rows if include_paths else rows.drop("path")
+    return rows.orderBy(F.desc("commits"), F.lower("display_name"), "repo_id")
 
 
 def releases(tags: DataFrame, repositories: DataFrame, limit: int = 500) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any, NamedTuple
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import settings as make_settings
+from tidemark.functions.signals import density
 from tidemark.operators import activity, code, network, people, repositories
 from tidemark.operators.effective import effective_commits, effective_file_changes, with_author
 
@@ -25,12 +27,18 @@ class Tables(NamedTuple):
     privacy: DataFrame | None = None
     runs: DataFrame | None = None
     errors: DataFrame | None = None
+    file_types: DataFrame | None = None
+    signals: DataFrame | None = None
 
 
 def summary(tables: Tables, commits: DataFrame, as_of: Column, work_time: Mapping[str, Any], quiet: int, dormant: int) -> DataFrame:
-    """One row with the figures of the whole portfolio; each part is an aggregate of one row."""
+    """One row with the figures of the whole portfolio; each part is an aggregate of one row.
+
+    Numbers of branches are there if the repositories have them. What isn't known counts as nothing; shares of nothing are null.
+    """
     merge, bot = F.col("is_merge").cast("int"), F.col("author_is_bot").cast("int")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    late = activity.work_time(work_time["working_days"], work_time["start_hour"], work_time["end_hour"])
     totals = commits.agg(
         F.count("*").alias("commits"),
         zero(merge).alias("merge_commits"),
@@ -45,8 +53,12 @@ def summary(tables: Tables, commits: DataFrame, as_of: Column, work_time: Mappin
         zero("deletions").alias("deletions"),
         zero("files_changed").alias("files_changed"),
         zero("binary_files").alias("binary_files"),
-    )
+        *code.ratios(),
+        *late,
+    ).drop("stats_known_share")
     rows = repositories.with_status(repositories.repository_totals(tables.repositories, commits), as_of, quiet, dormant)
+    rows = repositories.with_contents(rows, tables.tree, tables.comments, tables.file_types, tables.signals)
+    held = ("tree_files", "tree_bytes", "code_lines", "comment_lines", "local_branches", "remote_branches")
     health = rows.agg(
         F.count("*").alias("repositories"),
         F.count_if(F.col("commits") > 0).alias("repositories_with_commits"),
@@ -54,12 +66,14 @@ def summary(tables: Tables, commits: DataFrame, as_of: Column, work_time: Mappin
         F.count_if(F.col("status").isin("stale", "error")).alias("failed_repositories"),
         F.count_if("is_shallow").alias("shallow_repositories"),
         F.count_if("is_partial").alias("partial_repositories"),
+        *(zero(c).alias(c) for c in held if c in rows.columns),
+        F.count_if(F.size("ci_systems") > 0).alias("repositories_with_ci"),
+        F.count_if(F.size("licenses") > 0).alias("repositories_with_license"),
     )
     raw_bots = tables.commits.join(repositories.usable_repositories(tables.repositories).select("repo_id"), "repo_id", "left_semi")
     one = totals.crossJoin(health).crossJoin(raw_bots.agg(zero(bot).alias("bot_commits_raw")))  # one row each, as all below
     one = one.crossJoin(people.new_authors(commits, as_of).withColumnRenamed("new_authors", "new_authors_last_30_days"))
-    one = one.crossJoin(people.author_concentration(commits)).crossJoin(code.code_ratios(commits).drop("stats_known_share"))
-    one = one.crossJoin(activity.work_time_shares(commits, work_time["working_days"], work_time["start_hour"], work_time["end_hour"]))
+    one = one.crossJoin(people.author_concentration(commits).withColumnsRenamed({"gini": "author_gini", "hhi": "author_hhi"}))
     streak = activity.longest_streak(commits).select(F.col("days").alias("longest_streak_days"), F.col("start").alias("longest_streak_start"), F.col("end").alias("longest_streak_end"))
     one = one.crossJoin(streak).crossJoin(activity.longest_gap(commits).select(F.col("days_without_commits").alias("longest_gap_days")))
     one = one.crossJoin(activity.active_day_stats(commits).select(F.col("average_commits").alias("average_commits_per_active_day")))
@@ -70,6 +84,9 @@ def summary(tables: Tables, commits: DataFrame, as_of: Column, work_time: Mappin
             "merge_share": F.try_divide("merge_commits", "commits"),
             "churn": F.col("additions") + F.col("deletions"),
             "active_repository_share": F.try_divide("active_repositories", "repositories"),
+            "ci_coverage": F.try_divide("repositories_with_ci", "repositories"),
+            "license_coverage": F.try_divide("repositories_with_license", "repositories"),
+            "comment_density": density(F.col("comment_lines"), F.col("code_lines")),
         }
     )
 
@@ -93,6 +110,31 @@ def insights(commits: DataFrame, tables: Tables) -> DataFrame:
     return one
 
 
+#: What a report says of the run behind it, and of the history that was read.
+RUN_FIELDS = ("run_id", "started_at", "finished_at", "repositories_found", "repositories_scanned", "repositories_cached", "repositories_failed", "status")
+HISTORY_FIELDS = (
+    "scope", "refs", "since", "until", "first_parent", "include_merges", "include_bots", "deduplicate_global", "activity_timestamp", "timezone", "respect_mailmap", "collect_churn",
+    "detect_renames", "store_file_details", "store_subjects", "collect_tree", "collect_releases", "max_commits_per_repository",
+)
+
+
+def meta(runs: DataFrame, over: Mapping[str, Any] | None = None, roots: str = "roots") -> DataFrame:
+    """One row about the report: the latest run, its roots (numbered unless paths may be shown) and the settings as JSON.
+
+    Of fields that ``runs`` lacks there are nulls, and no roots; without any run the row has nulls for all of it.
+    """
+    s = make_settings(over)
+    columns = [F.col(c) if c in runs.columns else F.lit(None).cast("string").alias(c) for c in (*RUN_FIELDS, "tool_version")]
+    at = (F.col(roots) if roots in runs.columns else F.array()).cast("array<string>")
+    latest = runs.select(*columns, at.alias("roots")).agg(F.max_by(F.struct(*RUN_FIELDS, "tool_version", "roots"), "run_id").alias("r"))
+    shown = F.coalesce("r.roots", F.array().cast("array<string>"))
+    if not s["privacy"]["include_absolute_paths"]:
+        shown = F.transform(shown, lambda _, k: F.concat(F.lit("Root "), (k + 1).cast("string")))
+    parts = {name: s[name] for name in ("work_time", "privacy", "profile", "report")} | {"history": {k: s["history"][k] for k in HISTORY_FIELDS}}
+    texts = [F.lit(json.dumps(parts[name], ensure_ascii=False)).alias(name) for name in sorted(parts)]
+    return latest.select(F.lit(s["report"].get("title")).cast("string").alias("title"), shown.alias("roots"), "r.tool_version", F.struct(*(F.col(f"r.{c}") for c in RUN_FIELDS)).alias("run"), *texts)
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("run_id")).limit(1)
 
@@ -124,7 +166,10 @@ def build(tables: Tables, as_of: Column, over: Mapping[str, Any] | None = None)
         "busiest_days": activity.busiest_days(commits),
         "contributors": people.contributors(commits, anonymous, emails),
         "concentration": people.author_concentration(commits),
-        "repositories": repositories.matrix(tables.repositories, commits, as_of, tables.tree, tables.comments, tables.privacy, quiet, dormant),
+        "repositories": repositories.matrix(
+            tables.repositories, commits, as_of, tables.tree, tables.comments, tables.privacy, quiet, dormant, tables.file_types, tables.signals,
+            history["max_commits_per_repository"], privacy["include_absolute_paths"],
+        ),
         "commit_types": code.commit_types(commits),
         "commit_sizes": code.commit_sizes(commits),
         "churn_distribution": code.churn_distribution(commits),
@@ -150,6 +195,7 @@ def build(tables: Tables, as_of: Column, over: Mapping[str, Any] | None = None)
     out["repository_warnings"] = repositories.warnings(repositories.repository_totals(tables.repositories, commits), maximum)
     if tables.runs is not None:
         out["latest_run"] = latest_run(tables.runs)
+        out["meta"] = meta(tables.runs, over)
         if tables.errors is not None:
             out["errors"] = run_errors(tables.errors, tables.runs)
     if net["enabled"]:
@@ -161,4 +207,6 @@ def build(tables: Tables, as_of: Column, over: Mapping[str, Any] | None = None)
         out["network_authors"] = network.author_rows(found.rows, reached, net["max_display_nodes"])
         out["network_pairs"] = network.direct_pairs(found.rows, net["max_contribution_gap_days"], net["max_display_nodes"])
         out["network_stats"] = network.stats(found, reached, net["max_display_nodes"])
+    else:
+        out["network_stats"] = network.no_stats(commits.sparkSession)
     return out

@@ -369,7 +369,7 @@ def status_counts(s, d):
 
 
 _NESTED = """SELECT repo_id, arg_min(language, (-bytes, -files, language)) AS top_language,
-  string_agg(concat_ws(':', language, files, bytes, code_lines, comment_lines), ',' ORDER BY bytes DESC, files DESC, language) AS languages
+  string_agg(concat_ws(':', language, files, bytes, code_lines, comment_lines), ',' ORDER BY bytes DESC, language) AS languages
 FROM tree LEFT JOIN (SELECT repo_id, language, code_lines, comment_lines FROM comment_totals WHERE kind = 'all') USING (repo_id, language) GROUP BY repo_id"""
 
 
@@ -380,6 +380,67 @@ def repo_languages_nested(s, d):
     return rows.withColumn("languages", F.array_join(text, ","))
 
 
+def whole_matrix(s: SparkSession, d: str) -> DataFrame:
+    stats = (a.tree(s, d), a.comment_totals(s, d), a.privacy(s, d))
+    return repositories.matrix(a.repositories(s, d), events(s, d), day("2024-04-27"), *stats, 88, 89, a.file_types(s, d), a.tree_signals(s, d), 90)
+
+
+_MATRIX = f"""SELECT p.* EXCLUDE (merges, files_changed), coalesce(merges, 0) AS merges, insertions + deletions AS churn, top_author, round(top_author_share, 6) AS top_author_share,
+  coalesce(bus_factor_50, 0) AS bus_factor_50, top_language, coalesce(languages, '') AS languages, coalesce(file_types, '') AS file_types, coalesce(ci_systems, '') AS ci_systems,
+  coalesce(licenses, '') AS licenses, coalesce(code_lines, 0) AS code_lines, coalesce(comment_lines, 0) AS comment_lines, round(comment_lines / nullif(code_lines + comment_lines, 0), 6) AS comment_density,
+  coalesce(tree_files, 0) AS tree_files, coalesce(tree_bytes, 0) AS tree_bytes,
+  concat_ws(',', CASE WHEN is_shallow THEN 'shallow_history' END, CASE WHEN is_partial THEN 'partial_clone' END, CASE WHEN is_bare THEN 'bare_repository' END,
+    CASE WHEN p.status = 'stale' THEN 'stale_snapshot' END, CASE WHEN p.status = 'error' THEN 'unreadable' END, CASE WHEN commits >= 90 THEN 'history_cut' END) AS warnings
+FROM ({_REPOS}) p JOIN (SELECT repo_id, is_shallow, is_partial, is_bare FROM repositories) USING (repo_id) LEFT JOIN (
+  SELECT repo_id, name AS top_author, commits / total AS top_author_share, bf50 AS bus_factor_50 FROM (
+    SELECT repo_id, max(author_name) AS name, count(*) AS commits, sum(count(*)) OVER (PARTITION BY repo_id) AS total,
+      row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, author_key) AS k FROM ec GROUP BY repo_id, author_key) t
+  JOIN ({_SPREAD.format(key="g,", g="repo_id", rows="ec", group="GROUP BY g")}) ON g = t.repo_id WHERE k = 1) USING (repo_id) LEFT JOIN (
+  SELECT repo_id, arg_min(language, (-bytes, -files, language)) AS top_language, sum(code_lines)::BIGINT AS code_lines, sum(comment_lines)::BIGINT AS comment_lines,
+    sum(files)::BIGINT AS tree_files, sum(bytes)::BIGINT AS tree_bytes,
+    string_agg(concat_ws(':', language, files, bytes, code_lines, comment_lines, blank_lines, kinds), ',' ORDER BY bytes DESC, language) AS languages
+  FROM tree LEFT JOIN (
+    SELECT repo_id, language, sum(code_lines)::BIGINT AS code_lines, (sum(comment_lines) FILTER (kind = 'all'))::BIGINT AS comment_lines, sum(blank_lines)::BIGINT AS blank_lines,
+      string_agg(kind || '=' || comment_lines, '+' ORDER BY kind) FILTER (kind <> 'all') AS kinds FROM comment_totals GROUP BY 1, 2) USING (repo_id, language) GROUP BY repo_id) USING (repo_id)
+LEFT JOIN (SELECT repo_id, string_agg(concat_ws(':', file_type, files, bytes), ',' ORDER BY bytes DESC, file_type) AS file_types FROM file_types GROUP BY 1) USING (repo_id)
+LEFT JOIN tree_signals USING (repo_id)"""
+
+
+@query(_MATRIX, "events", "tree")
+def matrix(s, d):
+    """Survey item A16 whole; nested columns as text."""
+    kinds = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), "+")
+    counts = ("language", "files", "bytes", "code_lines", "comment_lines", "blank_lines")
+    texts = {
+        "languages": F.array_join(F.transform("languages", lambda x: F.concat_ws(":", *(x[c] for c in counts), kinds(x["comment_types"]))), ","),
+        "file_types": F.array_join(F.transform("file_types", lambda x: F.concat_ws(":", x["file_type"], x["files"], x["bytes"])), ","),
+        "merges": F.coalesce("merges", F.lit(0)),
+    }
+    more = ("churn", "top_author", "top_author_share", "bus_factor_50", "top_language", "languages", "file_types", "ci_systems", "licenses", "code_lines", "comment_lines", "comment_density")
+    columns = [c for c in _REPO_COLUMNS if c != "files_changed"]
+    return rounded(whole_matrix(s, d).withColumns(texts | joined("ci_systems", "licenses", "warnings")).select(*columns, *more, "tree_files", "tree_bytes", "warnings"))
+
+
+_FILE_TYPE_LEFT = """repo_id IN (SELECT repo_id FROM repositories WHERE active) AND repo_id IN (SELECT repo_id FROM file_types WHERE file_type = (SELECT min(p_brand) FROM part))"""
+
+
+def _with_file_type(s: SparkSession, d: str) -> DataFrame:
+    wanted = a.read(s, d, "part").agg(F.min("p_brand")).first()[0]
+    return explore.filter_repositories(whole_matrix(s, d), file_types=[wanted])
+
+
+@query(
+    f"SELECT file_type, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, count(DISTINCT repo_id) AS repositories FROM file_types WHERE {_FILE_TYPE_LEFT} GROUP BY 1", "tree"
+)
+def filtered_file_types(s, d):
+    return explore.filtered_file_types(_with_file_type(s, d))
+
+
+@query(f"SELECT kind, sum(comment_lines)::BIGINT AS lines FROM comment_totals WHERE kind <> 'all' AND {_FILE_TYPE_LEFT} GROUP BY 1", "tree")
+def filtered_comment_kinds(s, d):
+    return explore.merged_kinds(_with_file_type(s, d))
+
+
 @query("SELECT repo_id, language, files, bytes FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY bytes DESC, files DESC, language) AS k FROM tree) WHERE k = 1", "tree")
 def top_language(s, d):
     return repositories.top_language(a.tree(s, d))
@@ -616,6 +677,20 @@ def comment_state_machine(s, d):
 
 
 # ------------------------------------------------------------------------------------------------ whole portfolio
+_ACTIVE = "SELECT repo_id FROM repositories WHERE active"
+_EC_DAYS = "SELECT DISTINCT activity_date AS day FROM ec"
+_EC_RUNS = f"""SELECT count(*)::INTEGER AS days, min(day) AS start, max(day) AS "end" FROM (SELECT day, day - row_number() OVER (ORDER BY day)::INTEGER AS run FROM ({_EC_DAYS}))
+    GROUP BY run ORDER BY days DESC, start LIMIT 1"""
+_LINES = f"(SELECT {{}} FROM comment_totals WHERE kind = 'all' AND repo_id IN ({_ACTIVE}))"
+
+
+def _share(condition: str, digits: int = 6) -> str:
+    return f"round((SELECT count(*) FILTER ({condition}) / count(*) FROM ec), {digits})"
+
+
+_STATUSES = ", ".join(f"(SELECT count(*) FROM ({_REPOS.replace('>= 89', '>= 365').replace('>= 88', '>= 90').replace('2024-04-27', EVENTS_AS_OF)}) WHERE activity_status = '{x}') AS {x}_repositories" for x in ("active", "quiet", "dormant"))
+
+
 @query(
     f"""SELECT (SELECT count(*) FROM ec) AS commits, (SELECT sum(is_merge::INTEGER)::BIGINT FROM ec) AS merge_commits, (SELECT count(DISTINCT author_key) FROM ec) AS authors,
   (SELECT count(DISTINCT committer_key) FROM ec) AS committers, (SELECT sum(author_is_bot::INTEGER)::BIGINT FROM ec) AS bot_commits_raw, (SELECT count(DISTINCT activity_date) FROM ec) AS active_days,
@@ -624,19 +699,36 @@ def comment_state_machine(s, d):
   (SELECT count(*) FROM repositories WHERE active AND status IN ('stale', 'error')) AS failed_repositories, (SELECT count(*) FROM repositories WHERE active AND is_shallow) AS shallow_repositories,
   (SELECT count(*) FROM (SELECT min(activity_date) AS f FROM ec GROUP BY author_key) WHERE f >= DATE '{EVENTS_AS_OF}' - 29) AS new_authors_last_30_days,
   (SELECT count(*) FROM tags JOIN names USING (repo_id)) AS tags, round((SELECT count(*) FILTER (activity_weekday > 4) / count(*) FROM ec), 6) AS weekend_share,
-  (SELECT count(*) FILTER (is_breaking) FROM ec) AS breaking_changes""",
+  (SELECT count(*) FILTER (is_breaking) FROM ec) AS breaking_changes,
+  (SELECT count(DISTINCT repo_id) FROM ec JOIN repositories USING (repo_id) WHERE active) AS repositories_with_commits, {_STATUSES},
+  (SELECT count(*) FILTER (NOT is_merge) FROM ec) AS non_merge_commits, {_share("is_merge")} AS merge_share, (SELECT count(*) FILTER (author_is_bot) FROM ec) AS bot_commits_in_effective_set,
+  (SELECT min(activity_at) FROM ec) AS first_commit, (SELECT DATE '{EVENTS_AS_OF}' - max(activity_date) FROM ec)::INTEGER AS days_since_last_commit,
+  (SELECT sum(insertions)::BIGINT FROM ec) AS additions, (SELECT sum(deletions)::BIGINT FROM ec) AS deletions, (SELECT sum(files_changed)::BIGINT FROM ec) AS files_changed,
+  (SELECT sum(binary_files)::BIGINT FROM ec) AS binary_files, (SELECT sum(files)::BIGINT FROM tree WHERE repo_id IN ({_ACTIVE})) AS tree_files,
+  (SELECT sum(bytes)::BIGINT FROM tree WHERE repo_id IN ({_ACTIVE})) AS tree_bytes, {_LINES.format("sum(code_lines)::BIGINT")} AS code_lines,
+  {_LINES.format("sum(comment_lines)::BIGINT")} AS comment_lines, {_LINES.format("round(sum(comment_lines) / sum(code_lines + comment_lines), 6)")} AS comment_density,
+  (SELECT sum(local_branches)::BIGINT FROM repositories WHERE active) AS local_branches, (SELECT sum(remote_branches)::BIGINT FROM repositories WHERE active) AS remote_branches,
+  (SELECT count(*) FROM tree_signals WHERE ci_systems <> '' AND repo_id IN ({_ACTIVE})) AS repositories_with_ci,
+  round((SELECT count(*) FILTER (ci_systems <> '') / count(*) FROM ({_ACTIVE}) LEFT JOIN tree_signals USING (repo_id)), 6) AS ci_coverage,
+  (SELECT count(*) FROM tree_signals WHERE licenses <> '' AND repo_id IN ({_ACTIVE})) AS repositories_with_license,
+  round((SELECT count(*) FILTER (licenses <> '') / count(*) FROM ({_ACTIVE}) LEFT JOIN tree_signals USING (repo_id)), 6) AS license_coverage,
+  (SELECT count(*) FROM repositories WHERE active AND is_partial) AS partial_repositories, (SELECT days FROM ({_EC_RUNS})) AS longest_streak_days,
+  (SELECT start FROM ({_EC_RUNS})) AS longest_streak_start, (SELECT "end" FROM ({_EC_RUNS})) AS longest_streak_end,
+  (SELECT coalesce(max(day - last - 1), 0)::INTEGER FROM (SELECT day, lag(day) OVER (ORDER BY day) AS last FROM ({_EC_DAYS}))) AS longest_gap_days,
+  round((SELECT count(*) / count(DISTINCT activity_date) FROM ec), 6) AS average_commits_per_active_day, {_share("activity_weekday > 4 OR activity_hour < 8 OR activity_hour >= 18")} AS outside_work_time_share,
+  round(top, 6) AS top_author_share, bf50 AS bus_factor_50, bf80 AS bus_factor_80, round(gini, 6) AS author_gini, round(hhi, 6) AS author_hhi,
+  {_share("message_type <> 'other'")} AS typed_commit_share, {_share("has_issue_reference")} AS issue_reference_share,
+  round((SELECT count(DISTINCT repo_id) FILTER (activity_status = 'active') / count(*) FROM ({_REPOS.replace('>= 89', '>= 365').replace('>= 88', '>= 90').replace('2024-04-27', EVENTS_AS_OF)})), 6) AS active_repository_share
+FROM ({_SPREAD.format(key="", g="1", rows="ec", group="")})""",
     "events",
     "tree",
 )
 def summary(s, d):
-    return rounded(_summary(s, d)).select(
-        "commits", "merge_commits", "authors", "committers", "bot_commits_raw", "active_days", "last_commit", "churn", "repositories", "empty_repositories", "failed_repositories",
-        "shallow_repositories", "new_authors_last_30_days", "tags", "weekend_share", "breaking_changes",
-    )
+    return rounded(_summary(s, d))
 
 
 def tables(s: SparkSession, d: str) -> report.Tables:
-    return report.Tables(a.repositories(s, d), a.event_commits(s, d), a.file_changes(s, d), a.tags(s, d), a.tree(s, d), a.comment_totals(s, d), a.privacy(s, d))
+    return report.Tables(a.repositories(s, d), a.event_commits(s, d), a.file_changes(s, d), a.tags(s, d), a.tree(s, d), a.comment_totals(s, d), a.privacy(s, d), None, None, a.file_types(s, d), a.tree_signals(s, d))
 
 
 def _summary(s: SparkSession, d: str) -> DataFrame:

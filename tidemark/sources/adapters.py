@@ -26,6 +26,8 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 13 == 0).alias("is_bare"),
         F.when(n % 2 == 0, "main").otherwise("trunk").alias("head_branch"),
         F.lit("main").alias("default_branch"),
+        (n % 4).cast("int").alias("local_branches"),
+        (n % 3).cast("int").alias("remote_branches"),
     )
 
 
@@ -133,6 +135,19 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy("repo_id", "language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("repo_id"), F.col("p_brand").alias("file_type"), F.col("p_size").cast("long").alias("size"))
+    return files.groupBy("repo_id", "file_type").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def tree_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CI systems and licences of repositories; one in nine has no row."""
+    n = F.col("n_nationkey")
+    ci = F.when(n % 4 == 0, F.array(F.lit("GitHub Actions"), F.lit("Jenkins"))).when(n % 4 == 1, F.array(F.lit("GitLab CI"))).otherwise(F.array().cast("array<string>"))
+    licenses = F.when(n % 3 == 0, F.array(F.lit("MIT"))).otherwise(F.array().cast("array<string>"))
+    return read(spark, sf_dir, "nation").where(n % 9 != 5).select(n.cast("long").alias("repo_id"), ci.alias("ci_systems"), licenses.alias("licenses"))
+
+
 def comment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment statistics by repository, language and kind, made up from the parts."""
     p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("repo_id"), F.col("p_type").alias("language"), F.col("p_size").cast("long").alias("n"), "p_partkey")
@@ -161,7 +176,8 @@ repositories AS (
   SELECT n_nationkey::BIGINT AS repo_id, n_name AS display_name, n_nationkey % 8 <> 7 AS active,
          CASE WHEN n_nationkey % 10 = 8 THEN 'stale' WHEN n_nationkey % 10 = 9 THEN 'error' ELSE 'ready' END AS status,
          n_nationkey % 6 = 0 AS is_shallow, n_nationkey % 11 = 0 AS is_partial, n_nationkey % 13 = 0 AS is_bare,
-         CASE WHEN n_nationkey % 2 = 0 THEN 'main' ELSE 'trunk' END AS head_branch, 'main' AS default_branch FROM nation
+         CASE WHEN n_nationkey % 2 = 0 THEN 'main' ELSE 'trunk' END AS head_branch, 'main' AS default_branch,
+         (n_nationkey % 4)::INTEGER AS local_branches, (n_nationkey % 3)::INTEGER AS remote_branches FROM nation
 ), names AS (SELECT repo_id, display_name AS repository FROM repositories WHERE active AND status IN ('ready', 'stale')
 ), privacy AS (
   SELECT n_nationkey::BIGINT AS repo_id, CASE WHEN n_nationkey % 5 = 4 THEN NULL WHEN n_nationkey % 3 = 0 THEN 'public' ELSE 'private' END AS classification FROM nation
@@ -201,6 +217,10 @@ tree AS (SELECT (p_partkey % 25)::BIGINT AS repo_id, p_type AS language, count(*
          sum(p_partkey % 3)::BIGINT AS blank_lines FROM part GROUP BY 1, 2
   UNION ALL
   SELECT (p_partkey % 25)::BIGINT, p_type, CASE p_partkey % 3 WHEN 0 THEN 'line' WHEN 1 THEN 'block' ELSE 'documentation' END, 0, 0, sum(p_size)::BIGINT, 0 FROM part GROUP BY 1, 2, 3
+), file_types AS (SELECT (p_partkey % 25)::BIGINT AS repo_id, p_brand AS file_type, count(*) AS files, sum(p_size)::BIGINT AS bytes FROM part GROUP BY 1, 2
+), tree_signals AS (
+  SELECT n_nationkey::BIGINT AS repo_id, CASE n_nationkey % 4 WHEN 0 THEN 'GitHub Actions,Jenkins' WHEN 1 THEN 'GitLab CI' ELSE '' END AS ci_systems,
+         CASE WHEN n_nationkey % 3 = 0 THEN 'MIT' ELSE '' END AS licenses FROM nation WHERE n_nationkey % 9 <> 5
 ), tags AS (
   SELECT (o_custkey % 25)::BIGINT AS repo_id, 'v' || o_orderkey AS name, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS created_at,
          substr(sha256(o_orderkey::VARCHAR), 1, 40) AS object_hash FROM orders
