@@ -195,6 +195,20 @@ def test_urls(spark, max_file):
     assert judge(spark.createDataFrame(rows[:3], "page_id long, url string, host string, rule string"), [], max_file=max_file).count() == 3
 
 
+@pytest.mark.parametrize("max_file", [1 << 20, 2000, 0])
+def test_urls_against_a_table_of_rules(spark, max_file):
+    made = [Rule(f"h{k % 300}.example{'.org' if k % 2 else '.com'}", "/" * (k % 2) + "a" * (k % 7), "block" if k % 3 else "allow") for k in range(2000)]
+    first = {}
+    for rule in sorted(made, key=lambda r: r.verdict):
+        first.setdefault(rule.host + rule.path, rule)
+    rows = [(k, f"http://www.h{k % 400}.example{'.com' if k % 5 else '.org'}{'/' * (k % 3 > 0)}{'a' * (k % 9)}?q") for k in range(3000)] + [(7, None)]
+    rules = spark.createDataFrame([*made, (None, "/", "block"), ("", "/", "block")], "host string, path string, verdict string").repartition(3)
+    got = judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3), rules, max_file=max_file).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((k, *plain_judge(u, first.values())) for k, u in rows), key=repr)
+    assert {r.verdict for r in got if r.rule} == {"allow", "block"}
+    assert {r.rule for r in judge(spark.createDataFrame(rows[:3], "page_id long, url string"), rules.where("false"), max_file=max_file).collect()} == {None}
+
+
 def test_colliding_keys_are_told_apart(tmp_path):
     rules = [Rule(f"h{k}.com", "/", "block") for k in range(300)] + [Rule("h7.com", "/", "allow")]
     place = tmp_path / "digests"

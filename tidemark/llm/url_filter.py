@@ -4,16 +4,19 @@ A list of rules (host, path, verdict) becomes a file: the sorted 64-bit xxhash k
 strings themselves behind them. Spark ships the file to every executor; tasks map it into memory, probe the
 candidates of a whole batch by vectorised binary search, and confirm a hit against the stored string, so colliding
 keys do no harm. A url's candidates are those of its host and parent domains that have as many labels as some rule's host, each with the starts of its
-path that are as long as some rule's path: their number depends on the rules, not on the url. Lists over a bound of bytes are joined on the keys
-instead, in the same two steps.
+path that are as long as some rule's path: their number depends on the rules, not on the url. A list whose file would be over a bound of bytes is dealt by ranges
+of the keys instead: each range is a sorted array of at most about that size, mapped by the task that the range's different candidates go to, and probed and confirmed in the same way.
 
 Nulls, ties and odd rows: a null url, or one without ``://``, has an empty host and path and fits no rule; of several rules that
-fit the longest string wins, and the first listed of equal strings; repeated urls are judged each; other columns are ignored.
+fit the longest string wins, and the first listed of equal strings (in a DataFrame of rules, allow before block); a rule without host, or
+whose path begins otherwise than by ``/``, fits nothing, a null path is an empty one; urls of any length are judged whole, repeated ones each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+import mmap
 import uuid
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -30,8 +33,10 @@ from tidemark.scratch import stored
 
 #: Spark's xxhash64 has this seed.
 SEED = 42
-#: Lists with a larger file are joined.
+#: Bytes of one mapped array; larger lists are dealt by key ranges.
 MAX_FILE = 64 << 20
+#: Each string that is listed and found meets its urls in so many groups, since one domain may be that of a third of all urls.
+SALTS = 16
 
 
 class Rule(NamedTuple):
@@ -58,10 +63,10 @@ def write_digests(rules: Sequence[Rule]) -> bytes:
 
 
 class Digests:
-    """A memory-mapped file of ``write_digests``."""
+    """The bytes of ``write_digests``, mapped from a file or from memory."""
 
-    def __init__(self, path: str) -> None:
-        whole = np.memmap(path, dtype=np.uint8, mode="r")
+    def __init__(self, source) -> None:
+        whole = np.frombuffer(source, dtype=np.uint8) if isinstance(source, mmap.mmap) else np.memmap(source, dtype=np.uint8, mode="r")
         n = int(whole[:8].view("<u8")[0])
         self.keys = whole[8 : 8 + 8 * n].view("<u8")
         self.begin = whole[8 + 8 * n : 16 + 16 * n].view("<u8")
@@ -140,32 +145,94 @@ def _probe(name: str):
     return probe
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_file: int = MAX_FILE) -> DataFrame:
-    """(page_id, host, path, rule, verdict) for each row: the longest rule that fits, else null and ``default``."""
+def _in_memory(data: bytes) -> Digests:
+    place = mmap.mmap(-1, len(data))
+    place.write(data)
+    return Digests(place)
+
+
+def _probe_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(candidate, verdict) of candidates that are listed, from rows in order of range, with its rules before its candidates."""
+    current, rules, digests = None, [], None
+    for batch in batches:
+        ranges, probing = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = (np.flatnonzero(np.diff(ranges) | np.diff(probing)) + 1).tolist()
+        found, verdicts = [], []
+        for begin, end in zip([0, *cuts], [*cuts, len(ranges)], strict=True):
+            if begin == end:
+                continue
+            if ranges[begin] != current:
+                current, rules, digests = ranges[begin], [], None
+            piece = batch.slice(begin, end - begin)
+            if not probing[begin]:
+                rules += [Rule(text, "", verdict) for text, verdict in zip(piece.column(3).to_pylist(), piece.column(4).to_pylist(), strict=True)]
+                continue
+            if digests is None:
+                digests, rules = _in_memory(write_digests(rules)), []
+            keys = piece.column(2).to_numpy().view(np.uint64)
+            hits = np.flatnonzero(digests.probe(keys))
+            for k, text in zip(hits, piece.column(3).take(pa.array(hits)).to_pylist(), strict=True):
+                place = digests.confirm(keys[k], text)
+                if place >= 0:
+                    found.append(text)
+                    verdicts.append("block" if digests.blocks[place] else "allow")
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=["candidate", "verdict"])
+
+
+def _by_ranges(split: DataFrame, listed: DataFrame, size: int, max_file: int) -> DataFrame:
+    """The same for a list of any size: its array is cut by key ranges, each probed by the different candidates of that range."""
+    bits = min(16, max(0, math.ceil(math.log2(max(1, size / max(1, max_file))))))
+    at = lambda key: F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
+    urls = split.select("host", "path", "candidates", "keys").distinct()
+    probes = urls.select(F.explode(F.arrays_zip("keys", "candidates")).alias("c")).select(F.col("c.keys").alias("key"), F.col("c.candidates").alias("text")).distinct()
+    key = F.xxhash64("rule")
+    rows = listed.select(at(key).alias("range"), F.lit(0).alias("probing"), key.alias("key"), F.col("rule").alias("text"), "verdict")
+    rows = rows.unionByName(probes.select(at(F.col("key")).alias("range"), F.lit(1).alias("probing"), "key", "text", F.lit(None).cast("string").alias("verdict")))
+    hits = rows.repartition("range").sortWithinPartitions("range", "probing").mapInArrow(_probe_ranges, "candidate string, verdict string")
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    wanted = urls.select("host", "path", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("candidates").alias("candidate"))
+    best = wanted.join(hits, ["candidate", "salt"]).groupBy("host", "path").agg(F.max_by(F.struct(F.col("candidate").alias("rule"), "verdict"), F.length("candidate")).alias("b"))
+    return split.select("page_id", "host", "path").join(best, ["host", "path"], "left").select("page_id", "host", "path", "b.rule", "b.verdict")
+
+
+def _table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """(host, path, verdict) of different strings host + path."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(*r, k) for k, r in enumerate(rules)], "host string, path string, verdict string, place long")
+    else:
+        rules = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict", (F.col("verdict") == "block").cast("long").alias("place"))
+    first = rules.where("host <> '' and (path = '' or startswith(path, '/'))").groupBy(F.concat("host", "path").alias("rule")).agg(F.min_by(F.struct("host", "path", "verdict"), F.struct("place", "host")).alias("r"))
+    return first.select("rule", "r.*")
+
+
+def judge(
+    pages: DataFrame, rules: Sequence[Rule] | DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_file: int = MAX_FILE
+) -> DataFrame:
+    """(page_id, host, path, rule, verdict) for each row: the longest rule that fits, else null and ``default``.
+
+    ``rules`` is a sequence or a DataFrame of host, path and verdict.
+    """
     spark = pages.sparkSession
     small_batches(spark, rows=5000)
-    rules = list(rules)
+    listed = None
+    if isinstance(rules, DataFrame):
+        listed = _table(spark, rules)
+        labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+        facts = listed.agg(F.collect_set(labels), F.collect_set(F.length("path")), F.coalesce(F.sum(F.octet_length("rule") + 17), F.lit(0))).first()
+        depths, lengths, size = sorted(facts[0]) or [1], sorted(facts[1]) or [0], facts[2]
+        if size <= max_file:
+            rules = [Rule(*r) for r in listed.select("host", "path", "verdict").collect()]  # of a size that was measured
+    else:
+        rules = [r for r in rules if r.host and r.path[:1] in ("", "/")]
+        depths, lengths = sorted({r.host.count(".") + 1 for r in rules}) or [1], sorted({len(r.path) for r in rules}) or [0]
+        size = sum(len((r.host + r.path).encode()) + 17 for r in rules)
     host, path = parts(F.col(url_col))
-    depths, lengths = sorted({r.host.count(".") + 1 for r in rules}) or [1], sorted({len(r.path) for r in rules}) or [0]
     split = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     split = split.withColumn("candidates", _candidates(F.col("host"), F.col("path"), depths, lengths))
     split = split.withColumn("keys", F.transform("candidates", lambda s: F.xxhash64(s)))
-    data = write_digests(rules)
-    if len(data) <= max_file:
+    if size <= max_file:
         kind = split.schema["page_id"].dataType.simpleString()
-        found = split.mapInArrow(_probe(_ship(spark, data)), f"page_id {kind}, host string, path string, rule string, verdict string")
+        found = split.mapInArrow(_probe(_ship(spark, write_digests(rules))), f"page_id {kind}, host string, path string, rule string, verdict string")
     else:
-        found = _joined(split, rules)
+        found = _by_ranges(split, listed if listed is not None else _table(spark, rules), size, max_file)
     return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
-
-
-def _joined(split: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """The same by a join on the keys, for lists that no task should hold."""
-    spark = split.sparkSession
-    listed = spark.createDataFrame([(k, r.host + r.path, r.verdict) for k, r in enumerate(rules)], "place int, rule string, verdict string")
-    listed = listed.groupBy(F.xxhash64("rule").alias("key"), "rule").agg(F.min_by("verdict", "place").alias("verdict"))
-    urls = split.select("host", "path", "candidates", "keys").distinct()
-    probes = urls.select("host", "path", F.explode(F.arrays_zip("keys", "candidates")).alias("c"))
-    hits = probes.select("host", "path", F.col("c.keys").alias("key"), F.col("c.candidates").alias("candidate")).join(listed, "key").where("candidate = rule")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("b"))
-    return split.select("page_id", "host", "path").join(best, ["host", "path"], "left").select("page_id", "host", "path", "b.rule", "b.verdict")
