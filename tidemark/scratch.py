@@ -50,7 +50,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: iterations neither grow its plan nor repeat its work, and lost executors don't lose it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.kept_in = path
+    return made
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``kept`` wrote, once nothing reads it any more."""
+    _dropped(df.sparkSession, df.kept_in)
 
 
 def stored(spark: SparkSession, name: str, data: bytes) -> str:
