@@ -18,6 +18,7 @@ from tidemark.llm.sharding import sharded
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.transport_stream import stream_digests
 from tidemark.llm.url_filter import Rule, judge
+from tidemark.llm.vector_codes import vector_codes
 
 URL_RULES = (
     Rule("com", "/", "allow"),
@@ -78,10 +79,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_media_columns, op3_packing, op4_preference_format, op5_sharding, op6_toxicity, op7_mixing, op8_fingerprints, op9_near_dedup, op10_quality,
+        op13_vector_codes,
     )
 }
 
@@ -146,5 +152,41 @@ WITH RECURSIVE split AS (
 SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sized LEFT JOIN least_of USING (doc_id)
 """
 
+
+
+def _lloyd(rounds: int = 6) -> str:
+    """The rounds one after the other, each part compared with all entries of its codebook."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT rid, p, min({{'d': d, 'e': e}}) AS best FROM (
+    SELECT rid, x.p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN c{k} USING (p)
+  ) GROUP BY rid, p
+)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (
+  SELECT p, e, place, CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS m FROM (
+    SELECT p, best.e AS e, place, sum(v[place]) AS s, count(*) AS n FROM a{k} JOIN parts USING (rid, p), range(1, 1 + (SELECT max(len(v)) FROM parts)) t(place) GROUP BY p, best.e, place
+  )
+), m{k} AS (SELECT p, e, list(m::BIGINT ORDER BY place) AS c FROM s{k} GROUP BY p, e
+), c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))""")
+    return ", ".join(steps)
+
+
+_OP13 = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, p, ints[p * len(ints) // 8 + 1:(p + 1) * len(ints) // 8] AS v FROM kept, range(8) t(p)
+), c0 AS (SELECT p, rid - 1 AS e, v AS c FROM parts WHERE rid <= 16
+), {_lloyd()}, books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6
+), coded AS (
+  SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a6 GROUP BY rid
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), books
+"""
+
 #: DuckDB SQL where it can express a query.
-ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_preference_format": _OP4, "op9_near_dedup": _OP9}
+ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_preference_format": _OP4, "op9_near_dedup": _OP9, "op13_vector_codes": _OP13}
