@@ -74,24 +74,61 @@ def buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return raw[starts[0] : starts[-1]], starts - starts[0]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A-Z lower-cased, and each word's row."""
+def word_mask(separators: tuple[int, ...]) -> np.ndarray:
+    """For each byte whether it belongs to words."""
+    mask = np.ones(256, dtype=bool)
+    mask[list(separators)] = False
+    return mask
+
+
+def word_spans(raw: np.ndarray, starts: np.ndarray, mask: np.ndarray = _IS_WORD, seed: int = 0, piece: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z lower-cased, each word's row, its first byte and its number of bytes.
+
+    Bytes are worked through in pieces that end between words, so that the memory of the arithmetic doesn't grow with a text.
+    """
+    found, a = [], 0
+    while a < len(raw):
+        b = min(len(raw), a + piece)
+        while b < len(raw) and mask[raw[b]]:  # to the end of this word, or beyond a row's end to the end of the next one: no harm
+            ends = np.flatnonzero(~mask[raw[b : b + 4096]])
+            b += int(ends[0]) if len(ends) else len(raw[b : b + 4096])
+        hashes, row, at, length = _spans(raw[a:b], np.clip(starts, a, b) - a, mask, seed)
+        found.append((hashes, row, at + a, length))
+        a = b
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+
+
+def _spans(raw: np.ndarray, starts: np.ndarray, mask: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = _IS_WORD[raw]
+        return none
+    word = mask[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     edges = starts[:-1][starts[:-1] < len(raw)]
     first[edges] |= word[edges]
     at = np.flatnonzero(first)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     chars = _LOWER[raw[word]].astype(np.uint64)
     begin = np.flatnonzero(first[word])
     length = np.diff(np.append(begin, len(chars)))
     place = np.arange(len(chars)) - np.repeat(begin, length)
     summed = np.add.reduceat((chars + np.uint64(1)) * _powers(int(length.max()))[place], begin)
-    return mix(summed + length.astype(np.uint64) * _MIX_2), np.searchsorted(starts, at, side="right") - 1
+    summed += np.uint64(seed * int(_MIX_1) & (1 << 64) - 1)
+    return mix(summed + length.astype(np.uint64) * _MIX_2), np.searchsorted(starts, at, side="right") - 1, at, length
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z lower-cased, and each word's row."""
+    return word_spans(raw, starts)[:2]
+
+
+def lowered(raw: np.ndarray) -> bytes:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[raw].tobytes()
 
 
 def shingle_hashes(raw: np.ndarray, starts: np.ndarray, width: int = 5) -> list[np.ndarray]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.collocations import collocations
 from tidemark.llm.common import table
 from tidemark.llm.fingerprints import fingerprints
 from tidemark.llm.mixing import mixed
@@ -79,6 +80,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -87,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_media_columns, op3_packing, op4_preference_format, op5_sharding, op6_toxicity, op7_mixing, op8_fingerprints, op9_near_dedup, op10_quality,
-        op13_vector_codes,
+        op12_collocations, op13_vector_codes,
     )
 }
 
@@ -152,6 +157,27 @@ WITH RECURSIVE split AS (
 SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sized LEFT JOIN least_of USING (doc_id)
 """
 
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM split, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k
+), f AS MATERIALIZED (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g
+), c AS MATERIALIZED (SELECT lang, k, g, a, string_split(g, ' ') AS p FROM f WHERE k > 1 AND a >= 10
+), halves AS (SELECT *, array_to_string(p[1:j], ' ') AS lg, array_to_string(p[j + 1:], ' ') AS rg FROM c, (VALUES (1), (2)) t(j) WHERE j < k
+), cuts AS (
+  SELECT h.lang, h.k, h.g, h.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * h.a * h.a) // (l.a::HUGEINT * r.a) AS score
+  FROM halves h JOIN f l ON l.lang = h.lang AND l.k = j AND l.g = lg JOIN f r ON r.lang = h.lang AND r.k = h.k - j AND r.g = rg
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+), longer AS (
+  SELECT lang, g, max(a) AS around FROM (SELECT lang, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS g, a FROM c WHERE k = 3) GROUP BY lang, g
+), kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN longer ON k = 2 AND longer.lang = lowest.lang AND longer.g = lowest.g WHERE around IS NULL OR 100::HUGEINT * around < 50::HUGEINT * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept
+), sizes AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, rank::BIGINT AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
 
 
 def _lloyd(rounds: int = 6) -> str:
@@ -189,4 +215,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 #: DuckDB SQL where it can express a query.
-ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_preference_format": _OP4, "op9_near_dedup": _OP9, "op13_vector_codes": _OP13}
+ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_preference_format": _OP4, "op9_near_dedup": _OP9, "op12_collocations": _OP12, "op13_vector_codes": _OP13}
