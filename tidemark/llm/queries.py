@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.collocations import collocations
 from tidemark.llm.common import table
 from tidemark.llm.fingerprints import fingerprints
+from tidemark.llm.language_model import model_scores
 from tidemark.llm.mixing import mixed
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
@@ -80,6 +81,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = model_scores(table(spark, sf_dir, "documents"))
+    return made.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})  # the digits beyond depend on the order of the sum
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -92,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_media_columns, op3_packing, op4_preference_format, op5_sharding, op6_toxicity, op7_mixing, op8_fingerprints, op9_near_dedup, op10_quality,
-        op12_collocations, op13_vector_codes,
+        op11_language_model, op12_collocations, op13_vector_codes,
     )
 }
 
@@ -157,6 +163,36 @@ WITH RECURSIVE split AS (
 SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sized LEFT JOIN least_of USING (doc_id)
 """
 
+_CRC32 = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), "
+    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+
+_OP11 = r"""
+WITH seqs AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, list_concat(['<s>' || chr(9)], list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [chr(10)])) AS w,
+         coalesce(@ % 7 = 2, true) AS held_out FROM documents
+), places AS (SELECT rid, held_out, w, unnest(range(2, len(w) + 1)) AS i FROM seqs
+), read AS MATERIALIZED (SELECT rid, held_out, i, w[i] AS a, w[i - 1] AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM places
+), learned AS (SELECT * FROM read WHERE NOT held_out
+), n1 AS MATERIALIZED (SELECT a, count(*) AS n FROM learned GROUP BY a
+), n2 AS MATERIALIZED (SELECT b, a, count(*) AS n FROM learned GROUP BY b, a
+), n3 AS MATERIALIZED (SELECT c, b, a, count(*) AS n FROM learned WHERE c IS NOT NULL GROUP BY c, b, a
+), h1 AS MATERIALIZED (SELECT b, sum(n) AS n FROM n2 GROUP BY b
+), h2 AS MATERIALIZED (SELECT c, b, sum(n) AS n FROM n3 GROUP BY c, b
+), all_of AS (SELECT coalesce(sum(n), 0)::BIGINT AS tokens, count(*) AS words FROM n1
+), found AS (
+  SELECT rid, i, coalesce(n1.n, 0) AS x1, coalesce(n2.n, 0) AS x2, coalesce(n3.n, 0) AS x3, coalesce(h1.n, 0) AS y1, coalesce(h2.n, 0) AS y2
+  FROM read r LEFT JOIN n1 ON n1.a = r.a LEFT JOIN n2 ON n2.b = r.b AND n2.a = r.a LEFT JOIN n3 ON n3.c = r.c AND n3.b = r.b AND n3.a = r.a LEFT JOIN h1 ON h1.b = r.b LEFT JOIN h2 ON h2.c = r.c AND h2.b = r.b
+), shares AS (SELECT rid, i, x1, x2, x3, y1, y2, (x1 + 1)::DOUBLE / (tokens + words + 1) AS p1 FROM found, all_of
+), twos AS (SELECT *, CASE WHEN y1 > 0 THEN (x2 + 40.0::DOUBLE * p1) / (y1 + 40.0::DOUBLE) ELSE p1 END AS p2 FROM shares
+), threes AS (SELECT *, CASE WHEN y2 > 0 THEN (x3 + 8.0::DOUBLE * p2) / (y2 + 8.0::DOUBLE) ELSE p2 END AS p3 FROM twos
+), sums AS (
+  SELECT rid, count(*) AS n_tokens, count(*) FILTER (x1 > 0) AS n_known, list_sum(list(log10(p1) ORDER BY i)) AS base, list_sum(list(log10(p3) ORDER BY i)) AS score FROM threes GROUP BY rid
+)
+SELECT doc_id, held_out, n_tokens, n_known, tokens AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM seqs JOIN sums USING (rid), all_of
+""".replace("@", _CRC32.format("doc_id"))
+
 _OP12 = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
@@ -215,4 +251,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 #: DuckDB SQL where it can express a query.
-ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_preference_format": _OP4, "op9_near_dedup": _OP9, "op12_collocations": _OP12, "op13_vector_codes": _OP13}
+ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_preference_format": _OP4, "op9_near_dedup": _OP9, "op11_language_model": _OP11, "op12_collocations": _OP12, "op13_vector_codes": _OP13}

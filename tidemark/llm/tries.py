@@ -42,6 +42,12 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     return inorder[at], sums.astype(np.int64), place
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the place of each input among them."""
+    found, _, place = _summed(keys, None)
+    return found, place
+
+
 def built(hashes: np.ndarray, joined: np.ndarray, depth: int) -> Trie:
     """The trie of all runs of one to ``depth`` words; ``joined`` tells which words follow the one before without a break."""
     words, _, label = _summed(hashes, None)
@@ -96,40 +102,55 @@ def cut(trie: Trie, splitters: list[Path]) -> list[tuple[int, bytes]]:
     return parts
 
 
-def _small(values: np.ndarray) -> np.ndarray:
+def smallest(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers from 0 on in as few bytes each as their largest takes."""
     top = int(values.max()) if len(values) else 0
     return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def packed(rising: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+    """Arrays as one compressed value: rising 64-bit numbers as differences whose like bytes stand together, other whole numbers as they are."""
+    fields, heads = [], [len(rising), len(numbers)]
+    for values in rising:
+        heads.append(len(values))
+        fields.append(np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
+    for values in numbers:
+        heads += [len(values), values.itemsize]
+        fields.append(values.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array(heads, dtype=np.int64).tobytes() + b"".join(fields))
+
+
+def unpacked(data: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What ``packed`` was given; whole numbers come in 64 bits."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, more = (int(v) for v in np.frombuffer(raw, dtype=np.int64, count=2))
+    heads = [int(v) for v in np.frombuffer(raw, dtype=np.int64, count=2 + n + 2 * more)[2:]]
+    at, rising, numbers = 8 * (2 + len(heads)), [], []
+    for length in heads[:n]:
+        steps = np.frombuffer(raw, dtype=np.uint8, count=8 * length, offset=at).reshape(8, length).T
+        rising.append(np.cumsum(np.ascontiguousarray(steps).view(np.uint64).ravel(), dtype=np.uint64))
+        at += 8 * length
+    for length, width in zip(heads[n::2], heads[n + 1 :: 2], strict=True):
+        numbers.append(np.frombuffer(raw, dtype=f"<u{width}", count=length, offset=at).astype(np.int64))
+        at += length * width
+    return rising, numbers
+
+
 def serialised(trie: Trie, picks: list[np.ndarray]) -> bytes:
-    """The picked nodes (with all nodes above them) as one compressed value: sorted words as differences, then for each level labels, children of each parent and counts."""
+    """The picked nodes (with all nodes above them): words, then for each level labels, children of each node above and counts."""
     used = np.unique(np.concatenate([trie.labels[k][p] for k, p in enumerate(picks)]))
-    words = trie.words[used]
-    steps = np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T  # like bytes stand together
-    fields, heads = [np.ascontiguousarray(steps).tobytes()], [len(words), len(picks)]
+    numbers = []
     for k, p in enumerate(picks):
         children = np.bincount(np.searchsorted(picks[k - 1], trie.parents[k][p]), minlength=len(picks[k - 1])) if k else np.zeros(0, np.int64)
-        for values in (np.searchsorted(used, trie.labels[k][p]), children, trie.counts[k][p]):
-            small = _small(values)
-            heads += [len(small), small.itemsize]
-            fields.append(small.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(heads, dtype=np.int64).tobytes() + b"".join(fields))
+        numbers += [smallest(np.searchsorted(used, trie.labels[k][p])), smallest(children), smallest(trie.counts[k][p])]
+    return packed([trie.words[used]], numbers)
 
 
 def restored(data: bytes) -> Trie:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, depth = np.frombuffer(raw, dtype=np.int64, count=2)
-    heads = np.frombuffer(raw, dtype=np.int64, count=2 + 6 * depth)[2:].reshape(-1, 2)
-    at = 8 * (2 + 6 * int(depth))
-    steps = np.frombuffer(raw, dtype=np.uint8, count=8 * n, offset=at).reshape(8, n).T
-    trie = Trie(np.cumsum(np.ascontiguousarray(steps).view(np.uint64).ravel(), dtype=np.uint64), [], [], [])
-    at += 8 * int(n)
-    arrays = []
-    for length, width in heads:
-        arrays.append(np.frombuffer(raw, dtype=f"<u{width}", count=length, offset=at).astype(np.int64))
-        at += int(length * width)
-    for k in range(int(depth)):
-        labels, children, counts = arrays[3 * k : 3 * k + 3]
+    (words,), numbers = unpacked(data)
+    trie = Trie(words, [], [], [])
+    for k in range(len(numbers) // 3):
+        labels, children, counts = numbers[3 * k : 3 * k + 3]
         trie.parents.append(np.repeat(np.arange(len(children)), children) if k else np.zeros(len(labels), dtype=np.int64))
         trie.labels.append(labels)
         trie.counts.append(counts)
