@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import settle, table
 from tidemark.llm.mixing import mixed
-from tidemark.llm.near_dedup import NODE, near_duplicates, with_own_ids
+from tidemark.llm.near_dedup import near_duplicates, with_own_ids
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
 from tidemark.llm.queries import piece_digests
@@ -45,8 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     equal rows one stays. Texts without words are linked with nothing and all stay.
     """
     own = with_own_ids(docs)
-    gone = near_duplicates(own, id_col=NODE).where(~F.col("kept")).select(F.col("doc_id").alias(NODE))
-    return own.join(gone, NODE, "left_anti").select(*docs.columns)
+    judged = near_duplicates(own.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")))
+    return own.join(judged.where(~F.col("kept")).select(F.col("doc_id").alias("node")), "node", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

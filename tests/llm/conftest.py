@@ -13,8 +13,8 @@ def odd_docs(spark):  # noqa: F811
         (5, "One Two three four five six seven\nsecond line. And more", "en", "a"), (6, "ein ß – 漢字 🎉\n\n\x00tail", "de", "b"), (6, "ein ß – 漢字 🎉\n\n\x00tail", "de", "b"),
         (None, "no id at all here", "fr", "c"), (8, " \t\n", None, "c"), (9, "short", "fr", None), (10, "x" * 5000, "en", "a"), (11, LONG + "and one more.", "en", "a"),
     ]
-    extra = [(*r, 1.0, "x", 7, "k", "y") for r in rows]
-    return spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, score double, row string, features int, topic string, held_out string").repartition(3)
+    extra = [(*r, 1.0, "x", 7, "k", "y", k, "own", 3) for k, r in enumerate(rows)]
+    return spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, score double, row string, features int, topic string, held_out string, _node long, node string, _id int").repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -42,8 +42,6 @@ HOT = 10_000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-#: The column of ids that no two rows share.
-NODE = "_node"
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
@@ -306,17 +304,15 @@ def _met(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     return rows.join(F.broadcast(large), key).unionByName(rest)
 
 
-def with_own_ids(docs: DataFrame, id_col: str = "doc_id", name: str = NODE) -> DataFrame:
-    """``docs`` with a column of longs that no two rows share: the id, or a number above all ids where it is null or not the row's alone."""
-    ids = docs.select(F.col(id_col).cast("long").alias(id_col))
-    repeated = settle(ids.groupBy(id_col).count().where(f"count > 1 or {id_col} is null").select(F.col(id_col).alias("_id")), "repeated")
-    if repeated.isEmpty():
-        return docs.withColumn(name, F.col(id_col).cast("long"))
-    top = ids.agg(F.max(id_col)).first()[0] or 0
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    once = docs.join(repeated, same, "left_anti").withColumn(name, F.col(id_col).cast("long"))
-    more = docs.join(repeated, same, "left_semi").withColumn(name, F.monotonically_increasing_id() + F.lit(top + 1))
-    return once.unionByName(settle(more, "numbered"))
+def with_own_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(node, row): each row whole, whatever its columns are named, with a long that no two rows share: the id, or a number above all ids where it is not the row's alone, or null (these come last)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    known = rows.where("node is not null")
+    repeated = settle(known.groupBy("node").count().where("count > 1").select("node"), "repeated")
+    top = rows.agg(F.max("node")).first()[0] or 0
+    more = known.join(repeated, "node", "left_semi").unionByName(rows.where("node is null"))
+    numbered = settle(more.select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("node"), "row"), "numbered")
+    return known.join(repeated, "node", "left_anti").select("node", "row").unionByName(numbered)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
