@@ -121,7 +121,8 @@ class Automaton:
         state = np.zeros(len(at), dtype=np.int64)
         for k, known in enumerate(self.states):
             node = self.grams.ends[k][at]
-            there = (node >= 0) & known[np.maximum(node, 0)]
+            there = node >= 0
+            there[there] = known[node[there]]
             state[there] = self.offsets[k] + node[there]
         return state
 
@@ -171,18 +172,24 @@ def _blocks(size: int, order: int, kind: pa.DataType):
         counter, n = 0, 0
         parts: tuple[list, ...] = ([], [], [], [])
         for batch in batches:
-            if not batch.num_rows:
-                continue
             hashes, row, _, _ = word_spans(*buffers(batch.column("text")))
             hashes[hashes <= START] += np.uint64(START)
             ends = np.searchsorted(row, np.arange(batch.num_rows), side="right")
-            whole = np.insert(hashes, ends, np.uint64(END))
-            for held, new in zip(parts, (batch.column("id").cast(kind), batch.column("held_out").to_numpy(zero_copy_only=False), whole, np.diff(ends, prepend=0) + 1), strict=True):
-                held.append(new)
-            n += len(whole)
-            if n >= size:
-                yield made(counter, *parts)
-                counter, n, parts = counter + 1, 0, ([], [], [], [])
+            whole, upto = np.insert(hashes, ends, np.uint64(END)), ends + 1 + np.arange(batch.num_rows)
+            ids, held = batch.column("id").cast(kind), batch.column("held_out").to_numpy(zero_copy_only=False)
+            k = 0
+            while k < batch.num_rows:
+                done = int(upto[k - 1]) if k else 0
+                stop = max(int(np.searchsorted(upto, done + size - n, side="right")), k if n else k + 1)  # as many as fit, and one at least
+                if stop > k:
+                    last = int(upto[stop - 1])
+                    for some, new in zip(parts, (ids[k:stop], held[k:stop], whole[done:last], np.diff(upto[k:stop], prepend=done)), strict=True):
+                        some.append(new)
+                    n += last - done
+                if n >= size or stop < batch.num_rows:
+                    yield made(counter, *parts)
+                    counter, n, parts = counter + 1, 0, ([], [], [], [])
+                k = stop
         if n:
             yield made(counter, *parts)
 

@@ -108,15 +108,24 @@ def smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _lines(raw: bytes, at: int, length: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8, count=width * length, offset=at).reshape(width, length)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
 def packed(rising: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
-    """Arrays as one compressed value: rising 64-bit numbers as differences whose like bytes stand together, other whole numbers as they are."""
+    """Arrays as one compressed value: rising 64-bit numbers as differences, other whole numbers as they are; like bytes of an array stand together."""
     fields, heads = [], [len(rising), len(numbers)]
     for values in rising:
         heads.append(len(values))
-        fields.append(np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
+        fields.append(_planes(np.diff(values, prepend=np.uint64(0))))
     for values in numbers:
         heads += [len(values), values.itemsize]
-        fields.append(values.tobytes())
+        fields.append(_planes(values))
     return zstandard.ZstdCompressor(level=1).compress(np.array(heads, dtype=np.int64).tobytes() + b"".join(fields))
 
 
@@ -127,11 +136,10 @@ def unpacked(data: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     heads = [int(v) for v in np.frombuffer(raw, dtype=np.int64, count=2 + n + 2 * more)[2:]]
     at, rising, numbers = 8 * (2 + len(heads)), [], []
     for length in heads[:n]:
-        steps = np.frombuffer(raw, dtype=np.uint8, count=8 * length, offset=at).reshape(8, length).T
-        rising.append(np.cumsum(np.ascontiguousarray(steps).view(np.uint64).ravel(), dtype=np.uint64))
+        rising.append(np.cumsum(_lines(raw, at, length, 8), dtype=np.uint64))
         at += 8 * length
     for length, width in zip(heads[n::2], heads[n + 1 :: 2], strict=True):
-        numbers.append(np.frombuffer(raw, dtype=f"<u{width}", count=length, offset=at).astype(np.int64))
+        numbers.append(_lines(raw, at, length, width).astype(np.int64))
         at += length * width
     return rising, numbers
 
