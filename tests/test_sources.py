@@ -111,46 +111,6 @@ def test_report_and_sinks(spark, tables, tmp_path):
     assert effective_file_changes(git_history.file_changes(found["log"]), commits).count() == activity.daily(effective_commits(commits, repos)).count() + 4
 
 
-def test_snapshot(spark, tables, tmp_path):
-    s, pairs, found = tables
-    shot = snapshot.Snapshot(spark, f"file://{tmp_path}/snap")
-    shot.create()
-    shot.check_version()
-    probes = found["probe"].select("repo_id", F.col("common_dir").alias("repo_key"), F.lit("alpha").alias("display_name"), "path", "fingerprint")
-    sign = snapshot.scan_signature(s)
-    assert shot.misses(probes, sign).count() == 1
-    shot.replace("commits", git_history.commits(found["log"], s))
-    row = probes.withColumns({"status": F.lit("ready"), "error": F.lit(None).cast("string"), "scan_signature": F.lit(sign), "commit_count": F.lit(2).cast("long"), "run_id": F.lit(1).cast("long"), "active": F.lit(True)})
-    shot.commit(row)
-    shot.log_run(1, "complete", 1, 1, 0, 0)
-    assert shot.misses(probes, sign).count() == 0 and shot.misses(probes, "other").count() == 1
-    assert shot.read("commits").count() == 2
-    shot.commit(shot.failed(probes, 2, "broken"))
-    assert shot.registry().first().status == "stale" and shot.misses(probes, sign).count() == 1
-    shot.purge([probes.first().repo_key], 3)
-    assert not shot.registry().first().active and report.latest_run(shot.runs()).first().status == "complete"
-
-
-def test_rescans_replace_and_fail_safely(spark, tmp_path):
-    shot = snapshot.Snapshot(spark, f"file://{tmp_path}/snap")
-    shot.create()
-    tags = lambda rows: spark.createDataFrame(rows, "repo_id long, name string")
-    row = lambda repo, run: spark.createDataFrame([(repo, f"k{repo}", "n", "p", "ready", None, "f", "s", 1, run, True)], snapshot.REGISTRY.replace(", data_run long", ""))
-    shot.replace("tags", tags([(1, "a"), (1, "b"), (2, "c")]), run_id=1)
-    assert shot.read("tags").count() == 0  # nothing counts before its registry row
-    shot.commit(row(1, 1).union(row(2, 1)))
-    assert {r.name for r in shot.read("tags").collect()} == {"a", "b", "c"} and set(shot.read("tags").columns) == {"name", "repo_id"}
-    shot.replace("tags", tags([]), run_id=2)  # a rescan of 1 that finds no tags
-    shot.commit(row(1, 2))
-    assert {r.name for r in shot.read("tags").collect()} == {"c"}
-    shot.replace("tags", tags([(2, "half")]), run_id=3)  # a scan that dies before its registry row
-    assert {r.name for r in shot.read("tags").collect()} == {"c"}
-    shot.commit(shot.failed(spark.createDataFrame([(2, "k2", "n", "p", "f2")], "repo_id long, repo_key string, display_name string, path string, fingerprint string"), 4, "broken"))
-    assert {r.name for r in shot.read("tags").collect()} == {"c"}
-    shot.purge(["k2"], 5)
-    assert shot.read("tags").count() == 0 and not list((tmp_path / "snap" / "tags").rglob("repo_id=2/*.parquet"))
-
-
 def test_work_trees_of_one_repository(spark):
     rows = [("k", "/b", "public"), ("k", "/a", "private"), ("m", "/c", "public")]
     got = snapshot.deduplicated(spark.createDataFrame(rows, "repo_key string, path string, classification string"))

@@ -1,6 +1,6 @@
 """Commits, trees, tags and blobs of Git repositories as Spark data sources.
 
-Each repository is one partition: its task runs ``git`` read-only and turns its output into rows. What the settings
+Each repository is one partition, or several for its log: then each of them lists the commits and reads its own stretch of the list. A task runs ``git`` read-only and turns its output into rows. What the settings
 leave out is left out by ``git`` itself. Everything derived (identities, types, calendars, languages) is computed from these rows by Spark.
 """
 
@@ -10,7 +10,10 @@ import hashlib
 import json
 import os
 import subprocess
-from collections.abc import Iterator, Mapping
+import tempfile
+import threading
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import batched
 from pathlib import Path
 from typing import Any
 
@@ -34,7 +37,7 @@ SCHEMAS = {
     "tree": "repo_id long, path string, object_id string, size long",
     "tags": "repo_id long, name string, created_at string, object_hash string",
     "blobs": "repo_id long, path string, text string",
-    "probe": "repo_id long, path string, common_dir string, head_hash string, head_branch string, default_branch string, is_bare boolean, is_shallow boolean, is_partial boolean, "
+    "probe": "repo_id long, path string, root string, git_dir string, common_dir string, object_format string, head_hash string, head_branch string, default_branch string, is_bare boolean, is_shallow boolean, is_partial boolean, "
     "local_branches int, remote_branches int, tags int, remote_urls array<string>, fingerprint string",
 }
 
@@ -87,40 +90,83 @@ def parse_numstat(raw: str) -> list[tuple[str, str | None, int | None, int | Non
     return files
 
 
-def _records(path: str, args: list[str], timeout: float) -> Iterator[str]:
-    """``git log`` output cut at its record marks while it is being written."""
+def _piped(path: str, args: list[str], timeout: float, fed: Iterable[bytes] = ()) -> Iterator[bytes]:
+    """What a git command writes, piece by piece, while it runs. What it is fed and what it complains of go through files, so it can't wait for this side; it is killed after ``timeout`` seconds."""
     env = os.environ | {"GIT_OPTIONAL_LOCKS": "0", "GIT_NO_LAZY_FETCH": "1", "GIT_TERMINAL_PROMPT": "0", "LC_ALL": "C"}
-    with subprocess.Popen(["git", "-c", "safe.directory=*", "-C", path, *args], env=env, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as run:
-        rest = b""
-        while chunk := run.stdout.read(1 << 20):
-            *whole, rest = (rest + chunk).split(RECORD.encode())
-            yield from (x.decode(errors="replace") for x in whole)
-        yield rest.decode(errors="replace")
-        if run.wait(timeout):
-            raise RuntimeError(f"git log: {run.stderr.read().decode(errors='replace').strip()}")
-
-
-def _log(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
-    history = s["history"]
+    with tempfile.TemporaryFile() as told, tempfile.TemporaryFile() as asked:
+        for part in fed:
+            asked.write(part)
+        asked.seek(0)
+        with subprocess.Popen(["git", "-c", "safe.directory=*", "-C", path, *args], env=env, stdin=asked, stdout=subprocess.PIPE, stderr=told) as run:
+            late = threading.Event()
+            clock = threading.Timer(timeout, lambda: (late.set(), run.kill()))
+            clock.start()
+            try:
+                while chunk := run.stdout.read(1 << 20):
+                    yield chunk
+                code = run.wait()
+            except GeneratorExit:
+                run.kill()
+                raise
+            finally:
+                clock.cancel()
+        if late.is_set():
+            raise RuntimeError(f"git {args[0]}: not done after {timeout:g} seconds")
+        if code:
+            told.seek(0)
+            raise RuntimeError(f"git {args[0]}: {told.read().decode(errors='replace').strip()}")
+
+
+def _records(pieces: Iterable[bytes]) -> Iterator[str]:
+    """Output cut at its record marks while it is being written."""
+    rest = b""
+    for chunk in pieces:
+        *whole, rest = (rest + chunk).split(RECORD.encode())
+        yield from (x.decode(errors="replace") for x in whole)
+    yield rest.decode(errors="replace")
+
+
+def _stretch(hashes: list[str], part: int, parts: int) -> list[str]:
+    return hashes[len(hashes) * part // parts : len(hashes) * (part + 1) // parts]
+
+
+def _log(repo_id: int, path: str, s: Mapping[str, Any], part: int = 0, parts: int = 1, merges: bool | None = None) -> Iterator[tuple]:
+    """A repository's commits, or the ``part``-th of ``parts`` stretches of them; ``merges`` tells that only those are wanted or none."""
+    history, timeout = s["history"], s["performance"]["git_timeout_seconds"]
     chosen = revisions(path, history)
     if not chosen or not git(path, "rev-list", "-n1", *chosen, check=False):
         return
     churn = history["collect_churn"]
+    which = ["--date-order"] + (["--first-parent"] if history["first_parent"] else [])
+    which += ["--no-merges"] if not history["include_merges"] else []
+    which += [f"--{k}={history[k]}" for k in ("since", "until") if history[k]]
+    most = history["max_commits_per_repository"]
+    which += [f"--max-count={most}"] if most else []
     # Whatever the user's own configuration says, the output is the one that is parsed.
-    args = ["log", f"--format={FORMAT}", "--date-order", "--no-color", "--no-show-signature", "--no-ext-diff", "--no-textconv", "--ignore-submodules"]
+    args = ["log", f"--format={FORMAT}", "--no-color", "--no-show-signature", "--no-ext-diff", "--no-textconv", "--ignore-submodules"]
     args += ["--numstat", "-z", "--find-renames=50%" if history["detect_renames"] else "--no-renames"] if churn else []
     args += ["--use-mailmap"] if history["respect_mailmap"] else []
-    args += ["--first-parent"] if history["first_parent"] else []
-    args += ["--no-merges"] if not history["include_merges"] else []
-    args += [f"--{k}={history[k]}" for k in ("since", "until") if history[k]]
-    args += [f"--max-count={history['max_commits_per_repository']}"] if history["max_commits_per_repository"] else []
     unknown = untrusted(path, chosen)
-    for record in _records(path, [*args, *chosen, "--"], s["performance"]["git_timeout_seconds"]):
+    if parts > 1:
+        hashes = b"".join(_piped(path, ["rev-list", *which, *chosen, "--"], timeout)).decode().split()
+        own = _stretch(hashes, part, parts)
+        if not own:
+            return
+        alone = ["--first-parent"] if history["first_parent"] else []
+        pieces = _piped(path, [*args, *alone, "--no-walk=unsorted", "--stdin"], timeout, (f"{h}\n".encode() for h in own))
+    else:
+        kind = [] if merges is None or most else ["--merges"] if merges else ["--no-merges"]  # a limit counts before the choice does
+        pieces = _piped(path, [*args, *which, *kind, *chosen, "--"], timeout)
+    for record in _records(pieces):
+        if not record.strip("\0\r\n"):
+            continue
         head, mark, stats = record.partition("\0")
         fields = head.split(FIELD, 12)
         if not mark or len(fields) != 13:
-            continue
+            raise RuntimeError(f"git log: a record of {len(fields)} fields that begins with {head[:60]!r}")
         sha, parents, *people, authored, committed, subject = fields
+        if merges is not None and merges != (len(parents.split()) > 1):
+            continue
         files = parse_numstat(stats) if churn else []
         yield (repo_id, sha.strip(), len(parents.split()), *people, authored, committed, subject, sha.strip() not in unknown, churn, files)
 
@@ -141,21 +187,35 @@ def _tags(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
             yield repo_id, parts[0], parts[1].strip() or None, parts[2]
 
 
+def _objects(path: str, ids: Iterable[str], timeout: float) -> Iterator[tuple[str, bytes | None]]:
+    """Each object's content in the order asked, none where it is missing; one git process answers all of them."""
+    rest, need = b"", None
+    for chunk in _piped(path, ["cat-file", "--batch", "--buffer"], timeout, (f"{i}\n".encode() for i in ids)):
+        rest += chunk
+        while True:
+            if need is None:
+                head, line, after = rest.partition(b"\n")
+                if not line:
+                    break
+                fields, rest = head.split(), after
+                if len(fields) != 3:
+                    yield fields[0].decode(), None
+                    continue
+                need = fields[0].decode(), int(fields[2])
+            if len(rest) < need[1] + 1:
+                break
+            yield need[0], rest[: need[1]]
+            rest, need = rest[need[1] + 1 :], None
+
+
 def _blobs(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
-    """Texts of HEAD's files up to the limit; files with a null byte are no texts."""
-    wanted = [(name, oid) for _, name, oid, size in _tree(repo_id, path, s) if 0 < size <= BLOB_LIMIT]
-    with subprocess.Popen(["git", "-c", "safe.directory=*", "-C", path, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as run:
-        for name, oid in wanted:
-            run.stdin.write(oid.encode() + b"\n")
-            run.stdin.flush()
-            head = run.stdout.readline().split()
-            if len(head) != 3:
-                continue
-            content = run.stdout.read(int(head[2]))
-            run.stdout.read(1)
-            if b"\0" not in content:
+    """Texts of HEAD's files up to the limit, asked for 500 at a time; files with a null byte are no texts."""
+    wanted = ((name, oid) for _, name, oid, size in _tree(repo_id, path, s) if 0 < size <= BLOB_LIMIT)
+    for some in batched(wanted, 500):
+        found = _objects(path, (oid for _, oid in some), s["performance"]["git_timeout_seconds"])
+        for (name, _), (_, content) in zip(some, found, strict=True):
+            if content is not None and b"\0" not in content:
                 yield repo_id, name, content.decode(errors="replace")
-        run.stdin.close()
 
 
 def _probe(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
@@ -171,7 +231,7 @@ def _probe(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
     default = one("symbolic-ref", "-q", "--short", "refs/remotes/origin/HEAD")
     count = lambda prefix: sum(r.startswith(prefix) for r in refs)
     yield (
-        repo_id, path, common, head, one("symbolic-ref", "-q", "--short", "HEAD"), default.removeprefix("origin/") if default else None,
+        repo_id, path, one("rev-parse", "--show-toplevel") or path, one("rev-parse", "--absolute-git-dir"), common, one("rev-parse", "--show-object-format") or "sha1", head, one("symbolic-ref", "-q", "--short", "HEAD"), default.removeprefix("origin/") if default else None,
         one("rev-parse", "--is-bare-repository") == "true", one("rev-parse", "--is-shallow-repository") == "true",
         bool(_lines(path, "config", "--get-regexp", r"remote\..*\.promisor")), count("refs/heads/"), count("refs/remotes/"), count("refs/tags/"),
         _lines(path, "config", "--get-all", "remote.origin.url"), hashlib.sha256("\n".join(state).encode()).hexdigest(),
@@ -182,8 +242,8 @@ _READERS = {"log": _log, "tree": _tree, "tags": _tags, "blobs": _blobs, "probe":
 
 
 class _Repository(InputPartition):
-    def __init__(self, repo_id: int, path: str) -> None:
-        self.repo_id, self.path = repo_id, path
+    def __init__(self, repo_id: int, path: str, part: int = 0, parts: int = 1) -> None:
+        self.repo_id, self.path, self.part, self.parts = repo_id, path, part, parts
 
 
 class _Reader(DataSourceReader):
@@ -191,32 +251,52 @@ class _Reader(DataSourceReader):
         self.what = options["what"]
         self.repositories = json.loads(options["repositories"])
         self.settings = json.loads(options["settings"])
+        self.tolerant = options.get("tolerant", "false").lower() == "true"
+        self.splits = int(options.get("splits", "1"))
+        self.merges = json.loads(options.get("merges", "null"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Repository(int(k), p) for k, p in self.repositories]
+        parts = self.splits if self.what == "log" else 1
+        return [_Repository(int(k), p, n, parts) for k, p in self.repositories for n in range(parts)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from _READERS[self.what](partition.repo_id, partition.path, self.settings)
+        if partition is None:  # no repository at all
+            return
+        more = (partition.part, partition.parts, self.merges) if self.what == "log" else ()
+        rows = _READERS[self.what](partition.repo_id, partition.path, self.settings, *more)
+        if not self.tolerant:
+            yield from rows
+            return
+        try:
+            yield from ((*row, None) for row in rows)
+        except (RuntimeError, OSError, ValueError, subprocess.SubprocessError) as error:
+            width = len(SCHEMAS[self.what].replace(_FILES, "files").split(","))
+            yield (partition.repo_id, *[None] * (width - 1), str(error) or type(error).__name__)
 
 
 class GitHistory(DataSource):
-    """``spark.read.format("git_history")`` with the options ``what``, ``repositories`` (JSON pairs of id and path) and ``settings`` (JSON)."""
+    """``spark.read.format("git_history")`` with the options ``what``, ``repositories`` (JSON pairs of id and path) and ``settings`` (JSON).
+
+    With ``tolerant`` a repository that can't be read ends in a row of its id and an ``error``; ``splits`` are the partitions of each repository's log; ``merges`` (true or false) reads
+    merges only, or none. These are options and no pushed filters, because Spark 4.1 keeps what was pushed into a Python source for all later uses of the same DataFrame.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "git_history"
 
     def schema(self) -> str:
-        return SCHEMAS[self.options["what"]]
+        return SCHEMAS[self.options["what"]] + (", error string" if self.options.get("tolerant", "false").lower() == "true" else "")
 
     def reader(self, schema: Any) -> DataSourceReader:
         return _Reader(self.options)
 
 
-def scan(spark: SparkSession, what: str, repositories: list[tuple[int, str]], settings: Mapping[str, Any]) -> DataFrame:
+def scan(spark: SparkSession, what: str, repositories: list[tuple[int, str]], settings: Mapping[str, Any], tolerant: bool = False, splits: int = 1, merges: bool | None = None) -> DataFrame:
     package_shipped(spark)
     spark.dataSource.register(GitHistory)
-    return spark.read.format("git_history").options(what=what, repositories=json.dumps(repositories), settings=json.dumps(settings)).load()
+    options = {"what": what, "repositories": json.dumps(repositories), "settings": json.dumps(settings), "tolerant": str(tolerant).lower(), "splits": str(splits), "merges": json.dumps(merges)}
+    return spark.read.format("git_history").options(**options).load()
 
 
 def _person(role: str, s: Mapping[str, Any]) -> Column:
