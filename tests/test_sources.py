@@ -151,6 +151,32 @@ def test_views_pass(spark):
     checked(spark, "SELECT max(id) AS m, (SELECT count(*) FROM seen) FROM seen s JOIN (SELECT upper('a') AS u) WHERE s.id IN (SELECT id FROM Seen) GROUP BY s.id")
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * FROM secret, (WITH secret AS (SELECT 1 AS x) SELECT * FROM secret) t", "SELECT * FROM (WITH secret AS (SELECT 1 AS x) SELECT * FROM secret) t UNION ALL SELECT * FROM secret",
+        "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 AS x) SELECT * FROM a", "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "SELECT (WITH secret AS (SELECT 1 AS x) SELECT max(x) FROM secret) AS m FROM secret", "SELECT 1 WHERE EXISTS (WITH secret AS (SELECT 1 AS x) SELECT 1 FROM secret) AND 1 IN (SELECT x FROM Secret)",
+        "WITH a AS (WITH secret AS (SELECT 1 AS x) SELECT * FROM secret) SELECT * FROM a, secret", "SELECT from_protobuf(x, 'm', '/etc/hosts') FROM (SELECT binary('a') AS x)",
+    ],
+)
+def test_names_of_common_table_expressions_end_with_their_scope(spark, text, tmp_path):
+    spark.sql(f"CREATE TABLE IF NOT EXISTS secret USING parquet LOCATION 'file://{tmp_path}/secret' AS SELECT 7 AS x")
+    try:
+        with pytest.raises(NotReadOnly):
+            checked(spark, text)
+    finally:
+        spark.sql("DROP TABLE secret")
+
+
+def test_common_table_expressions_in_scope_pass(spark):
+    for text in (
+        "WITH a AS (SELECT 1 AS x), b AS (SELECT x FROM A) SELECT * FROM b WHERE x IN (SELECT x FROM a)", "WITH a AS (SELECT 1 AS x) SELECT * FROM (WITH b AS (SELECT * FROM a) SELECT * FROM b JOIN a USING (x)) t",
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT sum(n) FROM r", "SELECT (WITH a AS (SELECT 1 AS x) SELECT max(x) FROM a) AS m",
+    ):
+        assert spark.sql(checked(spark, text)).count() == 1
+
+
 def test_queries_pass(spark):
     for text in ("SELECT 1", "WITH a AS (SELECT 1 AS x) SELECT x FROM a UNION SELECT 2 ORDER BY 1 LIMIT 3", "SELECT count(*) FROM range(3) HAVING count(*) > 1", "VALUES (1), (2)"):
         checked(spark, text)

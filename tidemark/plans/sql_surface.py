@@ -19,8 +19,8 @@ _ROOTS = frozenset(
 )
 
 
-#: Functions of Spark's own that call into the JVM, and table functions that are allowed.
-_REACHING_OUT = frozenset("reflect java_method try_reflect".split())
+#: Functions of Spark's own that call into the JVM or read files of the driver, and table functions that are allowed.
+_REACHING_OUT = frozenset("reflect java_method try_reflect from_protobuf to_protobuf".split())
 _TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 #: Expressions that hold a plan, and those that stand for names known only later.
 _SUBQUERIES = frozenset("ScalarSubquery ListQuery Exists LateralSubquery DynamicPruningSubquery FunctionTableSubqueryArgumentExpression".split())
@@ -57,15 +57,22 @@ def _name(node) -> str:
     return node.getClass().getSimpleName()
 
 
-def _plans(plan):
-    """A plan's nodes, and those of its common table expressions and of the subqueries in its expressions."""
-    yield plan
-    below = _items(plan.children())
+def _plans(plan, local: frozenset[str] = frozenset()):
+    """A plan's nodes, and those of the subqueries in its expressions, each with the names of the common table expressions that are in scope there.
+
+    A common table expression sees those before it in its own list (itself only if the list is recursive) and those around the list; what follows the list sees all of it; nothing outside does.
+    """
+    yield plan, local
+    for e in _expressions(plan):
+        if _name(e) in _SUBQUERIES:
+            yield from _plans(e.plan(), local)
     if _name(plan) == "UnresolvedWith":
-        below += [x._2() for x in _items(plan.cteRelations())]
-    below += [e.plan() for e in _expressions(plan) if _name(e) in _SUBQUERIES]
-    for node in below:
-        yield from _plans(node)
+        for relation in _items(plan.cteRelations()):
+            name = frozenset({relation._1().lower()})
+            yield from _plans(relation._2(), local | name if plan.allowRecursion() else local)
+            local |= name
+    for node in _items(plan.children()):
+        yield from _plans(node, local)
 
 
 def _expressions(plan):
@@ -99,8 +106,7 @@ def checked(spark: SparkSession, text: str) -> str:
     state = spark._jsparkSession.sessionState()
     plans = list(_plans(state.sqlParser().parsePlan(text)))
     own = frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())
-    local = {x._1().lower() for plan in plans if _name(plan) == "UnresolvedWith" for x in _items(plan.cteRelations())}
-    for plan in plans:
+    for plan, local in plans:
         if _name(plan) not in _ROOTS:
             raise NotReadOnly(f"only queries are allowed, not {_name(plan)}")
         if _name(plan) == "UnresolvedRelation":
