@@ -47,8 +47,57 @@ def test_distances(spark, seed):
     want, parent = plain(rows, ["a01", "a07", "nobody"], 20)
     got = {r.author_key: r for r in network.distances(members, start, 20).collect()}
     assert {a: r.distance for a, r in got.items()} == want
-    for a, (p, via) in parent.items():
-        assert (got[a].path[-2].author_key, got[a].path[-2].via_repository) == (p, via)
+    for a, r in got.items():
+        assert [tuple(p) for p in r.path] == plain_path(a, parent)
+
+
+def plain_path(a, parent):
+    path = [(a, "")]
+    while a in parent:
+        a, via = parent[a]
+        path.insert(0, (a, via))
+    return path
+
+
+def test_long_ways(spark):
+    """A chain of thirty authors, each meeting the next in a repository of their own."""
+    day = date(2024, 1, 1)
+    rows = [(f"a{k + d:02d}", k, f"r{k}", day, day) for k in range(29) for d in (0, 1)]
+    members = spark.createDataFrame(rows, "author_key string, repo_id long, repository string, first_date date, last_date date")
+    want, parent = plain(rows, ["a00"], 1)
+    got = network.distances(members, members.where("author_key = 'a00'"), 1).collect()
+    assert {r.author_key: r.distance for r in got} == want and max(want.values()) == 29
+    assert all([tuple(p) for p in r.path] == plain_path(r.author_key, parent) for r in got)
+    assert network.distances(members, members.where("false"), 1).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 8, 1024])
+def test_pairs(spark, monkeypatch, block):
+    """The best pairs and all pairs, ties and all, equal those of all pairs of members compared."""
+    monkeypatch.setattr(network, "BLOCK", block)
+    monkeypatch.setattr(network, "WAVE", 2)
+    rng = random.Random(7)
+    rows, day = [], date(2024, 1, 1)
+    for r in range(6):
+        for a in rng.sample(range(40), 40 if r == 0 else rng.randint(1, 9)):
+            first = day + timedelta(rng.randint(0, 120))
+            rows.append((f"k{a:02d}", rng.choice([f"Name {a % 5}", f"name {a % 5}"]) if a % 7 else None, r, f"repo{r % 4}", rng.choice([1, 1, 2, 50 if a < 3 else 3]), first, first + timedelta(rng.randint(0, 15))))
+    members = spark.createDataFrame(rows, "author_key string, author_name string, repo_id long, repository string, commits long, first_date date, last_date date")
+    total, name = {}, {}
+    for a, n, _, _, c, _, _ in rows:
+        total[a] = total.get(a, 0) + c
+        name[a] = max(filter(None, (name.get(a), n)), default=None)
+    low = lambda n: (n is not None, (n or "").lower())
+    want = []
+    for x in rows:
+        for y in rows:
+            if x[2] == y[2] and x[0] < y[0] and y[5] <= x[6] + timedelta(4) and x[5] <= y[6] + timedelta(4):
+                want.append((x[0], y[0], name[x[0]], name[y[0]], x[3], total[x[0]] + total[y[0]]))
+    want.sort(key=lambda p: (-p[5], low(p[2]), low(p[3]), p[0], p[1], p[4]))
+    assert [tuple(r) for r in network.direct_pairs(members, 4, None).collect()] == want
+    for limit in (1, 5, 25, 10_000):
+        assert [tuple(r) for r in network.direct_pairs(members, 4, limit).collect()] == want[:limit]
+    assert network.direct_pairs(members.where("false"), 4).count() == 0
 
 
 def test_memberships_leave_out(spark):

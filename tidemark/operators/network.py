@@ -7,13 +7,20 @@ spans lie within a gap of each other.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.identities import matches_any
-from tidemark.scratch import kept
+from tidemark.scratch import forget, kept, package_shipped
+
+#: Members of a repository that make up one block, a power of two; and pairs of blocks that the first wave of a search for the best pairs compares.
+BLOCK = 1024
+WAVE = 256
 
 
 class Memberships(NamedTuple):
@@ -49,36 +56,50 @@ def _near(gap: int, a: str, b: str) -> Column:
     return (F.col(f"{b}.first_date") <= F.date_add(f"{a}.last_date", gap)) & (F.col(f"{a}.first_date") <= F.date_add(f"{b}.last_date", gap))
 
 
+def _lined_up(rows: DataFrame, *order: str) -> DataFrame:
+    """Add ``place``, a number that rises in this order: rows are dealt by ranges, and numbers of later ranges are larger."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+
+
 def distances(members: DataFrame, start: DataFrame, gap: int = 365) -> DataFrame:
     """(author_key, distance, path): breadth-first from the authors in ``start``, with the way there.
 
-    A repository is entered once, by the first author in line, and leads to its members near that author. The line is ordered by
-    the author's own place, then by repository and by key, which a growing array of these names expresses without numbering everyone.
+    A repository is entered once, by the first author in line, and leads to its members near that author. The line of a level is ordered by
+    the place of the author that led there, then by repository and by key. Levels and entered repositories are written once each and only looked up later: an author carries a place, the author before
+    and the repository between them. Paths are put together at the end, by joins that double their length.
     """
-    step = "array<struct<author_key:string,via_repository:string>>"
-    first = F.array(F.struct(F.col("author_key"), F.lit("").alias("via_repository"))).cast(step)
-    frontier = kept(start.select("author_key", F.array("author_key").alias("place"), first.alias("path")).distinct(), "frontier")
-    reached = frontier.select("author_key", F.lit(0).alias("distance"), "path")
-    entered = None
-    level = 0
-    while not frontier.isEmpty():
-        level += 1
-        own = members.select("author_key", "repo_id", "repository", "first_date", "last_date")
-        at = frontier.join(own, "author_key")
-        if entered is not None:
-            at = at.join(entered, "repo_id", "left_anti")
-        entry = F.min_by(F.struct("author_key", "repository", "first_date", "last_date", "place", "path"), F.struct("place", "repository"))
-        claims = kept(at.groupBy("repo_id").agg(entry.alias("c")).select("repo_id", "c.*"), "claims")
-        entered = claims.select("repo_id") if entered is None else kept(entered.union(claims.select("repo_id")), "entered")
+    own = members.select("author_key", "repo_id", "repository", "first_date", "last_date")
+    none = F.lit(None).cast("string")
+    level = kept(_lined_up(start.select("author_key").distinct().select("author_key", none.alias("parent"), none.alias("via"), F.lit(0).alias("distance")), "author_key"), "level")
+    levels, entered = [level], []
+    union = lambda tables, *columns: reduce(DataFrame.union, (t.select(*columns) for t in tables))
+    while not level.isEmpty():
+        at = level.select("author_key", "place").join(own, "author_key")
+        if entered:
+            at = at.join(union(entered, "repo_id"), "repo_id", "left_anti")
+        first = F.min_by(F.struct("author_key", "place", "repository", "first_date", "last_date"), F.struct("place", "repository"))
+        claims = kept(at.groupBy("repo_id").agg(first.alias("c")).select("repo_id", "c.*"), "claims")
+        entered.append(claims)
         met = claims.alias("c").join(own.alias("m"), F.col("c.repo_id") == F.col("m.repo_id")).where(_near(gap, "c", "m"))
-        place = F.concat("c.place", F.array("c.repository", F.lpad(F.col("c.repo_id").cast("string"), 20, "0"), "m.author_key"))
-        left = F.struct(F.element_at("c.path", -1)["author_key"].alias("author_key"), F.col("c.repository").alias("via_repository"))
-        path = F.concat(F.slice("c.path", F.lit(1), F.size("c.path") - 1), F.array(left), F.array(F.struct(F.col("m.author_key"), F.lit("").alias("via_repository"))))
-        new = met.select(F.col("m.author_key").alias("author_key"), place.alias("place"), path.cast(step).alias("path"))
-        new = new.join(reached.select("author_key"), "author_key", "left_anti")
-        frontier = kept(new.groupBy("author_key").agg(F.min_by(F.struct("place", "path"), "place").alias("b")).select("author_key", "b.place", "b.path"), "frontier")
-        reached = kept(reached.union(frontier.select("author_key", F.lit(level), "path")), "reached")
-    return reached
+        new = met.select(F.col("m.author_key").alias("author_key"), F.struct(F.col("c.place").alias("place"), F.col("c.repository").alias("via"), F.col("c.repo_id").alias("repo_id"), F.col("c.author_key").alias("parent")).alias("by"))
+        new = new.join(union(levels, "author_key"), "author_key", "left_anti").groupBy("author_key").agg(F.min("by").alias("by"))
+        new = new.select("author_key", "by.parent", "by.via", F.lit(len(levels)).alias("distance"), F.col("by.place").alias("before"), F.col("by.repo_id").alias("repo_id"))
+        level = kept(_lined_up(new, "before", "via", "repo_id", "author_key").select("author_key", "parent", "via", "distance", "place"), "level")
+        levels.append(level)
+    reached = kept(union(levels, "author_key", "parent", "via", "distance"), "reached")
+    for done in (*levels, *entered):
+        forget(done)
+    step = "array<struct<author_key:string,via_repository:string>>"
+    before = F.array(F.struct(F.col("parent").alias("author_key"), F.col("via").alias("via_repository")))
+    ways = reached.select("author_key", "distance", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.array()).otherwise(before).cast(step).alias("way"))
+    longest = 1
+    while longest < len(levels) - 1:  # each way leads ``longest`` authors back, or to the start
+        above = ways.select(F.col("author_key").alias("up"), F.col("up").alias("further"), F.col("way").alias("first"))
+        ways = ways.join(above, "up", "left")
+        ways = kept(ways.select("author_key", "distance", F.col("further").alias("up"), F.concat(F.coalesce("first", F.array().cast(step)), "way").alias("way")), "ways")
+        longest *= 2
+    last = F.array(F.struct("author_key", F.lit("").alias("via_repository"))).cast(step)
+    return ways.select("author_key", "distance", F.concat("way", last).alias("path"))
 
 
 def author_rows(members: DataFrame, reached: DataFrame, limit: int | None = 500) -> DataFrame:
@@ -91,24 +112,84 @@ def author_rows(members: DataFrame, reached: DataFrame, limit: int | None = 500)
     return rows.limit(limit) if limit is not None else rows
 
 
+_PAIRS = "author_key string, co_author_key string, author string, co_author string, repository string, commits long, by string, co_by string"
+
+
+def _best_of_blocks(gap: int, limit: int | None):
+    """The near pairs of two blocks (or of one block with itself), only the ``limit`` first of them."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in _PAIRS.split(", ")]).empty_table()
+        left = rows.column("left").to_numpy().astype(bool)
+        sides = np.flatnonzero(left), (np.flatnonzero(~left) if not left.all() else np.flatnonzero(left))
+        first, last, total = (rows.column(c).to_numpy().astype(np.int64) for c in ("first_day", "last_day", "total"))
+        keys, names = (np.array(rows.column(c).to_pylist(), dtype=object) for c in ("author_key", "by"))
+        rank = np.unique(keys, return_inverse=True)[1]
+        name = np.unique(np.array(["" if n is None else f"\x01{n}" for n in names], dtype=object), return_inverse=True)[1]
+        u, v = sides
+        near = (first[v][None, :] <= last[u][:, None] + gap) & (first[u][:, None] <= last[v][None, :] + gap)
+        if left.all():
+            near &= rank[u][:, None] < rank[v][None, :]
+        x, y = (side[at] for side, at in zip((u, v), np.nonzero(near), strict=True))
+        turned = rank[x] > rank[y]
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
+        commits = total[x] + total[y]
+        if limit is not None and len(x) > limit:
+            least = np.partition(commits, len(x) - limit)[len(x) - limit]
+            some = np.flatnonzero(commits >= least)
+            x, y, commits = x[some], y[some], commits[some]
+            some = np.lexsort((rank[y], rank[x], name[y], name[x], -commits))[:limit]
+            x, y, commits = x[some], y[some], commits[some]
+        take = lambda c, at: rows.column(c).combine_chunks().take(pa.array(at))
+        columns = [take("author_key", x), take("author_key", y), take("name", x), take("name", y), take("repository", x), pa.array(commits, pa.int64()), take("by", x), take("by", y)]
+        return pa.table(columns, [c.split()[0] for c in _PAIRS.split(", ")])
+
+    return run
+
+
 def direct_pairs(members: DataFrame, gap: int = 365, limit: int | None = 500) -> DataFrame:
-    """Pairs of near members of a repository; their commits are the authors' totals over all memberships.
+    """Pairs of near members of a repository; their commits are the authors' totals over all memberships. ``limit`` keeps the most active, and without it all near pairs are the result.
 
-    The pairs are the result, so a repository of n members gives up to n * (n - 1) / 2 of them; ``limit`` keeps the most active.
+    A repository's members, most active first, form blocks, so a large one is many of them. Two blocks can't hold a pair of more commits than their most active members have together, and none at all if their spans lie further
+    apart than the gap. Pairs of blocks are compared in waves, those that may hold most first; once the last of the best pairs found has more commits than any pair of blocks left may have, nothing left can be among them.
     """
+    spark = members.sparkSession
+    package_shipped(spark)
     totals = members.groupBy("author_key").agg(F.sum("commits").alias("total"), F.max("author_name").alias("name"))
-    m = members.select("repo_id", "repository", "author_key", "first_date", "last_date").join(totals, "author_key")
-    both = (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.author_key") < F.col("b.author_key")) & _near(gap, "a", "b")
-    pairs = m.alias("a").join(m.alias("b"), both).select(
-        F.col("a.author_key").alias("author_key"),
-        F.col("b.author_key").alias("co_author_key"),
-        F.col("a.name").alias("author"),
-        F.col("b.name").alias("co_author"),
-        F.col("a.repository").alias("repository"),
-        (F.col("a.total") + F.col("b.total")).alias("commits"),
-    )
-    pairs = pairs.orderBy(F.desc("commits"), F.lower("author"), F.lower("co_author"), "author_key", "co_author_key", "repository")
-    return pairs.limit(limit) if limit is not None else pairs
+    m = members.select("repo_id", "repository", "author_key", F.unix_date("first_date").alias("first_day"), F.unix_date("last_date").alias("last_day")).join(totals, "author_key")
+    m = _lined_up(m.withColumns({"by": F.lower("name"), "rest": -F.col("total")}), "repo_id", "rest", "author_key").withColumn("block", F.expr(f"place div {BLOCK}"))
+    m = kept(m.drop("place", "rest"), "members")
+    blocks = m.groupBy("repo_id", "block").agg(F.max("total").alias("top"), F.min("first_day").alias("since"), F.max("last_day").alias("until"))
+    b, c = blocks.alias("b"), blocks.alias("c")
+    meeting = (F.col("b.repo_id") == F.col("c.repo_id")) & (F.col("b.block") <= F.col("c.block")) & (F.col("c.since") <= F.col("b.until") + gap) & (F.col("b.since") <= F.col("c.until") + gap)
+    waiting = kept(b.join(c, meeting).select("b.repo_id", F.col("b.block").alias("one"), F.col("c.block").alias("other"), (F.col("b.top") + F.col("c.top")).alias("bound")), "blocks")
+    order = (F.desc("bound"), F.asc("repo_id"), F.asc("one"), F.asc("other"))
+    best, size, rest = None, WAVE, waiting
+    while True:
+        wave = rest if limit is None else kept(rest.orderBy(*order).limit(size), "wave")
+        sides = [wave.select("repo_id", F.col(at).alias("block"), "one", "other", F.lit(at == "one").alias("left")) for at in ("one", "other")]
+        sides[1] = sides[1].where("one <> other")
+        held = sides[0].union(sides[1]).join(m, ["repo_id", "block"]).drop("block")
+        found = held.groupBy("repo_id", "one", "other").applyInArrow(_best_of_blocks(gap, limit), _PAIRS)
+        ranked = (F.desc("commits"), F.asc("by"), F.asc("co_by"), F.asc("author_key"), F.asc("co_author_key"), F.asc("repository"))
+        if limit is None:
+            best = found.orderBy(*ranked)
+            break
+        best = kept((found if best is None else found.unionByName(best)).orderBy(*ranked).limit(limit), "best")
+        last = wave.orderBy(*(F.asc("bound"), F.desc("repo_id"), F.desc("one"), F.desc("other"))).first()
+        if last is None:
+            break
+        kinds = {f.name: f.dataType for f in waiting.schema}
+        mark = [F.lit(last[c]).cast(kinds[c]) for c in ("bound", "repo_id", "one", "other")]
+        after = F.struct(-F.col("bound"), "repo_id", "one", "other") > F.struct(-mark[0], *mark[1:])
+        rest, size = waiting.where(after), size * 4
+        held_back = best.agg(F.count("*").alias("n"), F.min("commits").alias("least")).first()
+        if held_back["n"] == limit:
+            rest = rest.where(F.col("bound") >= held_back["least"])
+        if rest.isEmpty():
+            break
+    return best.orderBy(*ranked).select("author_key", "co_author_key", "author", "co_author", "repository", "commits")
 
 
 def no_stats(spark: SparkSession) -> DataFrame:
