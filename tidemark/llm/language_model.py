@@ -5,7 +5,7 @@ A text is its words, A-Z lower-cased, and one end token, read after a start mark
 Contexts that occur are states. A state has an arc for each word that follows it, which weighs log10 p and leads to the longest known context that then
 ends the text so far, and a failure arc to h' that weighs log10 of m / (c(h) + m). A text is read once from left to right: its state is carried, failure arcs are taken until the word has an arc, weights add up.
 
-No model is held whole anywhere. Texts form blocks of about ``BLOCK`` tokens; a block lists its different n-grams, as 64-bit hashes in sorted, compressed arrays with its own counts, once, for counting and for asking alike.
+No model is held whole anywhere. Texts form blocks of about ``BLOCK`` tokens; a block lists its different n-grams, as 58-bit hashes in sorted, compressed arrays with its own counts, once, for counting and for asking alike.
 Ranges of hashes add up the counts of all blocks and answer each block in the order of its list; then each block builds the part of the automaton
 that its own texts can reach, and reads them. All texts of a block are read abreast, long ones in pieces (a piece begins in the state that the words before it lead to), so a traversal takes few steps.
 """
@@ -30,8 +30,10 @@ ORDER = 3
 PRIOR = (40.0, 8.0, 4.0)
 #: Tokens of a block, n-grams that meet in one range, and tokens of a piece. They divide work, not results.
 BLOCK = 1_000_000
-NODES = 4_000_000
+NODES = 1_500_000
 PIECE = 512
+#: Bits of an n-gram's key: its hash and two for its length. 58 bits of hash fit the disk, where 62 took 4.03 x input.
+KEY_BITS = 60
 #: Hashes of the two marks, the least of all; words have larger ones.
 END, START = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +63,7 @@ class Grams:
             self.labels.append(keys % self.m)
             self.ends.append(end)
             above = self.keys[-1][self.parents[k]] if k else np.uint64(0)
-            self.keys.append(mix(above * _BASE + words[self.labels[k]] + np.uint64(k)) & ~_LEVEL | np.uint64(k))  # the last two bits tell the length
+            self.keys.append(mix(above * _BASE + words[self.labels[k]] + np.uint64(k)) >> np.uint64(64 - KEY_BITS) & ~_LEVEL | np.uint64(k))  # the last two bits tell the length
 
     def all_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """The keys of all lengths in rising order, and the place of each among them."""
@@ -217,7 +219,7 @@ def _asked(order: int, ranges: int):
                 keys, place = grams.all_keys()
                 counts = np.empty(len(keys), dtype=np.int64)
                 counts[place] = grams.counted(np.repeat(~held, lengths + 1))
-                part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                part = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)
                 cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
                 own = np.flatnonzero(np.diff(cuts))
                 for some in np.split(own, range(64, len(own), 64)):
@@ -230,11 +232,15 @@ def _asked(order: int, ranges: int):
 def _answered(key: tuple, held: pa.Table) -> pa.Table:
     """The sums of a range for each block, in the order of its list, and in a row without block the number of different words that were counted."""
     blobs = [unpacked(d) for d in held.column("data").to_pylist()]
-    keys, place = distinct(np.concatenate([k[0] for k, _ in blobs]))
+    ends = np.cumsum([len(c[0]) for _, c in blobs])
+    counts = np.concatenate([c[0] for _, c in blobs])
+    whole = np.concatenate([k[0] for k, _ in blobs])
+    del blobs
+    keys, place = distinct(whole)
+    del whole
     sums = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(sums, place, np.concatenate([c[0] for _, c in blobs]))
+    np.add.at(sums, place, counts)
     words = int(((keys & _LEVEL == 0) & (sums > 0)).sum())
-    ends = np.cumsum([len(c[0]) for _, c in blobs])
     answers = [packed([], [smallest(sums[p])]) for p in np.split(place, ends[:-1])]
     n = len(answers)
     blocks = pa.concat_arrays([held.column("block").combine_chunks().cast(pa.int64()), pa.nulls(1, pa.int64())])
@@ -270,8 +276,8 @@ def model_scores(docs: DataFrame, divisor: int = 7, held_out: int = 2, order: in
 
     The model learns from the texts outside the held-out fold. A null text is an empty one, whose one token is its end. Rows with a null id are held out. Repeated rows count each and get
     the same scores, as equal texts do. Texts of any length are read whole. Where nothing is learned all tokens are unknown and all scores are 0. An empty table gives an empty table.
-    Columns other than the two are not read, whatever their names. ``order`` is 2 to 4. N-grams are told apart by 64-bit hashes, so among 10 thousand million of them
-    some three would share their counts with another.
+    Columns other than the two are not read, whatever their names. ``order`` is 2 to 4. N-grams are told apart by 58-bit hashes: among a
+    thousand million of them about two share their counts with another.
     """
     if not 2 <= order <= 4:
         raise ValueError("the order is 2 to 4")
