@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import daypart, weekday_label
 from tidemark.functions.signals import change
+from tidemark.operators.statistics import quantiles
 
 def names() -> Column:
     """Sorted distinct names of the repositories behind a row."""
@@ -50,9 +51,12 @@ def monthly(commits: DataFrame) -> DataFrame:
 
 def week_matrix(commits: DataFrame) -> DataFrame:
     """All 7 x 24 cells of weekday (Monday is 0) and hour."""
-    spark = commits.sparkSession
-    cells = spark.range(7 * 24).select((F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour"))
-    found = commits.groupBy(F.col("activity_weekday").alias("weekday"), F.col("activity_hour").alias("hour")).agg(F.count("*").alias("commits"), names())
+    return week_cells(commits.groupBy(F.col("activity_weekday").alias("weekday"), F.col("activity_hour").alias("hour")).agg(F.count("*").alias("commits"), names()))
+
+
+def week_cells(found: DataFrame) -> DataFrame:
+    """Counts by weekday and hour in all cells, with zeros where there are none."""
+    cells = found.sparkSession.range(7 * 24).select((F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour"))
     filled = cells.join(found, ["weekday", "hour"], "left")
     return filled.select("weekday", weekday_label(F.col("weekday")).alias("label"), "hour", F.coalesce("commits", F.lit(0)).alias("commits"), no_names())
 
@@ -113,7 +117,8 @@ def busiest_days(commits: DataFrame, limit: int = 50) -> DataFrame:
 
 def active_day_stats(commits: DataFrame) -> DataFrame:
     per_day = commits.groupBy("activity_date").agg(F.count("*").alias("commits"))
-    return per_day.agg(F.count("*").alias("active_days"), F.avg("commits").alias("average_commits"), F.median("commits").alias("median_commits"))
+    middle = quantiles(per_day, F.col("commits"), [0.5]).select(F.col("q0").alias("median_commits"))
+    return per_day.agg(F.count("*").alias("active_days"), F.avg("commits").alias("average_commits")).crossJoin(middle)  # one row each
 
 
 def _days(commits: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.scratch import kept
+
 
 def _by_value(counts: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """(keys, x, m): m rows have the value x; with what lies below and above in order."""
@@ -51,8 +53,33 @@ def concentration(counts: DataFrame, value: str = "commits", keys: Sequence[str]
     return v.groupBy(*keys).agg(*out) if keys else v.agg(*out)
 
 
+def quantiles(rows: DataFrame, value: Column, shares: Sequence[float]) -> DataFrame:
+    """One row with ``q0``, ``q1`` and so on: the values at these shares of all in order, linear between neighbours; null without any value.
+
+    Values are counted first. The different ones are dealt by ranges and each range is counted, so only the counts of ranges are added up in one place; then a range finds its own
+    neighbours of each share. No task holds more than its range.
+    """
+    counted = rows.select(value.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("m"))
+    ranged = counted.repartitionByRange("x").sortWithinPartitions("x").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33).cast("int"))
+    ranged = kept(ranged, "values")
+    parts = ranged.groupBy("part").agg(F.sum("m").alias("held"))
+    every = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = parts.select("part", F.coalesce(F.sum("held").over(every), F.lit(0)).alias("before"))
+    total = parts.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("n"))
+    inside = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(before, "part").select("x", "m", (F.col("before") + F.coalesce(F.sum("m").over(inside), F.lit(0))).alias("below")).crossJoin(F.broadcast(total))  # one row
+    picks = []
+    for k, p in enumerate(shares):
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        for name, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("m")), F.col("x"))).cast("double").alias(f"{name}{k}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"part{k}"))
+    one = placed.agg(*picks)
+    between = [F.when(F.col(f"lo{k}") == F.col(f"hi{k}"), F.col(f"lo{k}")).otherwise((1 - F.col(f"part{k}")) * F.col(f"lo{k}") + F.col(f"part{k}") * F.col(f"hi{k}")) for k in range(len(shares))]
+    return one.select(*(c.alias(f"q{k}") for k, c in enumerate(between)))
+
+
 def distribution(rows: DataFrame, value: Column) -> DataFrame:
     """Mean, median, 90th and 95th percentile (linear between neighbours) and maximum."""
-    p = F.percentile(value, [0.5, 0.9, 0.95])
-    one = rows.agg(F.avg(value).alias("mean"), p.alias("p"), F.max(value).alias("maximum"))
-    return one.select("mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p95"), "maximum")
+    one = rows.agg(F.avg(value).alias("mean"), F.max(value).alias("maximum")).crossJoin(quantiles(rows, value, [0.5, 0.9, 0.95]))  # one row each
+    return one.select("mean", F.col("q0").alias("median"), F.col("q1").alias("p90"), F.col("q2").alias("p95"), "maximum")

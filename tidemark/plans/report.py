@@ -13,6 +13,8 @@ from tidemark.config import settings as make_settings
 from tidemark.functions.signals import density
 from tidemark.operators import activity, code, network, people, repositories
 from tidemark.operators.effective import effective_commits, effective_file_changes, with_author
+from tidemark.operators.statistics import concentration
+from tidemark.scratch import kept
 
 
 class Tables(NamedTuple):
@@ -31,32 +33,78 @@ class Tables(NamedTuple):
     signals: DataFrame | None = None
 
 
-def summary(tables: Tables, commits: DataFrame, as_of: Column, work_time: Mapping[str, Any], quiet: int, dormant: int) -> DataFrame:
-    """One row with the figures of the whole portfolio; each part is an aggregate of one row.
+#: What commits are rolled up by, each by itself; the empty one is everything.
+_ROLLS = {"all": (), "author": ("author_key",), "committer": ("committer_key",), "day": ("activity_date",), "repository": ("repo_id",), "hour": ("activity_weekday", "activity_hour")}
 
-    Numbers of branches are there if the repositories have them. What isn't known counts as nothing; shares of nothing are null.
+
+def rolled_up(commits: DataFrame) -> DataFrame:
+    """All that ``summary`` and ``insights`` count of commits, from one pass over them: a row for each author, committer, day, repository and hour of the week, and one for everything.
+
+    It is written, since both read it several times; it has as many rows as there are different authors, committers, days and repositories.
     """
-    merge, bot = F.col("is_merge").cast("int"), F.col("author_is_bot").cast("int")
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    late = activity.work_time(work_time["working_days"], work_time["start_hour"], work_time["end_hour"])
-    totals = commits.agg(
+    yes = lambda c: F.sum(F.col(c).cast("int"))
+    keys = list(dict.fromkeys(k for own in _ROLLS.values() for k in own))
+    level = F.lit("all")
+    for name, own in _ROLLS.items():
+        if own:
+            level = F.when(F.grouping(own[0]) == 0, name).otherwise(level)
+    rows = commits.groupingSets([list(own) for own in _ROLLS.values()], *keys).agg(
+        level.alias("level"),
         F.count("*").alias("commits"),
-        zero(merge).alias("merge_commits"),
-        F.countDistinct("author_key").alias("authors"),
-        F.countDistinct("committer_key").alias("committers"),
-        zero(bot).alias("bot_commits_in_effective_set"),
-        F.countDistinct("activity_date").alias("active_days"),
+        yes("is_merge").alias("merges"),
+        yes("author_is_bot").alias("bots"),
+        *(F.sum(c).alias(c) for c in ("insertions", "deletions", "files_changed", "binary_files")),
+        F.count_if(F.col("message_type") != "other").alias("typed"),
+        F.count_if("has_issue_reference").alias("with_issue"),
+        F.count_if("is_breaking").alias("breaking"),
         F.min("activity_at").alias("first_commit"),
         F.max("activity_at").alias("last_commit"),
-        F.datediff(as_of, F.max("activity_date")).alias("days_since_last_commit"),
-        zero("insertions").alias("additions"),
-        zero("deletions").alias("deletions"),
-        zero("files_changed").alias("files_changed"),
-        zero("binary_files").alias("binary_files"),
-        *code.ratios(),
-        *late,
-    ).drop("stats_known_share")
-    rows = repositories.with_status(repositories.repository_totals(tables.repositories, commits), as_of, quiet, dormant)
+        F.min("activity_date").alias("first_day"),
+        F.max("activity_date").alias("last_day"),
+        F.max("author_name").alias("name"),
+    )
+    return kept(rows, "rolled")
+
+
+def summary(tables: Tables, commits: DataFrame, as_of: Column, work_time: Mapping[str, Any], quiet: int, dormant: int, rolled: DataFrame | None = None) -> DataFrame:
+    """One row with the figures of the whole portfolio; each part is an aggregate of one row. Commits are read once, by ``rolled_up``, which may be shared, and raw ones once for their bots.
+
+    Numbers of branches are there if the repositories have them. What isn't known counts as nothing; shares of nothing are null.
+    """
+    rolled = rolled_up(commits) if rolled is None else rolled
+    of = lambda level: rolled.where(F.col("level") == level)
+    bot = F.col("author_is_bot").cast("int")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    all_of = lambda c: F.max(F.when(F.col("level") == "all", F.col(c)))
+    number = lambda c: F.coalesce(all_of(c), F.lit(0))
+    known = lambda level, key: F.count_if((F.col("level") == level) & F.col(key).isNotNull())
+    off = ~F.col("activity_weekday").isin(*work_time["working_days"])
+    late = off | (F.col("activity_hour") < work_time["start_hour"]) | (F.col("activity_hour") >= work_time["end_hour"])
+    at = lambda when: F.try_divide(F.coalesce(F.sum(F.when((F.col("level") == "hour") & when, F.col("commits"))), F.lit(0)), all_of("commits"))
+    totals = rolled.agg(
+        number("commits").alias("commits"),
+        number("merges").alias("merge_commits"),
+        known("author", "author_key").alias("authors"),
+        known("committer", "committer_key").alias("committers"),
+        number("bots").alias("bot_commits_in_effective_set"),
+        known("day", "activity_date").alias("active_days"),
+        all_of("first_commit").alias("first_commit"),
+        all_of("last_commit").alias("last_commit"),
+        F.datediff(as_of, all_of("last_day")).alias("days_since_last_commit"),
+        number("insertions").alias("additions"),
+        number("deletions").alias("deletions"),
+        number("files_changed").alias("files_changed"),
+        number("binary_files").alias("binary_files"),
+        F.try_divide(all_of("typed"), all_of("commits")).alias("typed_commit_share"),
+        F.try_divide(all_of("with_issue"), all_of("commits")).alias("issue_reference_share"),
+        number("breaking").alias("breaking_changes"),
+        at(off).alias("weekend_share"),
+        at(late).alias("outside_work_time_share"),
+        F.count_if((F.col("level") == "author") & (F.col("first_day") >= F.date_sub(as_of, 29))).alias("new_authors_last_30_days"),
+        F.avg(F.when(F.col("level") == "day", F.col("commits"))).alias("average_commits_per_active_day"),
+    )
+    rows = tables.repositories.where("active").join(of("repository").select("repo_id", F.col("commits").alias("_n"), "last_day"), "repo_id", "left").withColumn("commits", F.coalesce("_n", F.lit(0).cast("long")))
+    rows = repositories.with_status(rows, as_of, quiet, dormant)
     rows = repositories.with_contents(rows, tables.tree, tables.comments, tables.file_types, tables.signals)
     held = ("tree_files", "tree_bytes", "code_lines", "comment_lines", "local_branches", "remote_branches")
     health = rows.agg(
@@ -72,11 +120,11 @@ def summary(tables: Tables, commits: DataFrame, as_of: Column, work_time: Mappin
     )
     raw_bots = tables.commits.join(repositories.usable_repositories(tables.repositories).select("repo_id"), "repo_id", "left_semi")
     one = totals.crossJoin(health).crossJoin(raw_bots.agg(zero(bot).alias("bot_commits_raw")))  # one row each, as all below
-    one = one.crossJoin(people.new_authors(commits, as_of).withColumnRenamed("new_authors", "new_authors_last_30_days"))
-    one = one.crossJoin(people.author_concentration(commits).withColumnsRenamed({"gini": "author_gini", "hhi": "author_hhi"}))
-    streak = activity.longest_streak(commits).select(F.col("days").alias("longest_streak_days"), F.col("start").alias("longest_streak_start"), F.col("end").alias("longest_streak_end"))
-    one = one.crossJoin(streak).crossJoin(activity.longest_gap(commits).select(F.col("days_without_commits").alias("longest_gap_days")))
-    one = one.crossJoin(activity.active_day_stats(commits).select(F.col("average_commits").alias("average_commits_per_active_day")))
+    spread = concentration(of("author").select("author_key", "commits"))
+    one = one.crossJoin(spread.withColumnsRenamed({"top_share": "top_author_share", "gini": "author_gini", "hhi": "author_hhi"}))
+    days = of("day").select("activity_date")
+    streak = activity.longest_streak(days).select(F.col("days").alias("longest_streak_days"), F.col("start").alias("longest_streak_start"), F.col("end").alias("longest_streak_end"))
+    one = one.crossJoin(streak).crossJoin(activity.longest_gap(days).select(F.col("days_without_commits").alias("longest_gap_days")))
     one = one.crossJoin(repositories.release_summary(tables.tags, tables.repositories).select("tags"))
     return one.withColumns(
         {
@@ -91,17 +139,21 @@ def summary(tables: Tables, commits: DataFrame, as_of: Column, work_time: Mappin
     )
 
 
-def insights(commits: DataFrame, tables: Tables) -> DataFrame:
-    """One row: the strongest weekday, hour, month, author, repository, language and day; the earliest of equals."""
+def insights(commits: DataFrame, tables: Tables, rolled: DataFrame | None = None) -> DataFrame:
+    """One row: the strongest weekday, hour, month, author, repository, language and day; the earliest of equals. Commits are read once, by ``rolled_up``, which may be shared."""
+    rolled = rolled_up(commits) if rolled is None else rolled
+    of = lambda level: rolled.where(F.col("level") == level)
     first = lambda value, *keys: F.max(F.struct("commits", *keys, F.col(value).alias("v")))["v"]
-    matrix = activity.week_matrix(commits)
+    found = of("hour").select(F.col("activity_weekday").alias("weekday"), F.col("activity_hour").alias("hour"), "commits").withColumn("repository_names", F.array().cast("array<string>"))
+    matrix = activity.week_cells(found)
     by_day = activity.weekdays(matrix).agg(first("label", (-F.col("weekday")).alias("k")).alias("top_weekday"))
     by_hour = activity.hours(matrix).agg(first("hour", (-F.col("hour")).alias("k")).alias("top_hour"))
-    months = activity.monthly(commits).withColumn("k", -F.replace("month", F.lit("-"), F.lit("")).cast("int"))
+    dated = of("day").where("activity_date is not null").select(F.col("activity_date").alias("date"), "commits")
+    months = dated.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.sum("commits").alias("commits")).withColumn("k", -F.replace("month", F.lit("-"), F.lit("")).cast("int"))
     by_month = months.agg(first("month", F.col("k")).alias("peak_month"))
-    days = activity.daily(commits).agg(first("date", (-F.unix_date("date")).alias("k")).alias("busiest_day"))
-    authors = people.author_totals(commits).agg(F.min(F.struct((-F.col("commits")).alias("c"), F.lower("name").alias("n"), "author_key", F.col("name").alias("v")))["v"].alias("top_author"))
-    repos = repositories.repository_totals(tables.repositories, commits)
+    days = dated.agg(first("date", (-F.unix_date("date")).alias("k")).alias("busiest_day"))
+    authors = of("author").agg(F.min(F.struct((-F.col("commits")).alias("c"), F.lower("name").alias("n"), "author_key", F.col("name").alias("v")))["v"].alias("top_author"))
+    repos = tables.repositories.where("active").join(of("repository").select("repo_id", F.col("commits").alias("_n")), "repo_id", "left").withColumn("commits", F.coalesce("_n", F.lit(0).cast("long")))
     repos = repos.agg(F.min(F.struct((-F.col("commits")).alias("c"), F.lower("display_name").alias("n"), "repo_id", F.col("display_name").alias("v")))["v"].alias("top_repository"))
     one = by_day.crossJoin(by_hour).crossJoin(by_month).crossJoin(days).crossJoin(authors).crossJoin(repos)  # one row each
     if tables.tree is not None:
@@ -144,16 +196,17 @@ def run_errors(errors: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def build(tables: Tables, as_of: Column, over: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
-    """Every dataset of a report by name. Nothing runs until one of them is used."""
+    """Every dataset of a report by name. Only the roll-up behind ``summary`` and ``insights`` and the network's search run at once; nothing else runs until it is used."""
     s = make_settings(over)
     history, privacy, report, net = s["history"], s["privacy"], s["report"], s["network"]
     commits = effective_commits(tables.commits, tables.repositories, history["include_bots"], history["deduplicate_global"])
     changes = with_author(effective_file_changes(tables.changes, commits), commits)
     quiet, dormant = report["quiet_after_days"], report["dormant_after_days"]
     week = activity.week_matrix(commits)
+    rolled = rolled_up(commits)
     anonymous, emails = privacy["anonymize_authors"], privacy["show_emails"]
     out = {
-        "summary": summary(tables, commits, as_of, s["work_time"], quiet, dormant),
+        "summary": summary(tables, commits, as_of, s["work_time"], quiet, dormant, rolled),
         "daily": activity.daily(commits),
         "monthly": activity.monthly(commits),
         "yearly": activity.yearly(commits),
@@ -181,7 +234,7 @@ def build(tables: Tables, as_of: Column, over: Mapping[str, Any] | None = None)
         "releases": repositories.releases(tables.tags, tables.repositories),
         "release_summary": repositories.release_summary(tables.tags, tables.repositories),
         "timezone_offsets": repositories.timezone_offsets(commits),
-        "insights": insights(commits, tables),
+        "insights": insights(commits, tables, rolled),
     }
     if not anonymous:
         out["name_hints"] = people.name_hints(tables.commits, tables.repositories, show_emails=emails)
