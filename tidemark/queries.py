@@ -791,32 +791,70 @@ def network_direct_pairs(s, d):
     return network.direct_pairs(_members(s, d).rows, gap=5)
 
 
-@query()
+def _searched(members: str, start: str, gap: int, levels: int = 5) -> str:
+    """The search level by level: ``l0`` and so on are the levels in line, ``reached`` all of them. The test tables need two levels; the last one here must be empty."""
+    parts = [f"l0 AS MATERIALIZED (SELECT author_key, row_number() OVER (ORDER BY author_key) AS place, 0 AS distance, NULL::VARCHAR AS parent, NULL::VARCHAR AS via FROM ({start}) GROUP BY author_key)"]
+    for k in range(levels):
+        entered = " UNION ALL ".join(f"SELECT repo_id FROM c{i}" for i in range(k)) or "SELECT NULL::BIGINT WHERE false"
+        known = " UNION ALL ".join(f"SELECT author_key FROM l{i}" for i in range(k + 1))
+        parts.append(
+            f"""c{k} AS MATERIALIZED (SELECT m.repo_id, m.repository, l.author_key, l.place, m.first_date, m.last_date FROM l{k} l JOIN {members} m USING (author_key)
+  WHERE m.repo_id NOT IN ({entered}) QUALIFY row_number() OVER (PARTITION BY m.repo_id ORDER BY l.place, m.repository) = 1),
+n{k} AS (SELECT m.author_key, c.place, c.repository AS via, c.repo_id, c.author_key AS parent FROM c{k} c JOIN {members} m USING (repo_id)
+  WHERE m.first_date <= c.last_date + {gap} AND c.first_date <= m.last_date + {gap} AND m.author_key NOT IN ({known})
+  QUALIFY row_number() OVER (PARTITION BY m.author_key ORDER BY c.place, c.repository, c.repo_id) = 1),
+l{k + 1} AS MATERIALIZED (SELECT author_key, row_number() OVER (ORDER BY place, via, repo_id, author_key) AS place, {k + 1} AS distance, parent, via FROM n{k})"""
+        )
+    return ", ".join([*parts, "reached AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(levels + 1)) + ")"])
+
+
+_LASTING = """om AS (SELECT author_key, repo_id, repository, max(author_name) AS author_name, count(*) AS commits, min(activity_date) AS first_date, max(activity_date) AS last_date FROM oc GROUP BY 1, 2, 3),
+lasting AS (SELECT * FROM om WHERE commits >= 2)"""
+
+
+@query(
+    a.with_tables("", "orders").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", "
+    + _LASTING
+    + ", "
+    + _searched("lasting", "SELECT author_key FROM lasting ORDER BY commits DESC, author_key, repo_id LIMIT 1", 30)
+    + """, ways AS (SELECT author_key, distance, []::VARCHAR[] AS names FROM reached WHERE distance = 0
+  UNION ALL SELECT r.author_key, r.distance, list_append(w.names, r.via) FROM reached r JOIN ways w ON w.author_key = r.parent AND r.distance = w.distance + 1),
+totals AS (SELECT author_key, max(author_name) AS author, sum(commits)::BIGINT AS commits, count(DISTINCT repo_id) AS repositories FROM lasting GROUP BY 1)
+SELECT author_key, author, commits, repositories, distance::INTEGER AS distance, array_to_string(list_sort(list_distinct(coalesce(names, []))), ',') AS repository_names
+FROM totals LEFT JOIN ways USING (author_key) ORDER BY distance NULLS LAST, commits DESC, lower(author), author_key LIMIT 500"""
+)
 def network_distances(s, d):
-    """Distances from one reference author over long-lived memberships; tested against a plain queue."""
+    """Distances from one reference author over long-lived memberships."""
     members = network.memberships(orders(s, d), minimum=2, trusted_only=False, exclude_service=False).rows
     start = members.orderBy(F.desc("commits"), "author_key", "repo_id").limit(1).select("author_key")
     reached = network.distances(members, start, gap=30)
     return network.author_rows(members, reached).select("author_key", "author", "commits", "repositories", "distance", F.array_join("repository_names", ",").alias("repository_names"))
 
 
-@query(
-    _with_members(
-        """SELECT (SELECT count(DISTINCT author_key) FROM kept) AS authors, (SELECT count(*) FROM m) - (SELECT count(*) FROM kept) AS excluded_memberships,
-  (SELECT count(DISTINCT author_key) FROM ec WHERE author_name = 'User 77') AS connected_authors, (SELECT min(0) FROM ec WHERE author_name = 'User 77') AS max_distance, (SELECT count(DISTINCT author_key) FROM kept) > 20 AS truncated"""
-    )
-)
+def _reach(gap: int) -> str:
+    start = "SELECT author_key FROM ec GROUP BY author_key HAVING lower(max(author_name)) = 'user 77'"
+    return _with_members(
+        _searched("kept", start, gap)
+        + """ SELECT (SELECT count(DISTINCT author_key) FROM kept) AS authors, (SELECT count(*) FROM m) - (SELECT count(*) FROM kept) AS excluded_memberships,
+  (SELECT count(*) FROM reached) AS connected_authors, (SELECT max(distance) FROM reached)::INTEGER AS max_distance, (SELECT count(DISTINCT author_key) FROM kept) > 20 AS truncated"""
+    ).replace(_MEMBERS + "\n", _MEMBERS + ",\n", 1)
+
+
+def _reached(s: SparkSession, d: str, gap: int) -> DataFrame:
+    members = _members(s, d)
+    return network.stats(members, network.distances(members.rows, network.references(events(s, d), ["user 77"]), gap=gap), limit=20)
+
+
+@query(_reach(1))
 def network_stats(s, d):
-    start = network.references(events(s, d), ["user 77"]).select("author_key", F.lit(0).alias("distance"))
-    return network.stats(_members(s, d), start, limit=20)
+    return _reached(s, d, 1)
 
 
-@query()
+@query(_reach(5))
 def network_reach_stats(s, d):
-    """Survey item G7 whole: authors connected with the reference authors by the search, and its greatest distance. SQL is too slow for it; tested against a plain queue."""
-    members = _members(s, d)
-    start = network.references(events(s, d), ["user 77"])
-    return network.stats(members, network.distances(members.rows, start, gap=5), limit=20)
+    """Survey item G7 whole: authors connected with the reference authors by the search, and its greatest distance."""
+    return _reached(s, d, 5)
 
 
 # ------------------------------------------------------------------------------------------------ exploration and SQL
