@@ -105,7 +105,7 @@ def test_report_and_sinks(spark, tables, tmp_path):
     written = files.write_csv_bundle(some, tmp_path / "csv")
     files.write_manifest(written, tmp_path / "m.json")
     assert "alpha" in files.markdown(some) and "<script" in files.html_page(some)
-    assert (tmp_path / "csv/daily.csv").read_text("utf-8-sig").splitlines()[0].startswith("date,commits")
+    assert (tmp_path / "csv/activity_daily.csv").read_text("utf-8-sig").splitlines()[0].startswith("date,commits")
     assert "</script" not in files.json_island({"a": "</script>"})
     assert files.markdown_table([{"a": "x|y\nz"}], ["a"]).endswith("| x\\|y z |")
     assert effective_file_changes(git_history.file_changes(found["log"]), commits).count() == activity.daily(effective_commits(commits, repos)).count() + 4
@@ -118,10 +118,12 @@ def test_work_trees_of_one_repository(spark):
 
 
 def test_forge_listing(spark):
-    rows = [("o/b", None, "b", "https://x/b", "git@x:b", None, False, None, False), ("o/a", None, "a", "https://x/a", None, None, False, None, True), ("o/p", None, "p", "https://x/p", None, None, True, None, False)]
+    rows = [("o/b", None, "b", "https://x/b", "git@x:b", None, False, None, False, "o", 1), ("o/a", None, "a", "https://x/a", None, None, False, None, True, "o", 2), ("o/p", None, "p", "https://x/p", None, None, True, None, False, "o", 3)]
     df = spark.createDataFrame(rows, forge.LISTING)
     assert [r.name for r in forge.listed(df, "f").collect()] == ["o/b"]
     assert [r.name for r in forge.listed(df, "f", visibility="all", include_forks=True).collect()] == ["o/a", "o/b", "o/p"]
+    with pytest.raises(ValueError):
+        forge.listed(df.drop("place"), "f")
 
 
 @pytest.mark.parametrize("text", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE VIEW v AS SELECT 1", "SET a = 1", "UPDATE x SET a = 1", "CACHE TABLE x", "DELETE FROM x", "EXPLAIN SELECT 1"])

@@ -46,3 +46,18 @@ def size_label(known: Column, lines: Column) -> Column:
         .when(lines <= 1000, SIZES[4])
         .otherwise(SIZES[5])
     )
+
+
+def human_int(value: Column) -> Column:
+    """A whole number with points between thousands; a dash for none."""
+    return F.coalesce(F.translate(F.format_number(value, 0), ",", "."), F.lit("–"))
+
+
+def human_percent(share: Column, digits: int = 1) -> Column:
+    """A share as a percentage with a decimal comma; a dash for none."""
+    return F.coalesce(F.concat(F.translate(F.format_number(share * 100, digits), ".,", ","), F.lit("%")), F.lit("–"))
+
+
+def stored_list(text: Column) -> Column:
+    """The strings of a list that was stored as JSON; nothing for what is no such list."""
+    return F.coalesce(F.filter(F.from_json(text, "array<string>"), lambda v: v.isNotNull()), F.array().cast("array<string>"))

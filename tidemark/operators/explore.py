@@ -74,9 +74,18 @@ def merged_kinds(rows: DataFrame) -> DataFrame:
     return each.groupBy("kind").agg(F.sum("lines").alias("lines"))
 
 
+def natural_key(text: Column, collation: str = "DE_CI_AI") -> Column:
+    """A key that sorts text as a reader expects: runs of digits by their value and before other text, the rest by a collation that ignores case and accents; ``repo9`` comes before ``repo10``."""
+    digits = lambda run: F.regexp_replace(run, "^0+(?=[0-9])", "")
+    number = lambda run: F.concat(F.lpad(F.length(digits(run)).cast("string"), 10, "0"), digits(run))  # noqa: E731  numbers of more digits are larger
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+|[^0-9]+)"))
+    is_number = lambda run: run.rlike("^[0-9]")
+    return F.transform(runs, lambda run: F.struct(F.when(is_number(run), 0).otherwise(1).alias("kind"), F.when(is_number(run), number(run)).otherwise("").alias("number"), F.collate(F.when(is_number(run), "").otherwise(run), collation).alias("text")))
+
+
 def sorted_view(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Rows by a column as a reader expects: numbers in text by value, the rest by its text."""
-    number = F.try_to_number(F.col(column).cast("string"), F.lit("S999999999999.999999")) if rows.schema[column].dataType.simpleString() == "string" else F.col(column)
-    folded = F.lower(F.col(column).cast("string"))
-    keys = [F.desc_nulls_last(number), F.desc(folded)] if descending else [F.asc_nulls_last(number), F.asc(folded)]
-    return rows.orderBy(*keys)
+    """Rows by a column as a reader expects: whole values that are numbers by value and first, then text in natural order."""
+    if rows.schema[column].dataType.simpleString() != "string":
+        return rows.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column))
+    number, text = F.try_to_number(F.col(column), F.lit("S999999999999.999999")), natural_key(F.col(column))
+    return rows.orderBy(*([F.desc_nulls_last(number), F.desc(text)] if descending else [F.asc_nulls_last(number), F.asc(text)]))

@@ -175,21 +175,28 @@ def timezone_offsets(commits: DataFrame) -> DataFrame:
     return commits.groupBy(F.col("timezone_offset_minutes").alias("offset_minutes")).agg(F.count("*").alias("commits"))
 
 
+def not_public(repositories: DataFrame, privacy: DataFrame, requested: list[str]) -> DataFrame:
+    """(folded): the requested names, in lower case, that no usable public repository has."""
+    public = usable_repositories(repositories).join(privacy.where("classification = 'public'").select("repo_id"), "repo_id", "left_semi")
+    wanted = repositories.sparkSession.createDataFrame([(n.casefold(),) for n in dict.fromkeys(requested)], "folded string")
+    return wanted.join(public.select(F.lower("display_name").alias("folded")), "folded", "left_anti")
+
+
 def public_repositories(repositories: DataFrame, privacy: DataFrame, requested: list[str] | None = None) -> DataFrame:
     """Usable repositories that are public; of these the requested ones, whatever their case.
 
-    It fails closed: a requested name that isn't public, or nothing at all, is an error.
+    It fails closed, when it is read: a requested name that isn't public, or nothing at all, is an error.
     """
     public = usable_repositories(repositories).join(privacy.where("classification = 'public'").select("repo_id"), "repo_id", "left_semi")
+    missing = F.lit("")
+    faults = public.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, F.lit("no public repository")).alias("fault"))
     if requested:
-        wanted = repositories.sparkSession.createDataFrame([(n.casefold(),) for n in dict.fromkeys(requested)], "folded string")
-        missing = wanted.join(public.select(F.lower("display_name").alias("folded")), "folded", "left_anti").collect()
-        if missing:
-            raise ValueError("not public: " + ", ".join(sorted(r[0] for r in missing)))
+        gone = not_public(repositories, privacy, requested).agg(F.array_sort(F.collect_list("folded")).alias("names"))  # at most as many as were requested
+        missing = F.when(F.size("names") > 0, F.concat(F.lit("not public: "), F.array_join("names", ", ")))
+        faults = gone.select(missing.alias("fault")).union(faults)
         public = public.where(F.lower("display_name").isin([n.casefold() for n in requested]))
-    if public.isEmpty():
-        raise ValueError("no public repository")
-    return public
+    fault = faults.agg(F.min("fault").alias("_fault"))  # one row
+    return public.join(F.broadcast(fault), F.lit(True), "right").where(F.coalesce(F.when(F.col("_fault").isNotNull(), F.raise_error(F.col("_fault")).cast("boolean")), F.lit(True))).drop("_fault")
 
 
 def profile_languages(tree: DataFrame, public: DataFrame, limit: int = 12) -> DataFrame:

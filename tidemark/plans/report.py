@@ -263,3 +263,16 @@ def build(tables: Tables, as_of: Column, over: Mapping[str, Any] | None = None)
     else:
         out["network_stats"] = network.no_stats(commits.sparkSession)
     return out
+
+
+def displayed(datasets: Mapping[str, DataFrame], over: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
+    """What a page shows of a report: ``top_n`` rows of the lists that rank, and the last ``timeline_months`` months."""
+    s = make_settings(over)["report"]
+    top, months = s["top_n"], max(1, s["timeline_months"])
+    out = dict(datasets)
+    for name in ("contributors", "hot_files", "top_directories", "top_scopes", "busiest_days", "recent_subjects"):
+        if name in out:
+            out[name] = out[name].limit(top)
+    if "monthly" in out:
+        out["monthly"] = out["monthly"].orderBy(F.desc("month")).limit(months).orderBy("month")
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import settings
@@ -987,6 +987,37 @@ def forge_listing(s, d):
     return forge.listed(rows, "f")
 
 
+@query("""SELECT label, row_number() OVER (ORDER BY lower(split_part(label, '#', 1)), CAST(split_part(label, '#', 2) AS BIGINT), label) AS rank FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END || '#' || c_custkey AS label FROM customer)
+  QUALIFY rank <= 200""")
+def natural_order_top(s, d):
+    """Labels that only a natural order sorts as a reader does: ``building#9`` before ``BUILDING#10``."""
+    k = F.col("c_custkey")
+    rows = a.read(s, d, "customer").select(F.concat(F.when(k % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")), F.lit("#"), k.cast("string")).alias("label"))
+    first = explore.sorted_view(rows, "label").limit(200)
+    return first.select("label", F.row_number().over(Window.orderBy(explore.natural_key(F.col("label")))).cast("long").alias("rank"))  # of 200 rows
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '–' ELSE replace(format('{:,}', CAST(o_orderkey AS BIGINT) * 1000), ',', '.') END AS keys FROM orders""")
+def human_numbers(s, d):
+    k = F.col("o_orderkey")
+    return a.read(s, d, "orders").select("o_orderkey", labels.human_int(F.when(k % 7 != 0, k.cast("long") * 1000)).alias("keys"))
+
+
+@query(
+    """SELECT full_name AS name, 'https://x/' || k AS source, CASE WHEN k % 3 = 0 THEN 'private' ELSE 'public' END AS visibility, 'no' AS fork, 'f' AS forge FROM (SELECT c_name AS full_name, c_custkey AS k FROM customer WHERE c_custkey % 4 > 0)
+  WHERE k % 3 > 0 OR k % 5 = 1"""
+)
+def forge_union(s, d):
+    """A public listing with the account's own listing, of which only its own rows are added."""
+    k = F.col("c_custkey")
+    rows = a.read(s, d, "customer").select(
+        F.col("c_name").alias("full_name"), F.lit(None).cast("string").alias("path_with_namespace"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("https://x/"), k.cast("string")).alias("clone_url"),
+        F.lit(None).cast("string").alias("ssh_url"), F.lit(None).cast("string").alias("http_url_to_repo"), (k % 3 == 0).alias("private"), F.lit(None).cast("string").alias("visibility"), (k % 4 == 0).alias("fork"),
+        F.when(k % 5 == 1, "Me").otherwise("other").alias("owner"), k.alias("place"),
+    )
+    return forge.listed(rows.where("not private"), "f", visibility="all", own=rows, account="me")
+
+
 @query(
     r"SELECT event_id, 'x' || chr(65533) || k || chr(9) || 'y' AS subject, CASE WHEN k = 0 THEN 'repository' ELSE 'repo-' || k END AS slug FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
 )
@@ -999,9 +1030,7 @@ def sanitized_text(s, d):
 
 @query("SELECT n AS missing FROM (VALUES ('nation_1'), ('nation_3'), ('elsewhere')) v(n) WHERE n NOT IN (SELECT lower(repository) FROM names JOIN privacy USING (repo_id) WHERE classification = 'public')", "events")
 def requested_but_not_public(s, d):
-    wanted = s.createDataFrame([("nation_1",), ("nation_3",), ("elsewhere",)], "missing string")
-    public = repositories.public_repositories(a.repositories(s, d), a.privacy(s, d)).select(F.lower("display_name").alias("missing"))
-    return wanted.join(public, "missing", "left_anti")
+    return repositories.not_public(a.repositories(s, d), a.privacy(s, d), ["NATION_1", "nation_3", "elsewhere"]).withColumnRenamed("folded", "missing")
 
 
 @query("SELECT language AS name, (p_partkey % 25)::BIGINT AS repo_id, count(*) AS files, sum(p_size)::BIGINT AS bytes FROM (SELECT *, p_type AS language FROM part) GROUP BY 1, 2", "tree")

@@ -7,6 +7,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,31 @@ def forget(df: DataFrame) -> None:
     _dropped(df.sparkSession, df.kept_in)
 
 
+def kept_text(lines: DataFrame, name: str) -> str:
+    """A folder of text files that hold these lines, in their order."""
+    path = f"{shared_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    lines.write.option("lineSep", "\r\n").text(path)
+    return path
+
+
+def pieces(spark: SparkSession, path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a folder's files one after the other, a piece at a time."""
+    place, store = _located(spark, path)
+    names = sorted(x.getPath().getName() for x in store.listStatus(place))
+    for name in names:
+        if name.startswith("part-"):
+            stream = store.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+            try:
+                while len(piece := bytes(stream.readNBytes(size))):
+                    yield piece
+            finally:
+                stream.close()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    _dropped(spark, path)
+
+
 def stored(spark: SparkSession, name: str, data: bytes) -> str:
     """Write a file into the shared folder; its path."""
     place, store = _located(spark, f"{shared_folder(spark)}/{name}")

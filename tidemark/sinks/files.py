@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
 import html
 import json
@@ -12,9 +11,11 @@ from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.scratch import kept_text, pieces, removed
+
 #: Rows of one dataset that a document may hold; larger ones belong into ``write_parquet``.
 MOST_ROWS = 100_000
 
@@ -58,28 +59,81 @@ def write_json(datasets: Mapping[str, DataFrame], path: str | Path) -> None:
     write_text(path, json.dumps(document(datasets), ensure_ascii=False, indent=2, default=str) + "\n")
 
 
-def _cell(value: Any) -> Any:
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (dict, list, tuple, Row)):
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"), default=str)
-    return value
+#: The files of a report's bundle with the dataset of each. Fixed values.
+BUNDLE = {
+    "repositories.csv": "repositories", "contributors.csv": "contributors", "collaboration_distances.csv": "network_authors", "identity_hints.csv": "identity_hints", "activity_daily.csv": "daily",
+    "activity_monthly.csv": "monthly", "activity_yearly.csv": "yearly", "activity_weekdays.csv": "weekdays", "activity_hours.csv": "hours", "activity_dayparts.csv": "dayparts",
+    "activity_busiest_days.csv": "busiest_days", "commit_types.csv": "commit_types", "commit_sizes.csv": "commit_sizes", "commit_scopes.csv": "top_scopes", "tree_languages.csv": "tree_languages",
+    "churn_languages.csv": "churn_languages", "hot_files.csv": "hot_files", "top_directories.csv": "top_directories", "releases.csv": "releases", "scan_errors.csv": "errors",
+    "timezone_offsets.csv": "timezone_offsets", "summary.csv": "summary",
+}
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    """A line of CSV for each row: booleans in words, nested values as JSON, nothing for null."""
+    cells = []
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        value = F.col(f"`{field.name}`")
+        cells.append((F.to_json(value) if kind in ("array", "map", "struct") else value.cast("string")).alias(field.name))
+    options = {"escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    return df.select(F.to_csv(F.struct(*cells), options).alias("value"))
+
+
+def write_csv(df: DataFrame, path: str | Path) -> Path:
+    """One file for spreadsheets, with a byte order mark, in the order of ``df``; ``no_data`` alone where there are no rows. It may have any number of rows.
+
+    Spark writes the lines as parts into the shared folder; their bytes are then copied one after the other beside the target, which takes its name in one step. A job or a copy that fails leaves the target as it was.
+    """
+    spark = df.sparkSession
+    lines = kept_text(_lines(df), "csv")
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}-")
+    try:
+        with os.fdopen(handle, "wb") as file:
+            file.write(b"\xef\xbb\xbf")
+            head = True
+            for piece in pieces(spark, lines):
+                if head:
+                    file.write(",".join(_quoted(c) for c in df.columns).encode() + b"\r\n")
+                    head = False
+                file.write(piece)
+            if head:
+                file.write(b"no_data\r\n")
+        os.replace(name, target)
+    except BaseException:
+        Path(name).unlink(missing_ok=True)
+        raise
+    finally:
+        removed(spark, lines)
+    return target
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"' if any(c in name for c in ',"\r\n') else name
 
 
 def write_csv_bundle(datasets: Mapping[str, DataFrame], folder: str | Path) -> list[Path]:
-    """A file for each dataset, for spreadsheets: byte order mark, booleans in words, nested values as JSON."""
-    out = []
-    for name, df in datasets.items():
-        target = Path(folder, f"{name}.csv")
-        target.parent.mkdir(parents=True, exist_ok=True)
-        with target.open("w", encoding="utf-8-sig", newline="") as file:
-            writer = csv.writer(file)
-            writer.writerow(df.columns or ["no_data"])
-            writer.writerows([_cell(r[c]) for c in df.columns] for r in collected(df))
-        out.append(target)
-    return out
+    """The fixed bundle of a report, a file for each dataset; those that the report lacks have no data. All are written beside the folder, which takes the place of an older one when they are whole."""
+    target = Path(folder)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    found = dict(datasets)
+    hints = [found[k] for k in ("name_hints", "email_hints") if k in found]
+    if hints:
+        found["identity_hints"] = hints[0] if len(hints) == 1 else hints[0].unionByName(hints[1], allowMissingColumns=True)
+    with tempfile.TemporaryDirectory(dir=target.parent, prefix=f".{target.name}-") as scratch:
+        fresh = Path(scratch, "new")
+        fresh.mkdir()
+        for file, name in BUNDLE.items():
+            if name in found:
+                write_csv(found[name], fresh / file)
+            else:
+                (fresh / file).write_bytes(b"\xef\xbb\xbfno_data\r\n")
+        if target.exists():
+            os.replace(target, Path(scratch, "old"))
+        os.replace(fresh, target)
+    return [target / file for file in BUNDLE]
 
 
 def _escaped(value: Any) -> str:
