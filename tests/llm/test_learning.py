@@ -158,6 +158,15 @@ def test_raking_by_aggregation_is_the_same(spark, monkeypatch):
     assert key(mixing.mixed(docs, targets)) == key(mixing.mixed(docs, targets, max_cells=0))
 
 
+def test_what_is_not_met_is_told(spark, monkeypatch):
+    """At 0.25 all default targets can be met, see above; after one round they aren't yet."""
+    told = lambda sf, **more: {r.met for r in mixing.mixed(table(spark, sf, "documents"), **more).select("met").distinct().collect()}
+    assert told(SMALL, budget=0.25) == {True}
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    assert told(SF, budget=0.25) == told(SF, budget=0.25, max_cells=0) == {False}
+    assert told(SF, targets={"lang": {"none": 1.0}}, max_cells=0) == {False}
+
+
 def test_mixing_odd_rows(odd_docs, no_docs):
     got = mixing.mixed(odd_docs).collect()
     assert len(got) == odd_docs.count() and {r.source for r in got} == {"a", "b", "c", "(none)"}

@@ -4,7 +4,8 @@ Tokens are summed by cell (source, language, topic). Raking multiplies the cells
 three marginals meet their targets; the factors of a cell, scaled to a token budget and trimmed at 1, are the probability with which
 its documents are kept. Hashes of the rows decide, so a sample is the same each time.
 
-Cells are few by nature and are raked on the driver up to ``max_cells``; beyond that the same steps run as aggregations.
+Cells are few by nature and are raked on the driver up to ``max_cells``; beyond that the same steps run as aggregations, marginals and targets are tables, and only
+sums come to the driver. Where ``ROUNDS`` end before the marginals of expected tokens are what is to be kept, to ``TOLERANCE``, the column ``met`` is false.
 
 Nulls, ties and odd rows: a null source or language is a value of its own, ``(none)``, which all rows of a table without such a column have; texts without tokens (null, empty) carry no
 weight and are not sampled; equal rows share one decision; values without a target keep nothing; very long texts count whole; an empty table gives no rows. All columns
@@ -131,20 +132,46 @@ def _raked_here(cells: DataFrame, targets: dict[str, dict[str, float]], budget:
     reached = weights * (factor > 0)
     wants = [attainable(np.bincount(p, reached, len(t)), t, budget * weights.sum()) for p, t in zip(places, shares, strict=True)]
     chance = probabilities(weights, factor, places, wants)
-    listed = [(*(r[n] for n in DIMENSIONS), float(f), float(p)) for (_, r), f, p in zip(rows.iterrows(), factor, chance, strict=True)]
-    return cells.sparkSession.createDataFrame(listed, ", ".join(f"{n} string" for n in DIMENSIONS) + ", weight double, probability double")
-
-
-def _raked_apart(cells: DataFrame, targets: dict[str, dict[str, float]], budget: float) -> DataFrame:
-    """The same as aggregations over the table of cells: only marginals, as long as the lists of targets, come to the driver."""
-    spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0]
-    wanted = [spark.createDataFrame(list(targets[n].items()), f"{n} string, target double") for n in DIMENSIONS]
-    now = cells.withColumn("weight", F.lit(1.0))
-    for name, want in zip(DIMENSIONS, wanted, strict=True):
-        now = now.join(want.withColumnRenamed("target", f"target_{name}"), name, "left")
-    now = now.withColumn("weight", F.when(F.expr(" and ".join(f"target_{n} is not null" for n in DIMENSIONS)), 1.0).otherwise(0.0))
-    now = settle(now, "cells")
+    met = all(np.abs(np.bincount(p, weights * chance, len(w)) - w).max(initial=0.0) < TOLERANCE * max(w.sum(), 1.0) for p, w in zip(places, wants, strict=True))
+    listed = [(*(r[n] for n in DIMENSIONS), float(f), float(p), met) for (_, r), f, p in zip(rows.iterrows(), factor, chance, strict=True)]
+    return cells.sparkSession.createDataFrame(listed, ", ".join(f"{n} string" for n in DIMENSIONS) + ", weight double, probability double, met boolean")
+
+
+def _goals(cells: DataFrame, name: str, asked: Mapping[str, float] | None) -> DataFrame:
+    """(name, target): the share of each value that has tokens and a target."""
+    have = cells.groupBy(name).agg(F.sum("tokens").alias("have")).where("have > 0")
+    if asked is None:
+        rows = have.select(name, F.pow("have", F.lit(TEMPERATURE)).alias("target"))
+    else:
+        rows = have.join(cells.sparkSession.createDataFrame([(k, float(v)) for k, v in asked.items()], f"{name} string, target double"), name).where("target > 0").select(name, "target")
+    rows = settle(rows, "goals")
+    return rows.withColumn("target", F.col("target") / F.lit(rows.agg(F.sum("target")).first()[0] or 1.0))
+
+
+def _attainable_apart(totals: DataFrame, budget: float) -> DataFrame:
+    """``attainable`` for a table (name, have, target): (name, want)."""
+    left = min(budget, float(totals.agg(F.sum("have")).first()[0] or 0.0))
+    now = settle(totals.withColumns({"want": F.lit(0.0), "free": F.lit(True)}), "wants")
+    while True:
+        shares = now.where("free").agg(F.sum("target")).first()[0]
+        if not shares:
+            return now.select(totals.columns[0], "want")
+        part = F.col("target") / shares * left
+        over = F.col("free") & (part >= F.col("have"))
+        full = now.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("have"))).alias("have")).first()
+        if not full["n"]:
+            return now.select(totals.columns[0], F.when(F.col("free"), part).otherwise(F.col("want")).alias("want"))
+        now = settle(now.withColumns({"want": F.when(over, F.col("have").cast("double")).otherwise(F.col("want")), "free": F.col("free") & ~over}), "wants")
+        left -= float(full["have"])
+
+
+def _raked_apart(cells: DataFrame, goals: dict[str, DataFrame], budget: float) -> DataFrame:
+    """The same as aggregations over the table of cells; marginals and targets are tables beside it."""
+    total = float(cells.agg(F.sum("tokens")).first()[0])
+    now = cells
+    for name in DIMENSIONS:
+        now = now.join(goals[name].withColumnRenamed("target", f"target_{name}"), name, "left")
+    now = settle(now.withColumn("weight", F.when(F.expr(" and ".join(f"target_{n} is not null" for n in DIMENSIONS)), 1.0).otherwise(0.0)), "cells")
     for _ in range(ROUNDS):
         worst = 0.0
         for name in DIMENSIONS:
@@ -154,40 +181,41 @@ def _raked_apart(cells: DataFrame, targets: dict[str, dict[str, float]], budget:
             now = settle(now.join(steps, name, "left").withColumn("weight", F.col("weight") * F.coalesce("step", F.lit(0.0))).drop("step"), "cells")
         if worst < CLOSE:
             break
-    values, wants = {}, {}
+    wants = {}
     for name in DIMENSIONS:
-        totals = {r[0]: float(r[1]) for r in now.where("weight > 0").groupBy(name).agg(F.sum("tokens")).collect()}
-        values[name] = sorted(totals)
-        wants[name] = attainable(np.array([totals[v] for v in values[name]]), np.array([targets[name][v] for v in values[name]]), budget * total)
+        totals = now.where("weight > 0").groupBy(name).agg(F.sum("tokens").alias("have"), F.first(f"target_{name}").alias("target"))
+        wants[name] = settle(_attainable_apart(totals, budget * total), "wants")
+    whole = {name: max(float(wants[name].agg(F.sum("want")).first()[0] or 0.0), 1.0) for name in DIMENSIONS}
+    far = lambda rows, name: float(rows.agg(F.max(F.abs(F.col("now") - F.col("want")))).first()[0] or 0.0) / whole[name]
+    chance = F.least("odds", F.lit(1.0))
     now = settle(now.withColumn("odds", F.col("weight")), "cells")
     for _ in range(ROUNDS):
         worst = 0.0
         for name in DIMENSIONS:
-            step, before = np.zeros(len(values[name])), -1
+            steps, before = wants[name].select(name, F.lit(0.0).alias("step")), -1
             while True:
-                steps = spark.createDataFrame(list(zip(values[name], step.tolist(), strict=True)), f"{name} string, step double")
-                state = now.join(F.broadcast(steps), name, "left").withColumn("step", F.coalesce("step", F.lit(0.0)))
+                state = now.join(steps, name, "left").withColumn("step", F.coalesce("step", F.lit(0.0)))
                 full = F.col("odds") * F.col("step") >= 1
                 sums = state.groupBy(name).agg(
                     F.count_if(full).alias("full"),
                     F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("spent"),
                     F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("odds"))).alias("rest"),
                     F.min(F.when((F.col("odds") > 0) & (F.col("tokens") > 0), F.col("odds"))).alias("low"),
-                    F.sum(F.col("tokens") * F.least("odds", F.lit(1.0))).alias("now"),
+                    F.sum(F.col("tokens") * chance).alias("now"),
                 )
-                rows = {r[name]: r for r in sums.collect()}
-                if before < 0 and values[name]:
-                    kept = np.array([rows[v]["now"] for v in values[name]])
-                    worst = max(worst, np.abs(kept - wants[name]).max() / max(wants[name].sum(), 1.0))
-                if (grown := sum(r["full"] for r in rows.values())) <= before:
+                sums = settle(sums.join(wants[name], name), "sums")
+                if before < 0:
+                    worst = max(worst, far(sums, name))
+                if (grown := sums.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]) <= before:
                     break
                 before = grown
-                spent, rest = (np.array([float(rows[v][c]) for v in values[name]]) for c in ("spent", "rest"))
-                step = _steps(wants[name], spent, rest, np.array([rows[v]["low"] or np.inf for v in values[name]]))
+                step = F.when(F.col("rest") > 0, F.greatest(F.col("want") - F.col("spent"), F.lit(0.0)) / F.col("rest")).otherwise(F.coalesce(1 / F.col("low"), F.lit(0.0)))
+                steps = sums.select(name, step.alias("step"))
             now = settle(state.withColumn("odds", F.col("odds") * F.col("step")).drop("step"), "cells")
         if worst < TOLERANCE:
             break
-    return now.select(*DIMENSIONS, "weight", F.least("odds", F.lit(1.0)).alias("probability"))
+    met = all(far(now.groupBy(name).agg(F.sum(F.col("tokens") * chance).alias("now")).join(wants[name], name), name) < TOLERANCE for name in DIMENSIONS)
+    return now.select(*DIMENSIONS, "weight", chance.alias("probability"), F.lit(met).alias("met"))
 
 
 def mixed(
@@ -202,7 +230,7 @@ def mixed(
     seed: int = 17,
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
-    """(row, source, lang, topic, n_tokens, weight, probability, sampled) for each row of ``docs``; ``row`` is the row itself."""
+    """(row, source, lang, topic, n_tokens, weight, probability, met, sampled) for each row of ``docs``; ``row`` is the row itself."""
     text = F.col(text_col)
     given = lambda name: F.col(name) if name in docs.columns else F.lit(None)
     place = {"source": given(source_col), "lang": given(lang_col), "topic": topic if topic is not None else structure_topic(text)}
@@ -210,15 +238,17 @@ def mixed(
     draw = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     measured = docs.select(F.struct("*").alias("row"), *named, tokens(text).alias("n_tokens"), draw.alias("draw"))
     cells = settle(measured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    goals = {}
-    for name in DIMENSIONS:
-        asked = (targets or {}).get(name)
-        totals = {r[0]: float(r[1]) for r in cells.groupBy(name).agg(F.sum("tokens")).collect()}
-        goals[name] = _targets(totals, asked)
+    asked = {name: (targets or {}).get(name) for name in DIMENSIONS}
     few = cells.count() <= max_cells
-    if not all(goals.values()):
-        chances = cells.select(*DIMENSIONS, F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
+    if few:  # then no dimension has more values than that
+        goals = {n: _targets({r[0]: float(r[1]) for r in cells.groupBy(n).agg(F.sum("tokens")).collect()}, asked[n]) for n in DIMENSIONS}
+        some = all(goals.values())
+    else:
+        goals = {n: _goals(cells, n, asked[n]) for n in DIMENSIONS}
+        some = not any(g.isEmpty() for g in goals.values())
+    if not some:
+        chances = cells.select(*DIMENSIONS, F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"), F.lit(False).alias("met"))
     else:
         chances = (_raked_here if few else _raked_apart)(cells, goals, budget)
-    joined = measured.join(F.broadcast(chances) if few else chances, list(DIMENSIONS))
-    return joined.select("row", *DIMENSIONS, "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
+    joined = measured.join(F.broadcast(chances) if few else chances, list(DIMENSIONS))  # a broadcast of ``max_cells`` rows at most
+    return joined.select("row", *DIMENSIONS, "n_tokens", "weight", "probability", "met", (F.col("draw") < F.col("probability")).alias("sampled"))

@@ -65,7 +65,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixed(table(spark, sf_dir, "documents"))
-    return made.select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+    return made.select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled", "met")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
