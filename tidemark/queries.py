@@ -608,22 +608,40 @@ def subject_classification(s, d):
     return events(s, d).select("hash", made.alias("c"), subjects.mentions_issue(F.col("subject")).alias("issue")).select("hash", "c.*", "issue")
 
 
-_MADE_PATHS = ["src/app.py", "types/index.d.ts", "Dockerfile", "a//b/./Makefile", r"win\dir\Main.JAVA", ".gitignore", "x/.env.toml", "README", "deep/er/style.SCSS", "trailing.", "/abs/x.go", "odd.tar.gz"]
-_PATH_WANT = [
-    ("Python", ".py", "src"), ("TypeScript", ".d.ts", "types"), ("Dockerfile", "dockerfile", "[root]"), ("Makefile", "makefile", "a"), ("Java", ".java", "win"),
-    ("Other", "[ohne Endung]", "[root]"), ("TOML", ".toml", "x"), ("Other", "[ohne Endung]", "[root]"), ("SCSS", ".scss", "deep"), ("Other", "[ohne Endung]", "[root]"), ("Go", ".go", "/"),
-    ("Other", ".gz", "[root]"),
-]
+def _quoted(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: Ends of made file names: every suffix that is known, as it is and in capitals, and some that mean nothing.
+_ENDS = [*paths.SUFFIXES, *(x.upper() for x in paths.SUFFIXES), "", ".", ".tar.gz", ".D.ts", ".x.d.ts", "..py", ".unknown"]
+_FULL_NAMES = [*paths.SPECIAL_FILES, *(x.title() for x in paths.SPECIAL_FILES), ".gitignore", ".env.toml", "..", "...py", ".py"]
+_PATH_SQL = f"""made AS (SELECT p_partkey, lower(replace(p_type, ' ', '/')) AS folder, replace(p_name, ' ', '_') || ({_quoted(_ENDS)})[p_partkey % {len(_ENDS)} + 1] AS own,
+  ({_quoted(_FULL_NAMES)})[p_size % {len(_FULL_NAMES)} + 1] AS fixed FROM part),
+named AS (SELECT p_partkey, folder, CASE p_partkey % 3 WHEN 0 THEN fixed WHEN 1 THEN '.' || own ELSE own END AS name FROM made),
+whole AS (SELECT CASE p_partkey % 5 WHEN 0 THEN folder || '/' || name WHEN 1 THEN '/' || folder || '//' || name WHEN 2 THEN replace(folder, '/', '\\') || '\\' || name WHEN 3 THEN './' || folder || '/./' || name ELSE name END AS path FROM named)"""
 
 
 @query(
-    "SELECT language, file_type, top_directory, count(*) AS files FROM part JOIN (VALUES "
-    + ", ".join(f"({k}, '{x}', '{y}', '{z}')" for k, (x, y, z) in enumerate(_PATH_WANT))
-    + ") v(k, language, file_type, top_directory) ON p_partkey % 12 = k GROUP BY 1, 2, 3"
+    f"""WITH {_PATH_SQL}, cut AS (SELECT list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x <> '' AND x <> '.') AS own, starts_with(replace(path, '\\', '/'), '/') AS rooted FROM whole),
+parts AS (SELECT CASE WHEN rooted THEN list_prepend('/', own) ELSE own END AS p FROM cut),
+ends AS (SELECT p, lower(coalesce(nullif(p[-1], '/'), '')) AS name FROM parts),
+found AS (SELECT p, name, regexp_extract(regexp_replace(name, '^\.+', ''), '^.+(\.[^.]+)$', 1) AS suffix FROM ends),
+special(name, language) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in paths.SPECIAL_FILES.items())}),
+known(suffix, language) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in paths.SUFFIXES.items())})
+SELECT CASE WHEN s.language IS NOT NULL THEN s.language WHEN ends_with(f.name, '.d.ts') THEN 'TypeScript' ELSE coalesce(k.language, 'Other') END AS language,
+  CASE WHEN s.language IS NOT NULL THEN f.name WHEN ends_with(f.name, '.d.ts') THEN '.d.ts' WHEN f.suffix <> '' THEN f.suffix ELSE '[ohne Endung]' END AS file_type,
+  CASE WHEN len(p) > 1 THEN p[1] ELSE '[root]' END AS top_directory, count(*) AS files FROM found f LEFT JOIN special s USING (name) LEFT JOIN known k ON k.suffix = f.suffix GROUP BY 1, 2, 3"""
 )
 def path_classification(s, d):
-    path = F.element_at(F.array(*map(F.lit, _MADE_PATHS)), (F.col("p_partkey") % len(_MADE_PATHS) + 1).cast("int"))
-    rows = a.read(s, d, "part").select(path.alias("path"))
+    """Paths made from the names and types of parts, against the rules in SQL; only the lists of names and suffixes are shared."""
+    k = F.col("p_partkey")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    folder = F.lower(F.replace("p_type", F.lit(" "), F.lit("/")))
+    own = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), pick(_ENDS, k))
+    name = F.when(k % 3 == 0, pick(_FULL_NAMES, F.col("p_size"))).when(k % 3 == 1, F.concat(F.lit("."), own)).otherwise(own)
+    back = F.replace(folder, F.lit("/"), F.lit("\\"))
+    path = F.when(k % 5 == 0, F.concat(folder, F.lit("/"), name)).when(k % 5 == 1, F.concat(F.lit("/"), folder, F.lit("//"), name)).when(k % 5 == 2, F.concat(back, F.lit("\\"), name))
+    rows = a.read(s, d, "part").select(path.when(k % 5 == 3, F.concat(F.lit("./"), folder, F.lit("/./"), name)).otherwise(name).alias("path"))
     each = rows.select(paths.language(F.col("path")).alias("language"), paths.file_type(F.col("path")).alias("file_type"), paths.top_directory(F.col("path")).alias("top_directory"))
     return each.groupBy("language", "file_type", "top_directory").agg(F.count("*").alias("files"))
 
@@ -648,14 +666,19 @@ def remote_hosts(s, d):
     return rows.groupBy("host").agg(F.count("*").alias("pages"))
 
 
+_CI_FOLDERS = [".github/workflows/", ".github/workflows/sub/", ".github/", "", "x/", ".circleci/", "X/.github/workflows/"]
+_CI_NAMES = [*signals.CI_PATHS, *(x.upper() for x in signals.CI_PATHS), "jenkinsfile", "config.yml", "a.yml", "b.yaml", "c.YML", "d.txt", "e.yml.bak"]
+
+
 @query(
-    """SELECT k, coalesce(CASE WHEN k IN (0, 1) THEN 'GitHub Actions' WHEN k = 2 THEN 'GitLab CI' WHEN k = 3 THEN 'Jenkins' END, '(none)') AS system, count(*) AS files FROM (SELECT p_partkey % 6 AS k FROM part) GROUP BY 1, 2"""
+    f"""SELECT path, coalesce(CASE WHEN starts_with(path, '.github/workflows/') AND (ends_with(path, '.yml') OR ends_with(path, '.yaml')) THEN 'GitHub Actions' ELSE system END, '(none)') AS system, count(*) AS files
+  FROM (SELECT ({_quoted(_CI_FOLDERS)})[p_size % {len(_CI_FOLDERS)} + 1] || ({_quoted(_CI_NAMES)})[p_partkey % {len(_CI_NAMES)} + 1] AS path FROM part)
+  LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in signals.CI_PATHS.items())}) v(known, system) ON path = known GROUP BY 1, 2"""
 )
 def ci_signals(s, d):
-    made = [".github/workflows/a.yml", ".github/workflows/sub/b.yaml", ".gitlab-ci.yml", "Jenkinsfile", "jenkinsfile", ".github/workflows/c.txt"]
-    k = F.col("p_partkey") % 6
-    rows = a.read(s, d, "part").select(k.alias("k"), F.coalesce(signals.ci_system(F.element_at(F.array(*map(F.lit, made)), (k + 1).cast("int"))), F.lit("(none)")).alias("system"))
-    return rows.groupBy("k", "system").agg(F.count("*").alias("files"))
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    rows = a.read(s, d, "part").select(F.concat(pick(_CI_FOLDERS, F.col("p_size")), pick(_CI_NAMES, F.col("p_partkey"))).alias("path"))
+    return rows.select("path", F.coalesce(signals.ci_system(F.col("path")), F.lit("(none)")).alias("system")).groupBy("path", "system").agg(F.count("*").alias("files"))
 
 
 @query(
@@ -914,12 +937,13 @@ def sql_set_operations(s, d):
 
 
 @query(
-    """, RECURSIVE_DAYS AS (SELECT 1) SELECT g.d::DATE AS day, count(ec.hash) AS commits FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-10', INTERVAL 1 DAY)) AS d) g
+    """, span AS (SELECT min(activity_date) AS lo, max(activity_date) AS hi FROM ec)
+SELECT g.d::DATE AS day, count(ec.hash) AS commits FROM (SELECT unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM span) g
 LEFT JOIN ec ON activity_date = g.d::DATE GROUP BY 1""",
     "events",
 )
 def sql_recursive_calendar(s, d):
-    text = """WITH RECURSIVE days(day) AS (SELECT DATE '2024-01-01' UNION ALL SELECT date_add(day, 1) FROM days WHERE day < DATE '2024-01-10')
+    text = """WITH RECURSIVE days(day, hi) AS (SELECT min(activity_date), max(activity_date) FROM v_commits UNION ALL SELECT date_add(day, 1), hi FROM days WHERE day < hi)
 SELECT day, count(hash) AS commits FROM days LEFT JOIN v_commits ON activity_date = day GROUP BY day"""
     return _ask(s, d, text)
 
