@@ -34,6 +34,8 @@ SCHEMAS = {
     "log": "repo_id long, hash string, parent_count int, author_name_raw string, author_email_raw string, author_name_mailmap string, author_email_mailmap string, "
     "committer_name_raw string, committer_email_raw string, committer_name_mailmap string, committer_email_mailmap string, authored_at string, committed_at string, "
     f"subject string, is_trusted boolean, stats_collected boolean, files {_FILES}",
+    "graph": "repo_id long, hash string, parents array<string>",
+    "refs": "repo_id long, name string, object_hash string",
     "tree": "repo_id long, path string, object_id string, size long",
     "tags": "repo_id long, name string, created_at string, object_hash string",
     "blobs": "repo_id long, path string, text string",
@@ -179,6 +181,23 @@ def _tree(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
             yield repo_id, name, parts[2], int(parts[3]) if parts[3].isdigit() else 0
 
 
+def _graph(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
+    """All commits with their parents, whatever the settings leave out of the log: ways may lead through those."""
+    rest = b""
+    for chunk in _piped(path, ["rev-list", "--parents", "--all"], s["performance"]["git_timeout_seconds"]):
+        *lines, rest = (rest + chunk).split(b"\n")
+        for line in lines:
+            sha, *parents = line.decode().split()
+            yield repo_id, sha, parents
+
+
+def _refs(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
+    """References with the commits they stand for; an annotated tag stands for its commit."""
+    for line in _lines(path, "for-each-ref", "--format=%(refname)%1f%(objectname)%1f%(*objectname)"):
+        name, own, peeled = line.split(FIELD)
+        yield repo_id, name, peeled.strip() or own
+
+
 def _tags(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
     form = "--format=%(refname:short)%1f%(creatordate:iso-strict)%1f%(objectname)"
     for line in _lines(path, "for-each-ref", "--sort=creatordate", form, "refs/tags"):
@@ -238,7 +257,7 @@ def _probe(repo_id: int, path: str, s: Mapping[str, Any]) -> Iterator[tuple]:
     )
 
 
-_READERS = {"log": _log, "tree": _tree, "tags": _tags, "blobs": _blobs, "probe": _probe}
+_READERS = {"log": _log, "graph": _graph, "refs": _refs, "tree": _tree, "tags": _tags, "blobs": _blobs, "probe": _probe}
 
 
 class _Repository(InputPartition):
