@@ -28,9 +28,9 @@ from tidemark.scratch import forget
 ORDER = 3
 #: The strength of the prior in contexts of one word, of two and so on.
 PRIOR = (40.0, 8.0, 4.0)
-#: Tokens of a block, n-grams that meet in one range, and tokens of a piece. They divide work, not results.
+#: Tokens of a block, n-grams that meet in one range at most, and tokens of a piece. They divide work, not results.
 BLOCK = 1_000_000
-NODES = 1_500_000
+NODES = 2_500_000
 PIECE = 512
 #: Bits of an n-gram's key: its hash and two for its length. 58 bits of hash fit the disk, where 62 took 4.03 x input.
 KEY_BITS = 60
@@ -153,19 +153,18 @@ class Automaton:
 
 
 def _blocks(size: int, order: int, kind: pa.DataType):
-    """Texts gathered into blocks: their ids and lengths, the different words and the numbers of the tokens."""
+    """Texts gathered into blocks: their ids and lengths, the different words, the numbers of the tokens, and how many n-grams they have at most."""
 
     def made(counter: int, ids: list, held: list, hashes: list, lengths: list) -> pa.RecordBatch:
         words, tokens = distinct(np.concatenate([np.array([END, START], dtype=np.uint64), *hashes]))
         n = np.concatenate(lengths)
         ids, held = pa.concat_arrays(ids), np.concatenate(held)
         tokens = tokens[2:]
-        grams = _grams(words, tokens, n, order)
         block = TaskContext.get().partitionId() << 32 | counter
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([packed([words], [smallest(held.astype(np.int64)), smallest(n), smallest(tokens)])], pa.binary()),
-                pa.array([int(n[~held].sum())], pa.int64()), pa.array([sum(len(k) for k in grams.keys)], pa.int64()),
+                pa.array([int(n[~held].sum())], pa.int64()), pa.array([order * (len(tokens) + len(n))], pa.int64()),
             ],
             ["block", "ids", "data", "trained", "nodes"],
         )
