@@ -7,7 +7,8 @@ modulo shards) and the slot (place divided by shards), so counts differ by one a
 
 Rows are distinguished by id, size and text hash; equal rows are counted together before they are dealt out, so a
 group of copies is no hot key. Nulls and odd rows: a null text has no bytes of its own and the checksum of an empty one; null ids are dealt like
-others; repeated rows get places of their own; an empty table gives no rows; other columns of the input are ignored.
+others; repeated rows get places of their own, and so do ties; a very long text counts by its size and checksum only, since laws go by counts; an empty
+table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

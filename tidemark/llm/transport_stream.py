@@ -4,8 +4,9 @@ A stream has one program with one private elementary stream. Every access unit i
 presentation time stamp; every eighth one is a random-access point and carries a clock reference. Reading follows the
 program tables (with their CRC), checks continuity counters and gathers elementary packets.
 
-Nulls and odd rows: a null text is an empty one, whose payload is one block of spaces. Repeated rows give equal streams. Rows are
-independent; empty tables give no rows; other columns of the input are ignored.
+Nulls and odd rows: a null text is an empty one, whose payload is one block of spaces. Repeated rows give equal streams, and ties (equal texts
+under any ids) too. A very long text is one stream of as many access units as it needs, held in the memory of its task. Rows are independent; empty tables give no rows; other columns
+of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
