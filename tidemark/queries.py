@@ -625,7 +625,7 @@ whole AS (SELECT CASE p_partkey % 5 WHEN 0 THEN folder || '/' || name WHEN 1 THE
     f"""WITH {_PATH_SQL}, cut AS (SELECT list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x <> '' AND x <> '.') AS own, starts_with(replace(path, '\\', '/'), '/') AS rooted FROM whole),
 parts AS (SELECT CASE WHEN rooted THEN list_prepend('/', own) ELSE own END AS p FROM cut),
 ends AS (SELECT p, lower(coalesce(nullif(p[-1], '/'), '')) AS name FROM parts),
-found AS (SELECT p, name, regexp_extract(regexp_replace(name, '^\.+', ''), '^.+(\.[^.]+)$', 1) AS suffix FROM ends),
+found AS (SELECT p, name, regexp_extract(regexp_replace(name, '^\\.+', ''), '^.+(\\.[^.]+)$', 1) AS suffix FROM ends),
 special(name, language) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in paths.SPECIAL_FILES.items())}),
 known(suffix, language) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in paths.SUFFIXES.items())})
 SELECT CASE WHEN s.language IS NOT NULL THEN s.language WHEN ends_with(f.name, '.d.ts') THEN 'TypeScript' ELSE coalesce(k.language, 'Other') END AS language,
