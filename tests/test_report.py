@@ -42,3 +42,19 @@ def test_contents_of_repositories_without_any(spark):
 def test_network_switched_off(spark):
     one = network.no_stats(spark).first()
     assert (one.enabled, one.authors, one.max_distance, one.truncated) == (False, 0, None, False)
+
+
+def test_a_network_that_is_off_has_all_its_parts(spark):
+    from tidemark import queries
+    from tidemark.plans import report
+
+    tables = queries.tables(spark, "/root/testdata/sf0.001")
+    at = F.lit("2024-01-31").cast("date")
+    off = report.build(tables, at, {"network": {"enabled": False, "reference_names": ["User 1"]}})
+    on = report.build(tables, at, {"network": {"enabled": True, "reference_names": ["user 9"], "require_remote_reference": False}})
+    for name in ("network_authors", "network_pairs", "network_stats", "network_model"):
+        assert [f.name for f in off[name].schema] == [f.name for f in on[name].schema] or set(off[name].columns) >= set(on[name].columns), name
+    one = off["network_model"].first()
+    assert (one.enabled, one.reference_names, one.references_found, one.model.enabled) == (False, ["User 1"], [], False)
+    assert off["network_authors"].count() == off["network_pairs"].count() == 0
+    assert on["network_model"].first().references_found in (["User 9"], [])

@@ -6,9 +6,9 @@ spans lie within a gap of each other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -199,6 +199,20 @@ def no_stats(spark: SparkSession) -> DataFrame:
     return one.withColumns({"excluded_memberships": zero, "truncated": F.lit(False)})
 
 
+AUTHOR_ROWS = "author_key string, author string, commits long, repositories long, distance int, path array<struct<author_key:string,via_repository:string>>, repository_names array<string>"
+PAIR_ROWS = "author_key string, co_author_key string, author string, co_author string, repository string, commits long"
+
+
+def model(spark: SparkSession, network: Mapping[str, Any], found: DataFrame | None = None) -> DataFrame:
+    """One row about the search: whether it is on, whom it starts from and which of them it found, and the rules it goes by."""
+    rules = ("enabled", "exclude_service_accounts", "min_commits_per_author_repository", "max_contribution_gap_days", "require_remote_reference")
+    names = F.array(*map(F.lit, network["reference_names"])).cast("array<string>")
+    one = spark.range(1).select(F.lit(bool(network["enabled"])).alias("enabled"), names.alias("reference_names"), F.struct(*(F.lit(network[r]).alias(r) for r in rules)).alias("model"))
+    if found is None:
+        return one.withColumn("references_found", F.array().cast("array<string>"))
+    return one.crossJoin(found.agg(F.array_sort(F.collect_set("name")).alias("references_found")))  # one row each, as many names as were asked for
+
+
 def stats(members: Memberships, reached: DataFrame, limit: int = 500) -> DataFrame:
     authors = members.rows.agg(F.countDistinct("author_key").alias("authors"))
     ends = reached.agg(F.count("*").alias("connected_authors"), F.max("distance").alias("max_distance"))

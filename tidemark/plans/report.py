@@ -260,8 +260,12 @@ def build(tables: Tables, as_of: Column, over: Mapping[str, Any] | None = None)
         out["network_authors"] = network.author_rows(found.rows, reached, net["max_display_nodes"])
         out["network_pairs"] = network.direct_pairs(found.rows, net["max_contribution_gap_days"], net["max_display_nodes"])
         out["network_stats"] = network.stats(found, reached, net["max_display_nodes"])
-    else:
-        out["network_stats"] = network.no_stats(commits.sparkSession)
+        out["network_model"] = network.model(commits.sparkSession, net, start)
+    else:  # all that a page reads is there, with nothing in it
+        spark = commits.sparkSession
+        out["network_authors"] = spark.createDataFrame([], network.AUTHOR_ROWS)
+        out["network_pairs"] = spark.createDataFrame([], network.PAIR_ROWS)
+        out["network_stats"], out["network_model"] = network.no_stats(spark), network.model(spark, net)
     return out
 
 
